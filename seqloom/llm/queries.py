@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import secret_ledger
+from seqloom.llm import secret_ledger, simhash
 from seqloom.llm.common import table
 
 
@@ -10,7 +10,17 @@ def op9_secret_ledger(spark, sf_dir):
     return secret_ledger.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark, sf_dir):
+    return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op9_secret_ledger": op9_secret_ledger,
 }
 SQL = {
