@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import secret_ledger, simhash
+from seqloom.llm import direct_codes, packing, secret_ledger, simhash
 from seqloom.llm.common import table
 
 
@@ -14,12 +14,22 @@ def op3_fingerprints(spark, sf_dir):
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_concat_and_cut(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_direct_codes(spark, sf_dir):
+    return direct_codes.token_index(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
+    "op5_concat_and_cut": op5_concat_and_cut,
+    "op8_direct_codes": op8_direct_codes,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op9_secret_ledger": op9_secret_ledger,
 }
