@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import direct_codes, packing, secret_ledger, simhash
+from seqloom.llm import direct_codes, packing, secret_ledger, simhash, text_density, toxicity
 from seqloom.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op3_fingerprints(spark, sf_dir):
     return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_pu_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_concat_and_cut(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_text_density(spark, sf_dir):
+    return text_density.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_direct_codes(spark, sf_dir):
     return direct_codes.token_index(table(spark, sf_dir, "documents"))
 
@@ -28,7 +36,9 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
+    "op4_pu_toxicity": op4_pu_toxicity,
     "op5_concat_and_cut": op5_concat_and_cut,
+    "op6_text_density": op6_text_density,
     "op8_direct_codes": op8_direct_codes,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op9_secret_ledger": op9_secret_ledger,
