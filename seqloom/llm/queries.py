@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import decontaminate, direct_codes, licenses, packing, secret_ledger, simhash, text_density, toxicity
+from seqloom.llm import decontaminate, direct_codes, licenses, packing, repeats, secret_ledger, simhash, text_density, toxicity
 from seqloom.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op9_secret_ledger(spark, sf_dir):
     return secret_ledger.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_repeated_bytes(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_license_sentences(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_repeated_bytes": op1_repeated_bytes,
     "op2_license_sentences": op2_license_sentences,
     "op3_fingerprints": op3_fingerprints,
     "op4_pu_toxicity": op4_pu_toxicity,
