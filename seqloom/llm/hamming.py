@@ -39,8 +39,8 @@ def _segment(col: Column, shift: int, width: int) -> Column:
 
 
 def segments_for(count: int, radius: int) -> int:
-    """Segment length near log2 of the number of fingerprints: three segments of 21 bits up to 2^27, then two of 32."""
-    return max(1, min(3 if count < 1 << 27 else 2, radius + 1))
+    """As few segments as leave balls of one bit; two of 32 bits for more than 2^27 fingerprints, to keep cells small."""
+    return max(1, radius // 2 + 1) if count < 1 << 27 or radius > 5 else 2
 
 
 def multi_index(fps: DataFrame, radius: int, segments: int) -> DataFrame:

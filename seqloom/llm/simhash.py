@@ -77,6 +77,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(classes, "w0").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int, radius: int) -> DataFrame:
+    """docs without near duplicates: of each component the rows of its smallest doc_id, with all their columns.
+
+    Rows of that id are kept once for each text.  A null id stays only where its component has no other.
+    """
+    prints = written(fingerprints(docs, k=k), "prints")
+    classes = written(near_components(prints, radius), "classes")
+    ids = prints.join(classes, "w0").filter(F.col("id").eqNullSafe(F.col("component"))).select("id")
+    kept = docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+    count = prints.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).first()
+    return kept if count["n"] == count["d"] else kept.dropDuplicates(["doc_id", "text"])
+
+
 # ---- weighted term fingerprints ---------------------------------------------------------------------------------
 
 WORDS = 2  # of 64 bits
