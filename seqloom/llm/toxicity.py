@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import whole_text
 
-POSITIVES, UNLABELLED, LEAST_DOCS, TELLING, CLASSIFIERS = 6000, 12000, 3, 3.0, 3
+POSITIVES, UNLABELLED, LEAST_DOCS, TELLING, CLASSIFIERS = 4000, 8000, 3, 3.0, 3
 FEATURES = 1 << 20
 REJECT_AT = 0.3
 WORD = re.compile(r"[^\W\d_]+")
@@ -71,7 +71,10 @@ def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndar
 
     The rest is noise to a linear model, and the more of it the fewer the positives.
     """
-    a, u = (np.bincount(np.concatenate(t), minlength=FEATURES) for t in (positive, unlabelled))
+    a, u = np.zeros(FEATURES), np.zeros(FEATURES)
+    for count, texts in ((a, positive), (u, unlabelled)):
+        for t in texts:
+            count[t] += 1  # a text's features are distinct
     share = (a + u + 0.5) / (len(positive) + len(unlabelled) + 1)
     off = (a - len(positive) * share) / np.sqrt(len(positive) * share * (1 - share) + 0.25)
     return np.flatnonzero((np.abs(off) >= TELLING) & (a + u >= LEAST_DOCS))
@@ -102,8 +105,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     used = telling(positive, unlabelled)
     column = np.full(FEATURES, -1)
     column[used] = np.arange(len(used))
-    rows = [column[t] for t in texts]
-    rows = [r[r >= 0] for r in rows]
+    rows = [(r := column[t])[r >= 0].astype(np.int32) for t in texts]
     flat, ptr = np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
     n_pos, size = len(positive), len(used)
     bias, outside = np.zeros(CLASSIFIERS), np.zeros(len(texts))
@@ -176,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     # a row for each picked id (rows of one id: the least); four bytes for each of its features
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(found, "doc_id long, ids binary").groupBy("doc_id").agg(F.min("ids").alias("ids")).collect()
-    by_id = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").astype(np.int64) for r in rows}
+    by_id = {r["doc_id"]: np.frombuffer(r["ids"], "<u4") for r in rows}
     texts = lambda k: [by_id[i] for i in sorted(chosen[k]) if i in by_id]
     return fit(texts(1), texts(0), share)
 
