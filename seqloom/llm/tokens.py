@@ -7,6 +7,9 @@ gives an empty table; a very long text is encoded piece by piece.
 from __future__ import annotations
 
 import os
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +29,15 @@ def vocabulary() -> str:
     return public_tokenizers.path(FILE)
 
 
-class Encoder:
+class Encoder(dict):
     """ids of a text as little-endian unsigned bytes (two for vocabularies under 2^16, else four).
 
-    This vocabulary's rules drop white space and never look across it, so a text's ids are those of its pieces between
-    blanks; pieces met before are looked up.  Only spaces and line feeds cut: any other white space stays in a piece.
+    This vocabulary's rules drop white space, never look across it, lower the case and keep letters apart from signs, so
+    a text's ids are those of its pieces between white space, a closing stop or comma is a piece of its own, and in
+    Latin-1 a capital's ids are its small letter's.  Pieces met before are looked up: the dictionary is from pieces to ids.
     """
 
-    KEPT, LONGEST = 400_000, 48
+    KEPT, LONGEST = 1_000_000, 48
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,28 +46,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        self.model, self.code = self.tokenizer.model, "H" if self.kind.itemsize == 2 else "I"
+        self.signs = {c: self._plain(c) for c in ".,"}
+        # a small Latin-1 word is one piece of the model's, its bytes as the byte alphabet's letters
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.letters = {c: "".join(hidden.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 256)}
+        tried = ["strength", "éèñüß", "w", "unbelievably", "ÿµ", "großzügigkeit"]
+        self.direct = all(self._word(w) == self._plain(w) for w in tried) and sys.byteorder == "little"
+
+    def _plain(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        """ids of a piece not known yet, by way of its plain word; kept unless it is very long."""
+        if len(piece) > self.LONGEST:
+            return self._plain(piece)
+        sign, word = b"", piece
+        if piece[-1:] in self.signs and piece[:-1].isalpha():
+            sign, word = self.signs[piece[-1]], piece[:-1]
+        if self.direct and word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            word = word.lower()
+            ids = self.get(word)
+            if ids is None:
+                ids = self[word] = self._word(word)
+        else:
+            ids = self._plain(word)
+        out = self[piece] = ids + sign
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > self.KEPT:
-            known = self.known = {"": b""}
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        late: dict[str, bytes] = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, ids in zip(some, self._ids(some), strict=True):
-                (known if len(p) <= self.LONGEST else late)[p] = ids
-        if late:
-            return [b"".join([known[p] if p in known else late[p] for p in pieces]) for pieces in cut]
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
-
-
-def token_table(docs: DataFrame, end_id: int, path: str | None = None, batch_chars: int = 4_000_000) -> DataFrame:
+        if len(self) > self.KEPT:
+            self.clear()
+        of = self.__getitem__
+        # str.split() also cuts at four control characters that the vocabulary takes for signs
+        return [b"".join(map(of, t.replace("\n", " ").split(" ") if _ODD.search(t) else t.split())) for t in texts]
+
+
+_ODD = re.compile("[\x1c-\x1f]")
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def token_table(docs: DataFrame, end_id: int, path: str | None = None, batch_chars: int = 600_000) -> DataFrame:
     """Written table: part, local_start (ids before it in its part), doc_id, n_tokens, width (bytes an id), ids.
 
     part is the input partition, in whose order the rows stand; ids end with end_id.
@@ -71,12 +107,12 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None, batch_cha
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(path), TaskContext.get().partitionId(), 0
-        end, width = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
+        own, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        end, width = np.array([end_id], own.kind).tobytes(), own.kind.itemsize
 
         def rows(ids: list, texts: list[str]) -> pa.RecordBatch:
             nonlocal at
-            got = [x + end for x in encoder.encode(texts)]
+            got = [x + end for x in own.encode(texts)]
             n = np.array([len(x) // width for x in got], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
