@@ -119,9 +119,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, label: str = "[SECRET]") -> DataFrame:
     """documents with every found span replaced by label; the other columns as they were, n_chars counted anew."""
-    base = docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    paths = base.select(F.lit(0).alias("path"), F.col("_blob").alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("content"))
-    spans = scan(paths).select("blob", F.array_sort(F.flatten(F.transform("found", lambda x: x["spans"]))).alias("_spans")).filter(F.size("_spans") > 0)
+    own, held = "_seqloom_blob", "_seqloom_spans"
+    base = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    scanned = scan(docs.select(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("content")))
+    spans = scanned.select(F.col("blob").alias(own), F.array_sort(F.flatten(F.transform("found", lambda x: x["spans"]))).alias(held)).filter(F.size(held) > 0)
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -131,10 +132,10 @@ def redact(docs: DataFrame, label: str = "[SECRET]") -> DataFrame:
         mark = F.when(s["start"] >= acc["pos"], F.lit(label)).otherwise("")
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], before, mark).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    out = base.join(spans, base["_blob"] == spans["blob"], "left").withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
+    clean = F.aggregate(held, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
+    out = base.join(spans, own, "left").withColumn("text", F.when(F.col(held).isNotNull(), clean).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(held).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -1,0 +1,137 @@
+"""Token table, packing, directly addressable codes and the pipeline."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from seqloom.llm import direct_codes, packing, tokens
+
+ODD_TEXTS = [
+    "Ünïcode İstanbul ΣΑΣ Σ, é é á, it's IT'S we'll <|endoftext|> x<|startoftext|>y 12.5 ... ,. a.,b",
+    "\x1c\x1d q\x1ez \x85 w\xa0z t ﬁ Ǆ Å. 中文字。ABC, 한국 \x01 a\x01b ÅB, µ ß ẞ. ÿ Ÿ,",
+    "", "  ", "\n\n", " a  b\tc\r\nd\x0be\x0cf", "A, É. É,x ſ K Å.", "x" * 100 + " " + "Yy" * 60 + ".", "'s 's's dog's. Dog'S,",
+]
+
+
+def plain(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary())
+    t.encode_special_tokens = True
+    return [np.array(e.ids, "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_is_the_tokenizer():
+    e = tokens.Encoder(tokens.vocabulary())
+    assert e.direct
+    for _ in range(2):
+        assert [tokens.ids_of(b, 2).tolist() for b in e.encode(ODD_TEXTS)] == [x.tolist() for x in plain(ODD_TEXTS)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=40))
+def test_encoder_at_random(text):
+    e = tokens.encoder(tokens.vocabulary())
+    assert tokens.ids_of(e.encode([text])[0], 2).tolist() == plain([text])[0].tolist()
+
+
+@pytest.fixture(scope="module")
+def some(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefgé") for _ in range(r.randrange(1, 9))) for _ in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(r.choice([1, 5, 300]))) for _ in range(50)] + [None, ""]
+    ids = r.sample(range(999), len(texts))
+    return spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5), dict(zip(ids, texts, strict=True))
+
+
+def with_end(texts, end):
+    return {i: np.r_[x, np.array([end], "<u4")].astype("<u4") for i, x in zip(texts, plain([t or "" for t in texts.values()]), strict=True)}
+
+
+def test_packing(some):
+    docs, texts = some
+    ids = with_end(texts, 2)
+    rows = packing.pack(docs, window=64).collect()
+    for i, x in ids.items():
+        at = 0
+        for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(x))
+            assert r.ids_crc32 == zlib.crc32(x[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(x)
+    last = max(r.sequence_id for r in rows)
+    for s in range(last + 1):
+        at = 0
+        for r in sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 64 or s == last and 0 < at <= 64
+    whole = packing.sequences(tokens.token_table(docs, 2), 64).collect()
+    assert len(whole) == last + 1 and all(len(w.ids) == 64 for w in whole)
+    assert sum(w.n_tokens for w in whole) == sum(map(len, ids.values()))
+
+
+def test_direct_codes(some):
+    docs, texts = some
+    ids = with_end(texts, 1)
+    files = direct_codes.write_files(tokens.token_table(docs, 1), file_ids=500)
+    assert files.count() > 2
+    got = {r.doc_id: r for r in direct_codes.read_documents(files).collect()}
+    at = 0
+    for i in sorted(ids):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids[i]), zlib.crc32(ids[i].tobytes()))
+        at += len(ids[i])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=900), max_size=5))
+def test_any_token_of_a_file(docs):
+    arrays = [(None if k == 1 else k, np.array(d, "<u4")) for k, d in enumerate(docs)]
+    reader = direct_codes.Reader(direct_codes.encode(arrays))
+    flat = [x for d in docs for x in d]
+    assert reader.n == len(flat) and reader.doc_ids == [a[0] for a in arrays]
+    for i in random.Random(0).sample(range(len(flat)), min(20, len(flat))):
+        assert reader[i] == flat[i]
+    for k, d in enumerate(docs):
+        assert reader.document(k).tolist() == d
+
+
+def test_odd_rows(odd, empty):
+    assert sum(r.doc_tokens for r in packing.pack(odd).collect() if r.start == 0) == sum(r.n_tokens for r in direct_codes.token_index(odd).collect())
+    assert packing.pack(empty).collect() == [] and direct_codes.token_index(empty).collect() == []
+    first = min(direct_codes.token_index(odd).collect(), key=lambda r: r.start)
+    assert first.doc_id is None and first.start == 0
+
+
+def test_pipeline(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from seqloom.llm import secret_ledger, simhash
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, prose(30)) for i in range(5)]
+    docs = [(i, prose(120)) for i in range(300)]
+    toxic = {i for i in range(300) if i % 6 == 0}
+    docs = [(i, t + " vilest scoundrel vermin" * (i in toxic)) for i, t in docs]
+    copies = {301: docs[1][1], 302: docs[2][1] + " extra"}
+    leaks = {303: prose(40) + " " + items[0][1] + " " + prose(40)}
+    secret = {304: prose(60) + " token=abcdef123456 " + prose(60)}
+    docs += [*copies.items(), *leaks.items(), *secret.items(), (305, None)]
+    full = [(i, t, "en", "s", len(t or "")) for i, t in docs]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {x.doc_id for x in rows}
+    assert left == {i for i, _ in docs} - toxic - set(copies) - set(leaks)
+    clean = {i: t for i, t in docs if i in left}
+    clean[304] = secret[304].replace("token=abcdef123456", "[SECRET]")
+    want = with_end(clean, 2)
+    assert {x.doc_id: x.doc_tokens for x in rows} == {i: len(x) for i, x in want.items()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "packing"]
+    assert simhash and secret_ledger
