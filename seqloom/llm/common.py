@@ -45,3 +45,16 @@ def parts(spark: SparkSession) -> int:
 def whole_text(name: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Stands for a null id in an order, before all others.
+FIRST = -(2**63)
+
+
+def id_bounds(docs: DataFrame, count: int, id_col: str = "doc_id") -> list[int]:
+    """Bounds that cut the ids of docs into up to `count` ranges of near-equal size; reads the id column alone."""
+    if count < 2:
+        return []
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("id"))
+    got = ids.agg(F.percentile_approx("id", [i / count for i in range(1, count)], 10_000).alias("q")).first()["q"]
+    return sorted(set(got or []))

@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import parts, written
-from seqloom.llm.tokens import bases, ids_of, token_table
+from seqloom.llm.common import id_bounds, parts, written
+from seqloom.llm.tokens import bases, ids_of, token_rows
 
 CHUNK, BLOCK, END = 8, 512, 1
 #: Ids after which a file is closed: bounds the memory of writer and reader, but for one longer document.
@@ -101,14 +100,16 @@ class Reader:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def write_files(tokens: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
+def write_files(docs: DataFrame, end_id: int = END, file_ids: int = FILE_IDS) -> DataFrame:
     """Written table of files in ascending doc_id order: part, file, n_ids, payload (the file's bytes).
 
-    Spark's committer writes them, so a retried task leaves one copy, in any store.
+    Documents are dealt out by ranges of their ids (part), tokenized before the shuffle, and sorted within a range.
+    Spark's committer writes the files, so a retried task leaves one copy, in any store.
     """
+    count = 2 * parts(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, file, docs, size = TaskContext.get().partitionId(), 0, [], 0
+        part, file, docs, size = -1, 0, [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal file, docs, size
@@ -117,7 +118,11 @@ def write_files(tokens: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
             return pa.RecordBatch.from_arrays(row, ["part", "file", "n_ids", "payload"])
 
         for b in batches:
-            for doc, width, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, doc, width, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != part:
+                    if docs:
+                        yield close()
+                    part, file = bucket, 0
                 docs.append((doc, ids_of(raw, width)))
                 size += len(docs[-1][1])
                 if size >= file_ids:
@@ -125,8 +130,9 @@ def write_files(tokens: DataFrame, file_ids: int = FILE_IDS) -> DataFrame:
         if docs:
             yield close()
 
-    ordered = tokens.select("doc_id", "width", "ids").repartitionByRange(parts(tokens.sparkSession), "doc_id").sortWithinPartitions("doc_id", "ids")
-    return written(ordered.mapInArrow(run, "part long, file long, n_ids long, payload binary"), "dac")
+    rows = token_rows(docs, end_id, bounds=id_bounds(docs, count)).select("bucket", "doc_id", "width", "ids")
+    ordered = rows.repartition(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    return written(ordered.mapInArrow(run, "part long, file long, n_ids long, payload binary"), "dac", "none")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -145,4 +151,4 @@ def read_documents(files: DataFrame) -> DataFrame:
 
 
 def token_index(docs: DataFrame, end_id: int = END) -> DataFrame:
-    return read_documents(write_files(token_table(docs, end_id)))
+    return read_documents(write_files(docs, end_id))

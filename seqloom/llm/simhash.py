@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import parts, whole_text, written
+from seqloom.llm.common import FIRST, id_bounds, parts, whole_text, written
 from seqloom.llm.hamming import components, links, neighbour_counts
 
 # ---- shingle fingerprints and near duplicates -------------------------------------------------------------------
@@ -147,11 +147,10 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, math.cos(math.pi * differ / (8 * len(a))))
 
 
-def _buckets(docs: DataFrame, count: int) -> tuple[list[int], dict[int, int], int]:
-    """Bounds of `count` ranges of ids, each non-empty range's first id, and the ranges' number; a list entry a range."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
-    got = ids.agg(F.percentile_approx("id", [i / count for i in range(1, count)], 10_000).alias("q")).first()["q"] if count > 1 else []
-    bounds = sorted(set(got or []))
+def _buckets(docs: DataFrame, count: int) -> tuple[list[int], dict[int, int]]:
+    """Bounds of `count` ranges of ids, and each non-empty range's first id; an entry for each range."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"))
+    bounds = id_bounds(docs, count)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
@@ -164,7 +163,7 @@ def _buckets(docs: DataFrame, count: int) -> tuple[list[int], dict[int, int], in
         yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array(list(least.values()), pa.int64())], ["bucket", "first"])
 
     rows = ids.mapInArrow(firsts, "bucket long, first long").groupBy("bucket").agg(F.min("first").alias("first")).collect()  # a row a range
-    return bounds, {r["bucket"]: r["first"] for r in rows}, count
+    return bounds, {r["bucket"]: r["first"] for r in rows}
 
 
 def edited_prints(docs: DataFrame) -> DataFrame:
@@ -175,7 +174,7 @@ def edited_prints(docs: DataFrame) -> DataFrame:
     the order of their texts.
     """
     count = max(1, parts(docs.sparkSession)) * 2
-    bounds, first, _ = _buckets(docs, count)
+    bounds, first = _buckets(docs, count)
     order = sorted(first)
     before = {first[k]: order[i - 1] for i, k in enumerate(order)}  # an id that opens a range -> the range before
 
@@ -219,7 +218,7 @@ def edited_prints(docs: DataFrame) -> DataFrame:
             if out:
                 yield flush()
 
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id").cast("long"), whole_text().alias("text"))
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("key"), F.col("doc_id").cast("long"), whole_text().alias("text"))
     dealt = src.mapInArrow(deal, "bucket long, tail boolean, key long, doc_id long, text string")
     near = dealt.repartition(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
     return near.mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import whole_text, written
+from seqloom.llm.common import FIRST, whole_text, written
 
 FILE = "word_bpe_49k.json"
 
@@ -99,10 +99,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def token_table(docs: DataFrame, end_id: int, path: str | None = None, batch_chars: int = 600_000) -> DataFrame:
-    """Written table: part, local_start (ids before it in its part), doc_id, n_tokens, width (bytes an id), ids.
+def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: list[int] = (), batch_chars: int = 600_000) -> DataFrame:
+    """part, local_start (ids before it in its part), doc_id, bucket, n_tokens, width (bytes an id), ids.
 
-    part is the input partition, in whose order the rows stand; ids end with end_id.
+    part is the input partition, in whose order the rows stand; bucket is doc_id's range by bounds; ids end with end_id.
     """
     path = path or vocabulary()
 
@@ -116,8 +116,9 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None, batch_cha
             n = np.array([len(x) // width for x in got], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
-            cols = [pa.array([part] * len(n), pa.int64()), pa.array(starts), pa.array(ids, pa.int64()), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array(got, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["part", "local_start", "doc_id", "n_tokens", "width", "ids"])
+            keys = np.array([FIRST if i is None else i for i in ids], np.int64)
+            cols = [pa.array([part] * len(n), pa.int64()), pa.array(starts), pa.array(ids, pa.int64()), pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int64)), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array(got, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["part", "local_start", "doc_id", "bucket", "n_tokens", "width", "ids"])
 
         for b in batches:
             ids, texts, chars = [], [], 0
@@ -131,8 +132,12 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None, batch_cha
             if ids:
                 yield rows(ids, texts)
 
-    out = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "part long, local_start long, doc_id long, n_tokens long, width int, ids binary")
-    return written(out, "tokens")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "part long, local_start long, doc_id long, bucket long, n_tokens long, width int, ids binary")
+
+
+def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
+    """token_rows as a written table."""
+    return written(token_rows(docs, end_id, path), "tokens")
 
 
 def ids_of(raw: bytes, width: int) -> np.ndarray:

@@ -78,7 +78,7 @@ def test_packing(some):
 def test_direct_codes(some):
     docs, texts = some
     ids = with_end(texts, 1)
-    files = direct_codes.write_files(tokens.token_table(docs, 1), file_ids=500)
+    files = direct_codes.write_files(docs, file_ids=500)
     assert files.count() > 2
     got = {r.doc_id: r for r in direct_codes.read_documents(files).collect()}
     at = 0
