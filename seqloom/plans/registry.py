@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import encode as E
 from seqloom.operators import calibration as cal
-from seqloom.operators import clean, columns, compare, longform, pairs
+from seqloom.operators import align, clean, columns, compare, longform, pairs
 from seqloom.plans.tables import LONG_SQL, RUNS_SQL, SEGMENTS_SQL, runs, segments, sequences, sequences_sql, table
 from seqloom.sources import sinks, text
 
@@ -549,3 +549,62 @@ def stockholm_pp(spark, d):
 @query("site_weights", f"SELECT family, col, printf('%.6f', greatest(0.0, least(1.0, avg(confidence)))) AS line FROM {CONF_SQL} GROUP BY ALL")
 def site_weights(spark, d):
     return sinks.site_weights(pairs.column_confidence(_confidence(spark, d)))
+
+
+# ---- kernels ----
+
+
+@query("edit_distance_infix")
+def edit_distance_infix(spark, d):
+    s = segments(spark, d)
+    first = s.filter("rank = 0").select("family", F.col("seq").alias("text"))
+    return s.join(first, "family").select("family", "rank", align.edit_distance_infix("text", "seq").alias("distance"))
+
+
+@query("anchor_embedding")
+def anchor_embedding(spark, d):
+    s = segments(spark, d)
+    return align.anchor_distances(s, clean.anchors(s))
+
+
+@query("guide_tree")
+def guide_tree(spark, d):
+    return align.guide_trees(segments(spark, d))
+
+
+@query("align_fast")
+def align_fast(spark, d):
+    return align.align(segments(spark, d), "fast")
+
+
+@query("align_default")
+def align_default(spark, d):
+    return align.align(segments(spark, d), "default")
+
+
+@query("align_refined")
+def align_refined(spark, d):
+    return align.align(segments(spark, d), "fast", refine="confident")
+
+
+@query("align_realign")
+def align_realign(spark, d):
+    return align.align(segments(spark, d), "fast", realign=1)
+
+
+@query("align_runs")
+def align_runs(spark, d):
+    return align.align_runs(segments(spark, d), 3)
+
+
+@query("align_ensemble")
+def align_ensemble(spark, d):
+    """Runs of an ensemble, their support, and the best run of each family."""
+    made = align.align_runs(segments(spark, d), 3)
+    best = pairs.best_run(pairs.run_scores(made, 3))
+    return made.join(best, ["family", "run_id"])
+
+
+@query("generate_family")
+def generate_family(spark, d):
+    return align.generate(spark, 20, 30, 45)
