@@ -32,10 +32,10 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() to the shared folder, for small iterative tables."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """checkpoint() to the shared folder, for iterative tables; of known size, in files of up to 250,000 rows."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(8, -(-rows // 250_000)))).checkpoint()
 
 
 def parts(spark: SparkSession) -> int:

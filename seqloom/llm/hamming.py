@@ -300,7 +300,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: each node and its smaller neighbours move to the smallest of them; a is the larger end of each link
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        now = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), got["n"])
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -39,7 +39,7 @@ def features(word: str) -> list[int]:
     return [of(x, 3) % FEATURES for x in {"w" + word, "a" + word[:4], "b" + word[:5], "z" + word[-4:]}]
 
 
-def feature_ids(text: str, known: dict[str, tuple], room: int = 200_000) -> np.ndarray:
+def feature_ids(text: str, known: dict[str, tuple], room: int = 60_000) -> np.ndarray:
     """Sorted distinct features of a text's words; known keeps those of words met before."""
     if len(known) > room:
         known.clear()
