@@ -268,7 +268,8 @@ def halve(window: int, step: int):
 def _level(table: DataFrame, window: int, raw_of, step: int) -> tuple[DataFrame, DataFrame | None]:
     """table: written pieces.  (row, first, count) of repeated windows found, and the halves of pieces of oversized keys."""
     spark = table.sparkSession
-    many = table.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # written before they are joined: a join of two plain tables can split a key with very many rows
+    many = written(table.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     shared = written(table.drop("raw").join(many, "key", "left_semi"), "shared")
     classes = written(shared.groupBy("key", "f0", "f1").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "count", "lead")).alias("r")), "classes")
     # equal pieces: all their windows
@@ -276,7 +277,7 @@ def _level(table: DataFrame, window: int, raw_of, step: int) -> tuple[DataFrame,
     found = copies.select("row", F.col("start").alias("first"), F.col("count").cast("long").alias("count"))
     # keys with several distinct pieces, one of them single
     keys = classes.groupBy("key").agg(F.count("*").alias("c"), F.sum((F.col("n") == 1).cast("long")).alias("singles")).filter("c > 1 AND singles > 0")
-    left = classes.join(keys.select("key", "c"), "key").select("key", "c", (F.col("n") == 1).alias("single"), "r.row", "r.start", "r.count", "r.lead")
+    left = classes.join(written(keys.select("key", "c"), "several"), "key").select("key", "c", (F.col("n") == 1).alias("single"), "r.row", "r.start", "r.count", "r.lead")
     left = written(raw_of(left), "compared")
     dealt = left.filter(F.col("c") <= PIECES).repartition(parts(spark), "key").sortWithinPartitions("key")
     rounds = dealt.select("key", "row", "start", "lead", "single", "raw").mapInArrow(solve(window), "row long, first long, count long")

@@ -47,7 +47,7 @@ DROPPED_TAGS = frozenset("script style noscript template nav aside footer form b
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar note status".split())
 COMMENT_NAMES = frozenset("comment comments commentlist commentarea disqus discussion replies respond usercomments readercomments".split())
 DROPPED_NAMES = COMMENT_NAMES | frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox adslot banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidenav rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended recommendations share sharing social widget widgets pagination pager skip searchbox".split()
+    "ad ads adsbygoogle advert adverts advertisement advertising adsense adbox adslot banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidenav rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended recommendations share sharing social widget widgets pagination pager skip searchbox".split()
 )
 KEEPERS = frozenset("article main".split())
 
@@ -168,8 +168,8 @@ def _end_open(now: Node, tags: tuple[str, ...], stop: frozenset) -> Node:
 
 def _names(node: Node) -> set[str]:
     said = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    words = {w.lower() for w in NAME_PARTS.findall(said)} | set(re.split(r"[\s_-]+", said.lower()))
-    return words
+    whole = said.lower().split()
+    return {w.lower() for w in NAME_PARTS.findall(said)} | {p for w in whole for p in re.split("[_-]+", w)} | {re.sub("[_-]", "", w) for w in whole}
 
 
 def _dropped(node: Node, inside: bool) -> bool:

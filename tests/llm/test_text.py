@@ -240,6 +240,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
         ("<article><p><b>Head<br><p>Text</p><ul><li>a<li>b</ul><section id=comments><p>Nice!</p></section></article>", "Head Text a b"),
         ("<main><div class=post><p>First long words of it.</p><p>Second long words of it.</p></div><div class='sidebar'><p>Popular now and ever</p></div></main>", "First long words of it. Second long words of it."),
         ("<div id=x><h2>Head</h2><p>First long words of this text.</p><div><p>Inner long words.</p></div></div>", "Head First long words of this text. Inner long words."),
+        ("<article><header><h1>Head</h1></header><p>Text.</p><p class=legal-notice>Mind this.</p><ins class=adsbygoogle>Buy</ins><div id=side-bar>More</div></article>", "Head Text."),
         ("", ""),
     ],
 )
