@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -353,7 +353,10 @@ def _ensemble(own: list[str], s: Scores, o: Options) -> list[str]:
     for k in range(1, o.ensemble):
         if scores[k] > scores[best] and scores[k] > 1.05 * scores[0]:
             best = k
-    return made[best]
+    # the winner once more with its doubtful edges re-aligned, if its pairs are then better supported
+    a, b, c, noise = RUNS[best % len(RUNS)]
+    again = _once(own, s.scaled(a, b, c), replace(o, refine="confident"), noise, o.seed + best)
+    return again if run_score(again, support, o.ensemble) > scores[best] else made[best]
 
 
 def generate_family(n: int, length: int, seed: int, dna: bool = False, indel: float = 0.04) -> list[str]:

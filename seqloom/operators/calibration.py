@@ -133,3 +133,15 @@ def by_parameter(results: DataFrame, name: str) -> DataFrame:
     """value, n, score: means by a parameter parsed from sim_id."""
     value = F.regexp_extract("sim_id", rf"(?:^|_){name}([0-9.]+)", 1)
     return results.filter(value != "").groupBy(value.alias("value")).agg(F.count("*").alias("n"), F.avg("score").alias("score"))
+
+
+def results_frame(results: DataFrame) -> DataFrame:
+    """Results without errors, scores filled, with a label of their method and dataset."""
+    kept = results.filter("error IS NULL").fillna({"score": 0.0, "seconds": 0.0})
+    return kept.withColumn("label", F.concat_ws(" / ", "method", "dataset")).drop("error")
+
+
+def json_means(rows: DataFrame, group: str, json: str, path: str) -> DataFrame:
+    """group, n, mean of a number at a path of a JSON text; rows without it are left out."""
+    value = F.get_json_object(json, path).try_cast("double")
+    return rows.select(F.col(group).alias("grp"), value.alias("v")).filter("v IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))

@@ -136,3 +136,11 @@ def residue_index_window(long: DataFrame) -> DataFrame:
     """The residue index by a running count, for long input that has no row of text to count in."""
     w = Window.partitionBy("family", "run_id", "rank").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
     return long.withColumn("pos", F.when(F.col("ch") != "-", F.sum(F.when(F.col("ch") != "-", 1).otherwise(0)).over(w) - 1))
+
+
+def quick_stats(wide: DataFrame) -> DataFrame:
+    """family, gap_fraction, opens (gap runs a row), ratio (width over mean residues)."""
+    n = F.length(F.translate("aligned", "-", ""))
+    return wide.groupBy("family").agg(
+        (1 - F.sum(n) / F.sum(F.length("aligned"))).alias("gap_fraction"), F.avg(F.size(F.regexp_extract_all("aligned", F.lit("-+"), F.lit(0)))).alias("opens"), (F.max(F.length("aligned")) / F.avg(n)).alias("ratio"),
+    )

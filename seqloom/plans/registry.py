@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import encode as E
 from seqloom.operators import calibration as cal
-from seqloom.operators import align, clean, columns, compare, longform, pairs
+from seqloom.operators import align, clean, columns, compare, longform, pairs, trees
 from seqloom.plans.tables import LONG_SQL, RUNS_SQL, SEGMENTS_SQL, runs, segments, sequences, sequences_sql, table
+from seqloom.shared import cut
 from seqloom.sources import sinks, text
 
 QUERIES: dict = {}
@@ -551,6 +552,22 @@ def site_weights(spark, d):
     return sinks.site_weights(pairs.column_confidence(_confidence(spark, d)))
 
 
+@query("quick_stats", f"""SELECT family, 1 - sum(n) / sum(w) AS gap_fraction, avg(o) AS opens, max(w) / avg(n) AS ratio
+FROM (SELECT family, length(aligned) AS w, length(replace(aligned, '-', '')) AS n, len(regexp_extract_all(aligned, '-+')) AS o FROM {RUN[1]}) GROUP BY family""")
+def quick_stats(spark, d):
+    return columns.quick_stats(run(spark, d, 1))
+
+
+@query("results_frame", f"SELECT label, count(*) AS n, sum(score) AS score FROM (SELECT method || ' / ' || dataset AS label, score FROM {RESULTS_SQL} WHERE error IS NULL) GROUP BY label")
+def results_frame(spark, d):
+    return cal.results_frame(_results(spark, d)).groupBy("label").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+@query("json_means", "SELECT event_type AS grp, count(*) AS n, avg(v) AS mean FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events) WHERE v IS NOT NULL GROUP BY ALL")
+def json_means(spark, d):
+    return cal.json_means(table(spark, d, "events"), "event_type", "props", "$.k")
+
+
 # ---- kernels ----
 
 
@@ -608,3 +625,11 @@ def align_ensemble(spark, d):
 @query("generate_family")
 def generate_family(spark, d):
     return align.generate(spark, 20, 30, 45)
+
+
+@query("tree_weights")
+def tree_weights(spark, d):
+    s = segments(spark, d)
+    leaves = s.groupBy("family").agg(F.count("*").alias("n")).select("family", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("leaf"))
+    tree, leaves = cut(align.guide_trees(s)), cut(leaves)
+    return trees.leaf_weights(tree, trees.members(tree, leaves, 400))
