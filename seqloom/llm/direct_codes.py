@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from seqloom.llm.common import id_bounds, parts, written
 from seqloom.llm.tokens import bases, ids_of, token_rows

@@ -177,8 +177,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keep], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     # a row for each picked id (rows of one id: the least); four bytes for each of its features
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(found, "doc_id long, ids binary").groupBy("doc_id").agg(F.min("ids").alias("ids")).collect()
-    by_id = {r["doc_id"]: np.frombuffer(r["ids"], "<u4") for r in rows}
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(found, "doc_id long, ids binary").groupBy("doc_id").agg(F.min("ids").alias("ids"))
+    by_id = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4") for r in rows.toLocalIterator()}
     texts = lambda k: [by_id[i] for i in sorted(chosen[k]) if i in by_id]
     return fit(texts(1), texts(0), share)
 
