@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.longform import explode_alignment, residues
+from seqloom.operators.longform import explode_alignment, places
 
 
 def both_columns(ref: DataFrame, test: DataFrame) -> DataFrame:
     """family, rank, pos, rc, tc: each residue's column in the reference and in the test."""
-    a = residues(ref.select("family", "rank", "aligned")).select("family", "rank", "pos", F.col("col").alias("rc"))
-    b = residues(test.select("family", "rank", "aligned")).select("family", "rank", "pos", F.col("col").alias("tc"))
-    return a.join(b, ["family", "rank", "pos"])
+    a = ref.select("family", "rank", places(F.col("aligned")).alias("a"))
+    b = test.select("family", "rank", places(F.col("aligned")).alias("b"))
+    both = a.join(b, ["family", "rank"]).select("family", "rank", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "z"))
+    return both.select("family", "rank", F.col("pos").cast("long").alias("pos"), F.col("z.a").cast("long").alias("rc"), F.col("z.b").cast("long").alias("tc")).filter("rc IS NOT NULL AND tc IS NOT NULL")
 
 
 def scored_columns(ref: DataFrame, most_gaps: float) -> DataFrame:

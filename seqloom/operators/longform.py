@@ -24,8 +24,17 @@ def explode_alignment(wide: DataFrame) -> DataFrame:
     return out.select(*keys, F.col("col").cast("long").alias("col"), "ch", F.when(F.col("ch").rlike(RESIDUE), before).alias("pos"))
 
 
+def places(aligned: Column) -> Column:
+    """Columns of a row's residues, in order."""
+    cols = F.transform(F.split(aligned, ""), lambda c, i: F.when(~F.contains(F.lit(GAPS), c), i))
+    return F.when(F.length(aligned) == 0, F.array().cast("array<int>")).otherwise(F.filter(cols, lambda i: i.isNotNull()))
+
+
 def residues(wide: DataFrame) -> DataFrame:
-    return explode_alignment(wide).filter("pos IS NOT NULL")
+    """family, run_id, rank, col, pos of every residue."""
+    keys = [c for c in ("family", "run_id", "rank") if c in wide.columns]
+    out = wide.select(*keys, F.posexplode(places(F.col("aligned"))).alias("pos", "col"))
+    return out.select(*keys, F.col("col").cast("long").alias("col"), F.col("pos").cast("long").alias("pos"))
 
 
 def collapse(long: DataFrame, keys: tuple[str, ...] = ("family", "run_id", "rank")) -> DataFrame:

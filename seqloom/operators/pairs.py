@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.longform import residues
+from seqloom.operators.longform import places, residues
 
 
 def extract(wide: DataFrame) -> DataFrame:
@@ -26,10 +26,14 @@ def support(wide: DataFrame) -> DataFrame:
 
 
 def _against(wide: DataFrame, chosen: int | None) -> DataFrame:
-    """Each residue of the chosen run (or of each run) with its column there and in every run."""
-    r = residues(wide).select("family", "run_id", "rank", "pos", "col")
-    base = r if chosen is None else r.filter(F.col("run_id") == chosen)
-    return base.select("family", F.col("run_id").alias("base"), "rank", "pos", F.col("col").alias("c")).join(r, ["family", "rank", "pos"])
+    """Each residue of the chosen run (or of each run) with its column there and in every run.
+
+    Rows are joined, a row's residues are zipped: as many rows are shuffled as the alignments have, not residues.
+    """
+    rows = wide.select("family", "run_id", "rank", places(F.col("aligned")).alias("here"))
+    base = (rows if chosen is None else rows.filter(F.col("run_id") == chosen)).select("family", "rank", F.col("run_id").alias("base"), F.col("here").alias("there"))
+    both = base.join(rows, ["family", "rank"]).select("family", "base", "rank", "run_id", F.posexplode(F.arrays_zip("there", "here")).alias("pos", "z"))
+    return both.select("family", "base", "rank", "run_id", F.col("pos").cast("long").alias("pos"), F.col("z.there").cast("long").alias("c"), F.col("z.here").cast("long").alias("col"))
 
 
 def run_scores(wide: DataFrame, n_runs: int) -> DataFrame:
