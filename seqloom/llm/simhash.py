@@ -77,19 +77,6 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return prints.join(classes, "w0").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, k: int, radius: int) -> DataFrame:
-    """docs without near duplicates: of each component the rows of its smallest doc_id, with all their columns.
-
-    Rows of that id are kept once for each text.  A null id stays only where its component has no other.
-    """
-    prints = written(fingerprints(docs, k=k), "prints")
-    classes = written(near_components(prints, radius), "classes")
-    ids = prints.join(classes, "w0").filter(F.col("id").eqNullSafe(F.col("component"))).select("id")
-    kept = docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    count = prints.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).first()
-    return kept if count["n"] == count["d"] else kept.dropDuplicates(["doc_id", "text"])
-
-
 # ---- weighted term fingerprints ---------------------------------------------------------------------------------
 
 WORDS = 2  # of 64 bits
@@ -235,3 +222,99 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(near.select(hexed.alias("fingerprint"), F.col("n")), "fingerprint", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.coalesce("n", F.lit(0).cast("long")).alias("n_near")
     )
+
+
+# ---- one document of each group -----------------------------------------------------------------------------------
+
+#: Documents of a component that the others are compared with at a time.
+LEADERS = 8
+
+
+def term_prints(docs: DataFrame) -> DataFrame:
+    """id, h0, h1 (128-bit hash of the text), w0 (64-bit fingerprint of its weighted terms)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Terms(64)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8").reshape(-1, 2)
+            w0 = np.frombuffer(b"".join(hasher.fingerprint(t) for t in texts), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(w0)], ["id", "h0", "h1", "w0"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).mapInArrow(run, "id long, h0 long, h1 long, w0 long")
+
+
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """id, root, grams: sorted distinct shingle hashes of texts (id, root, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [np.unique(np.array([xxhash.xxh64_intdigest(g) for g in shingles(t, k)], "<u8")).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.binary())], ["id", "root", "grams"])
+
+    return texts.select("id", "root", "text").mapInArrow(run, "id long, root long, grams binary")
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _judge(similarity: float):
+    """(id, grams, leaders) -> fate: 0 dropped, 1 kept, 2 not decided.  Leaders judge each other in the order of their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fates = []
+            for i, grams, leaders in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                kept: list[bytes] = []
+                fate = 2
+                for x in sorted(leaders, key=lambda x: x["id"]):
+                    alike = any(jaccard(x["grams"], y) >= similarity for y in kept)
+                    if x["id"] == i:
+                        fate = 0 if alike else 1
+                        break
+                    if not alike:
+                        kept.append(x["grams"])
+                if fate == 2 and any(jaccard(grams, y) >= similarity for y in kept):
+                    fate = 0
+                fates.append(fate)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fates, pa.int32())], ["id", "root", "grams", "fate"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, k: int, radius: int, similarity: float = 0.8) -> DataFrame:
+    """docs without near duplicates, with all their columns.
+
+    Of equal texts the smallest doc_id stays.  Texts whose term fingerprints link up (multi-index hashing) are candidates;
+    one goes if its set of k-word shingles has the similarity to one that stays.  The smallest id of a component stays,
+    and of the others whatever resembles no one that does: every text is compared with leaders of its component, a few at
+    a time, until all are decided.  Rows of one id and text count as one; a null id stays only where no other has its text.
+    """
+    key = F.coalesce(F.col("id"), F.lit(FIRST))
+    prints = written(term_prints(docs), "prints")
+    texts = written(prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("w0").alias("w0")).select(key.alias("id"), "h0", "h1", "w0"), "texts")
+    fps = texts.groupBy("w0").agg(F.count("*").alias("n"))
+    roots = written(components(links(fps.select("w0"), radius)), "roots")
+    joined = fps.join(roots, fps["w0"] == roots["node"], "left").select("w0", "n", F.coalesce("root", "w0").alias("root"))
+    many = written(joined.groupBy("root").agg(F.sum("n").alias("size")).filter("size > 1").select("root"), "several")
+    asked = written(texts.join(joined.select("w0", "root"), "w0").join(many, "root").select("id", "root", "h0", "h1"), "asked")
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), whole_text().alias("text"))
+    left = written(shingle_sets(src.join(asked.select("id", "root").distinct(), "id"), k).groupBy("id", "root").agg(F.min("grams").alias("grams")), "sets")
+    gone = None
+    while not left.isEmpty():
+        turn = left.groupBy("root", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("s")).agg(F.min("id").alias("id")).select("root", "id")
+        leaders = written(left.join(turn, ["root", "id"]).groupBy("root").agg(F.collect_list(F.struct("id", "grams")).alias("leaders")), "leaders")
+        judged = written(left.join(leaders, "root").select("id", "root", "grams", "leaders").mapInArrow(_judge(similarity), "id long, root long, grams binary, fate int"), "judged")
+        out = judged.filter("fate = 0").select("id")
+        gone = out if gone is None else gone.union(out)
+        left = written(judged.filter("fate = 2").drop("fate"), "left")
+    own = "_seqloom_id"
+    ids = texts.select(F.col("id").alias(own))
+    if gone is not None:
+        ids = ids.join(gone.select(F.col("id").alias(own)), own, "left_anti")
+    kept = docs.join(ids.distinct(), F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)) == F.col(own), "left_semi")
+    count = prints.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).first()
+    return kept if count["n"] == count["d"] else kept.dropDuplicates(["doc_id", "text"])

@@ -181,3 +181,23 @@ def test_one_of_each(spark, odd):
     kept = simhash.one_of_each(odd, 5, 7)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5]
+
+def test_one_of_each_keeps_what_resembles_none(spark):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 10))) for _ in range(2000)]
+    docs, groups = [], {}
+    for g in range(60):
+        base = [r.choice(words) for _ in range(r.randrange(60, 200))]
+        for c in range(r.choice([1, 1, 2, 5, 14])):
+            text = list(base)
+            for _ in range(c and r.randrange(0, max(1, len(base) // 60) + 1)):
+                text[r.randrange(len(text))] = "changed"
+            groups[len(docs)] = g
+            docs.append((len(docs), " ".join(text)))
+    order = r.sample(docs, len(docs))
+    kept = [x.doc_id for x in simhash.one_of_each(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 5, 7).collect()]
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in docs}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(a, b) < 0.8 for a in kept for b in kept if a < b)
+    assert all(i in kept or any(like(i, x) >= 0.8 for x in kept) for i, _ in docs)
+    assert {groups[i] for i in kept} == set(groups.values())
