@@ -228,20 +228,46 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 #: Documents of a component that the others are compared with at a time.
 LEADERS = 8
+#: Chance that two texts of just the similarity asked for meet in no band.
+MISS = 1e-4
 
 
-def term_prints(docs: DataFrame) -> DataFrame:
-    """id, h0, h1 (128-bit hash of the text), w0 (64-bit fingerprint of its weighted terms)."""
+def bands_for(similarity: float, rows: int) -> int:
+    """Bands of `rows` least hashes each that miss a pair at the similarity with a chance of MISS."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log(1 - similarity**rows))
+
+
+def gram_hashes(text: str, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's k-word shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in shingles(text, k)], "<u8"))
+
+
+def least_hashes(grams: np.ndarray, count: int) -> np.ndarray:
+    """MinHash: the least value of each of `count` hashes; two sets agree in each with the chance of their Jaccard similarity."""
+    rng = np.random.default_rng(5)
+    mul, add = rng.integers(0, 1 << 63, (2, count), np.uint64)
+    mul = mul * np.uint64(2) + np.uint64(1)
+    out = np.full(count, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(grams), 1024):
+        out = np.minimum(out, (grams[i : i + 1024, None] * mul + add).min(0))
+    return out
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(least[i : i + rows].tobytes(), i) for i in range(0, len(least), rows)], np.uint64).view(np.int64)
+
+
+def band_prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """id, h0, h1 (128-bit hash of the text), keys: of the bands of its shingles' least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Terms(64)
         for b in batches:
             texts = b.column(1).to_pylist()
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8").reshape(-1, 2)
-            w0 = np.frombuffer(b"".join(hasher.fingerprint(t) for t in texts), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(w0)], ["id", "h0", "h1", "w0"])
+            keys = [band_keys(least_hashes(gram_hashes(t, k), bands * rows), rows) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(keys, pa.list_(pa.int64()))], ["id", "h0", "h1", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).mapInArrow(run, "id long, h0 long, h1 long, w0 long")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).mapInArrow(run, "id long, h0 long, h1 long, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -249,7 +275,7 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [np.unique(np.array([xxhash.xxh64_intdigest(g) for g in shingles(t, k)], "<u8")).tobytes() for t in b.column(2).to_pylist()]
+            grams = [gram_hashes(t, k).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.binary())], ["id", "root", "grams"])
 
     return texts.select("id", "root", "text").mapInArrow(run, "id long, root long, grams binary")
@@ -285,24 +311,24 @@ def _judge(similarity: float):
     return run
 
 
-def one_of_each(docs: DataFrame, k: int, radius: int, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int, rows: int, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates, with all their columns.
 
-    Of equal texts the smallest doc_id stays.  Texts whose term fingerprints link up (multi-index hashing) are candidates;
-    one goes if its set of k-word shingles has the similarity to one that stays.  The smallest id of a component stays,
+    Of equal texts the smallest doc_id stays.  Texts that agree in a band of `rows` least hashes of their k-word shingles
+    are candidates; one goes if its set of k-word shingles has the similarity to one that stays.  The smallest id of a component stays,
     and of the others whatever resembles no one that does: every text is compared with leaders of its component, a few at
     a time, until all are decided.  Rows of one id and text count as one; a null id stays only where no other has its text.
     """
     key = F.coalesce(F.col("id"), F.lit(FIRST))
-    prints = written(term_prints(docs), "prints")
-    texts = written(prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("w0").alias("w0")).select(key.alias("id"), "h0", "h1", "w0"), "texts")
-    fps = texts.groupBy("w0").agg(F.count("*").alias("n"))
-    roots = written(components(links(fps.select("w0"), radius)), "roots")
-    joined = fps.join(roots, fps["w0"] == roots["node"], "left").select("w0", "n", F.coalesce("root", "w0").alias("root"))
-    many = written(joined.groupBy("root").agg(F.sum("n").alias("size")).filter("size > 1").select("root"), "several")
-    asked = written(texts.join(joined.select("w0", "root"), "w0").join(many, "root").select("id", "root", "h0", "h1"), "asked")
+    prints = written(band_prints(docs, k, bands_for(similarity, rows), rows), "prints")
+    texts = written(prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys")).select(key.alias("id"), "keys"), "texts")
+    filed = texts.select("id", F.explode("keys").alias("cell"))
+    cells = filed.groupBy("cell").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("cell", "a")
+    pairs = written(filed.join(cells, "cell").filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    roots = written(components(pairs), "roots")
+    asked = written(roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root")).distinct(), "asked")
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), whole_text().alias("text"))
-    left = written(shingle_sets(src.join(asked.select("id", "root").distinct(), "id"), k).groupBy("id", "root").agg(F.min("grams").alias("grams")), "sets")
+    left = written(shingle_sets(src.join(asked, "id"), k).groupBy("id", "root").agg(F.min("grams").alias("grams")), "sets")
     gone = None
     while not left.isEmpty():
         turn = left.groupBy("root", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("s")).agg(F.min("id").alias("id")).select("root", "id")

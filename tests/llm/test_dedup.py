@@ -201,3 +201,32 @@ def test_one_of_each_keeps_what_resembles_none(spark):
     assert all(like(a, b) < 0.8 for a in kept for b in kept if a < b)
     assert all(i in kept or any(like(i, x) >= 0.8 for x in kept) for i, _ in docs)
     assert {groups[i] for i in kept} == set(groups.values())
+
+
+def _edited(r, words, base, kind, share):
+    n = max(1, int(len(base) * share))
+    if kind == "appended":
+        return base + [r.choice(words) for _ in range(n)]
+    if kind == "cut off":
+        return base[: len(base) - n]
+    text = list(base)
+    for i in r.sample(range(len(base)), n):
+        text[i] = "changed"
+    return text
+
+
+@pytest.mark.parametrize("kind,share", [("appended", 0.1), ("appended", 0.19), ("cut off", 0.1), ("cut off", 0.18), ("replaced", 0.01), ("replaced", 0.02)])
+def test_one_of_each_finds_edited_copies(spark, kind, share):
+    r = random.Random(f"{kind}{share}")
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    docs, asked = [], []
+    for _ in range(150):
+        base = [r.choice(words) for _ in range(r.randrange(60, 400))]
+        both = [" ".join(base), " ".join(_edited(r, words, base, kind, share))]
+        a, b = (set(simhash.shingles(t, 5)) for t in both)
+        if len(a & b) >= 0.8 * len(a | b):
+            asked.append(len(docs) + 1)
+        docs += [(len(docs), both[0]), (len(docs) + 1, both[1])]
+    kept = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), 5, 5).collect()}
+    assert len(asked) > 100 and not kept.intersection(asked)
+    assert len(kept) == len(docs) - len(asked)
