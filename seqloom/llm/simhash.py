@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import FIRST, id_bounds, parts, whole_text, written
-from seqloom.llm.hamming import components, links, neighbour_counts
+from seqloom.llm.hamming import Forest, _groups, components, deal, links, neighbour_counts
 
 # ---- shingle fingerprints and near duplicates -------------------------------------------------------------------
 
@@ -226,8 +226,6 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 # ---- one document of each group -----------------------------------------------------------------------------------
 
-#: Documents of a component that the others are compared with at a time.
-LEADERS = 8
 #: Chance that two texts of just the similarity asked for meet in no band.
 MISS = 1e-4
 
@@ -258,27 +256,30 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
 
 
 def band_prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """id, h0, h1 (128-bit hash of the text), keys: of the bands of its shingles' least hashes."""
+    """id, h0, h1 (128-bit hash of the text), keys of the bands of its shingles' least hashes, sketch: those keys and 16 bits of each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8").reshape(-1, 2)
-            keys = [band_keys(least_hashes(gram_hashes(t, k), bands * rows), rows) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(keys, pa.list_(pa.int64()))], ["id", "h0", "h1", "keys"])
+            least = [least_hashes(gram_hashes(t, k), bands * rows) for t in texts]
+            made = [band_keys(x, rows) for x in least]
+            keys = pa.array(made, pa.list_(pa.int64()))
+            some = pa.array([x.tobytes() + y.astype("<u2").tobytes() for x, y in zip(made, least, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), keys, some], ["id", "h0", "h1", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).mapInArrow(run, "id long, h0 long, h1 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).mapInArrow(run, "id long, h0 long, h1 long, keys array<long>, sketch binary")
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """id, root, grams: sorted distinct shingle hashes of texts (id, root, text)."""
+    """id, grams: sorted distinct shingle hashes of texts (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [gram_hashes(t, k).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.binary())], ["id", "root", "grams"])
+            grams = [gram_hashes(t, k).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary())], ["id", "grams"])
 
-    return texts.select("id", "root", "text").mapInArrow(run, "id long, root long, grams binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, grams binary")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -287,26 +288,48 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def _judge(similarity: float):
-    """(id, grams, leaders) -> fate: 0 dropped, 1 kept, 2 not decided.  Leaders judge each other in the order of their ids."""
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fates = []
-            for i, grams, leaders in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                kept: list[bytes] = []
-                fate = 2
-                for x in sorted(leaders, key=lambda x: x["id"]):
-                    alike = any(jaccard(x["grams"], y) >= similarity for y in kept)
-                    if x["id"] == i:
-                        fate = 0 if alike else 1
-                        break
-                    if not alike:
-                        kept.append(x["grams"])
-                if fate == 2 and any(jaccard(grams, y) >= similarity for y in kept):
-                    fate = 0
-                fates.append(fate)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fates, pa.int32())], ["id", "root", "grams", "fate"])
+            yes = [jaccard(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    first, second = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _apart(bands: int, similarity: float, exact: bool):
+    """The rows of a cell that have others of another root whose least hashes agree about as often as those of similar sets
+    do and that meet in no earlier band; if exact, spanning links of the roots whose rows have similar sets."""
+    names = ["cell", "sub", "w0", "root", "band", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, starts in _groups(batches, [*names, "grams"] if exact else names):
+            root, band, forest = cols["root"], cols["band"].tolist(), Forest()
+            raw = np.frombuffer(b"".join(cols["sketch"].tolist()), np.uint8).reshape(len(root), -1)
+            keys, least = np.ascontiguousarray(raw[:, : 8 * bands]).view("<i8"), np.ascontiguousarray(raw[:, 8 * bands :]).view("<u2")
+            count = least.shape[1]
+            enough = count * similarity - 5 * math.sqrt(count * similarity * (1 - similarity))  # five deviations under the mean
+            some = np.zeros(len(root), bool)
+            for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                for i in range(at, end - 1):
+                    others = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+                    others = others[np.count_nonzero(least[others] == least[i], axis=1) >= enough]
+                    others = others[~(keys[others, : band[i]] == keys[i, : band[i]]).any(1)]
+                    if exact:
+                        for j in others.tolist():
+                            x, y = int(root[i]), int(root[j])
+                            if forest.root(x) != forest.root(y) and jaccard(cols["grams"][i], cols["grams"][j]) >= similarity:
+                                forest.join(x, y)
+                    elif len(others):
+                        some[i] = some[others] = True
+            if exact:
+                stars = forest.stars()
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in stars], pa.int64()), pa.array([p[1] for p in stars], pa.int64())], ["a", "b"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(cols[n][some]) for n in names[:-1]] + [pa.array(cols["sketch"][some], pa.binary())], names)
 
     return run
 
@@ -315,32 +338,34 @@ def one_of_each(docs: DataFrame, k: int, rows: int, similarity: float = 0.8) ->
     """docs without near duplicates, with all their columns.
 
     Of equal texts the smallest doc_id stays.  Texts that agree in a band of `rows` least hashes of their k-word shingles
-    are candidates; one goes if its set of k-word shingles has the similarity to one that stays.  The smallest id of a component stays,
-    and of the others whatever resembles no one that does: every text is compared with leaders of its component, a few at
-    a time, until all are decided.  Rows of one id and text count as one; a null id stays only where no other has its text.
+    are candidates; those whose sets of shingles have the similarity are linked, and the smallest id of each component of
+    links stays.  First the texts of a band's cell are compared with its smallest id, then all in a cell that no links
+    join yet with each other.  Rows of one id and text count as one; a null id stays only where no other has its text.
     """
     key = F.coalesce(F.col("id"), F.lit(FIRST))
-    prints = written(band_prints(docs, k, bands_for(similarity, rows), rows), "prints")
-    texts = written(prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys")).select(key.alias("id"), "keys"), "texts")
-    filed = texts.select("id", F.explode("keys").alias("cell"))
-    cells = filed.groupBy("cell").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("cell", "a")
-    pairs = written(filed.join(cells, "cell").filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    roots = written(components(pairs), "roots")
-    asked = written(roots.select(F.col("node").alias("id"), "root").union(roots.select(F.col("root").alias("id"), "root")).distinct(), "asked")
+    bands = bands_for(similarity, rows)
+    prints = written(band_prints(docs, k, bands, rows), "prints")
+    texts = written(prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select(key.alias("id"), "keys", "sketch"), "texts")
+    filed = texts.select("id", F.posexplode("keys").alias("band", "cell"))
+    cells = filed.groupBy("cell").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    met = written(filed.join(cells, "cell").select("cell", "band", "n", "a", "id"), "met")
+    stars = written(met.filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "stars")
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), whole_text().alias("text"))
-    left = written(shingle_sets(src.join(asked, "id"), k).groupBy("id", "root").agg(F.min("grams").alias("grams")), "sets")
-    gone = None
-    while not left.isEmpty():
-        turn = left.groupBy("root", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("s")).agg(F.min("id").alias("id")).select("root", "id")
-        leaders = written(left.join(turn, ["root", "id"]).groupBy("root").agg(F.collect_list(F.struct("id", "grams")).alias("leaders")), "leaders")
-        judged = written(left.join(leaders, "root").select("id", "root", "grams", "leaders").mapInArrow(_judge(similarity), "id long, root long, grams binary, fate int"), "judged")
-        out = judged.filter("fate = 0").select("id")
-        gone = out if gone is None else gone.union(out)
-        left = written(judged.filter("fate = 2").drop("fate"), "left")
+    sets = written(shingle_sets(src.join(met.select("id").distinct(), "id"), k).groupBy("id").agg(F.min("grams").alias("grams")), "sets")
+    linked = written(alike(stars, sets, similarity), "linked")
+    roots = met.filter("n > 2").join(components(linked), F.col("id") == F.col("node"), "left").select("cell", "band", "id", F.coalesce("root", "id").alias("root"))
+    roots = written(roots, "roots")
+    mixed = roots.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cell")
+    sketches = texts.groupBy("id").agg(F.min("sketch").alias("sketch"))
+    some = written(roots.join(mixed, "cell").join(sketches, "id").select("cell", "band", F.col("id").alias("w0"), "root", "sketch"), "mixed")
+    group = lambda df: df.repartition(parts(docs.sparkSession), "cell", "sub").sortWithinPartitions("cell", "sub", "w0")
+    names = ["cell", "sub", "w0", "root", "band", "sketch"]
+    apart = group(deal(some, 1)).select(*names).mapInArrow(_apart(bands, similarity, False), "cell long, sub long, w0 long, root long, band int, sketch binary")
+    apart = written(apart, "apart").join(sets, F.col("w0") == F.col("id")).select(*names, "grams")
+    rest = written(group(apart).mapInArrow(_apart(bands, similarity, True), "a long, b long"), "rest")
+    gone = components(linked.union(rest)).select(F.col("node").alias("id"))
     own = "_seqloom_id"
-    ids = texts.select(F.col("id").alias(own))
-    if gone is not None:
-        ids = ids.join(gone.select(F.col("id").alias(own)), own, "left_anti")
+    ids = texts.select(F.col("id").alias(own)).join(gone.select(F.col("id").alias(own)), own, "left_anti")
     kept = docs.join(ids.distinct(), F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)) == F.col(own), "left_semi")
     count = prints.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).first()
     return kept if count["n"] == count["d"] else kept.dropDuplicates(["doc_id", "text"])

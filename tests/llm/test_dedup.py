@@ -230,3 +230,41 @@ def test_one_of_each_finds_edited_copies(spark, kind, share):
     kept = {x.doc_id for x in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), 5, 5).collect()}
     assert len(asked) > 100 and not kept.intersection(asked)
     assert len(kept) == len(docs) - len(asked)
+
+
+@pytest.mark.parametrize("original", ["first", "last"])
+def test_one_of_each_star(spark, original):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    base = [r.choice(words) for _ in range(343)]
+    texts = [" ".join(base)] + [" ".join(_edited(r, words, base, "replaced", 0.02)) for _ in range(60)]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(sets[0], s) >= 0.8 for s in sets)
+    assert np.mean([like(a, b) >= 0.8 for i, a in enumerate(sets[1:], 1) for b in sets[1:i]]) < 0.1
+    texts = texts if original == "first" else texts[::-1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [x.doc_id for x in simhash.one_of_each(docs, 5, 5).collect()] == [0]
+
+
+def test_one_of_each_keeps_the_smallest_of_each_component(spark, monkeypatch):
+    """Chains whose ends do not resemble each other, against brute force; cells dealt out by blocks."""
+    monkeypatch.setattr("seqloom.llm.hamming.CELL_ROWS", 4)
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    texts = []
+    for _ in range(25):
+        now = [r.choice(words) for _ in range(200)]
+        for _ in range(r.randrange(1, 9)):
+            texts.append(" ".join(now))
+            now = _edited(r, words, now, r.choice(["replaced", "appended"]), 0.015)
+            now[r.randrange(len(now))] = r.choice(words)
+    r.shuffle(texts)
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    forest = hamming.Forest()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                forest.join(i, j)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in simhash.one_of_each(docs, 5, 5).collect()) == [i for i in range(len(texts)) if forest.root(i) == i]
