@@ -141,6 +141,74 @@ def edited(r, s, k):
     return "".join(s)
 
 
+HAN = [chr(0x4E00 + i) for i in range(2500)]
+
+
+def _prose(r, n):
+    words = random.Random(2)
+    vocabulary = ["".join(words.choice("abcdefghijklm") for _ in range(words.randrange(2, 11))) for _ in range(900)]
+    return " ".join(r.choice(vocabulary) for _ in range(n))
+
+
+ITEMS = {
+    "spaced": lambda r: _prose(r, r.randrange(15, 45)),
+    "short": lambda r: _prose(r, r.randrange(2, 6)),
+    "quoted": lambda r: '"' + _prose(r, r.randrange(2, 10)) + '."',
+    "one word": lambda r: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(6, 25))),
+    "unspaced": lambda r: "".join(r.choice(HAN) for _ in range(r.randrange(20, 150))),
+}
+
+
+def brute_matches(docs, items):
+    normal = decontaminate.normal
+    return {(k, i) for k, t in docs for i, x in items if normal(x) and infix_distance(normal(t), normal(x)) <= int(decontaminate.SHARE * len(normal(x)))}
+
+
+@pytest.mark.parametrize("kind", list(ITEMS))
+@pytest.mark.parametrize("share", [0, 0.05, 0.1])
+def test_windows_find_items_of_any_kind(kind, share):
+    """Recall against brute force over all pairs of documents and items, at up to the edits allowed."""
+    r = random.Random(f"{kind}{share}")
+    items = [(i, ITEMS[kind](r)) for i in range(40)]
+    docs = []
+    for i, x in items * 2:
+        held = edited(r, x, int(share * len(x)))
+        around = [_prose(r, 30), _prose(r, 20)] if kind != "unspaced" else ["".join(r.choice(HAN) for _ in range(n)) for n in (30, 20)]
+        docs.append((len(docs), around[0] + (" " if kind != "unspaced" else "") + held + ("." if kind != "unspaced" else "") + around[1]))
+    brute = brute_matches(docs, items)
+    found = list(decontaminate.Index(items).search([t for _, t in docs]))
+    got = {(d, i) for d, i, *_ in found}
+    assert got <= brute and len(got) >= 0.97 * len(brute) and len(brute) >= 60
+    for d, i, distance, a, b in found[:20]:
+        span, item = (decontaminate.normal(x) for x in (docs[d][1], items[i][1]))
+        assert plain_infix(span[a:b], item)[-1] == distance == infix_distance(span, item)
+    if not share:
+        assert got == brute
+
+
+def test_windows_at_the_ends_of_texts():
+    """Items that fill a text, stand at either end, or are cut by a text's end; nothing is found across two texts."""
+    r = random.Random(6)
+    items = [(i, _prose(r, n)) for i, n in enumerate((1, 2, 4, 9, 20, 60))]
+    texts = [t for _, x in items for t in (x, x + " zzz", "zzz " + x, x[: len(x) // 2], x[len(x) // 2 :], x[: int(0.95 * len(x))])]
+    got = {(d, i) for d, i, *_ in decontaminate.Index(items).search(texts)}
+    assert got == brute_matches(list(enumerate(texts)), items)
+
+
+def test_blocks_of_items(spark):
+    """A block an item gives what one block gives."""
+    r = random.Random(7)
+    items = [(i, _prose(r, r.randrange(1, 30))) for i in range(9)]
+    docs = spark.createDataFrame([(k, _prose(r, 9) + " " + items[k % 9][1]) for k in range(40)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(decontaminate.matches(docs, b, block_chars=n).collect()) for n in (decontaminate.BLOCK_CHARS, 1))
+    assert one == many and len(one) >= 40
+    some = b.filter("item_id < 3")
+    kept = {x.doc_id for x in decontaminate.drop_contaminated(docs, some).collect()}
+    assert kept == set(range(40)) - {x.doc_id for x in decontaminate.matches(docs, some).collect()} and kept
+    assert decontaminate.drop_contaminated(docs, b, block_chars=1).count() == 0
+
+
 def test_decontamination_recall(spark):
     r = random.Random(4)
     vocabulary = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(2, 11))) for _ in range(900)]
