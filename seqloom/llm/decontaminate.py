@@ -153,8 +153,8 @@ class Index:
         for tables in self.tables:
             for item, start in tables.hits(buffer):
                 both = np.unique((item.astype(np.int64) << 40) | (start.astype(np.int64) + (1 << 39)))
-                cuts = np.flatnonzero(np.r_[True, both[1:] >> 40 != both[:-1] >> 40]) if len(both) else []
-                for at, end in zip(cuts, [*cuts[1:], len(both)], strict=True):
+                cuts = np.flatnonzero(np.r_[True, both[1:] >> 40 != both[:-1] >> 40, True]) if len(both) else []
+                for at, end in zip(cuts[:-1], cuts[1:], strict=True):
                     held[int(both[at] >> 40)].append((both[at:end] & ((1 << 40) - 1)) - (1 << 39))
         grams = None
         for k in sorted(held):

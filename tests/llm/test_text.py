@@ -195,6 +195,12 @@ def test_windows_at_the_ends_of_texts():
     assert got == brute_matches(list(enumerate(texts)), items)
 
 
+def test_texts_without_a_window():
+    index = decontaminate.Index([(1, _prose(random.Random(1), 30)), (2, "one"), (3, None)])
+    assert list(index.search(["", "x", "zzz " * 500, "\0" * 300])) == [] and list(index.search([])) == []
+    assert list(decontaminate.Index([]).search(["some text"])) == []
+
+
 def test_blocks_of_items(spark):
     """A block an item gives what one block gives."""
     r = random.Random(7)
