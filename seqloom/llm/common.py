@@ -24,14 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, compression: str = "zstd", files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation.
+
+    files: how many at most, for tables of small rows; see files_for.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int, each: int = 50_000, least: int = 24) -> int:
+    """Files for a table of so many small rows: few small ones, yet as many as keep a large cluster busy."""
+    return max(least, -(-rows // each))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like those given that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """checkpoint() to the shared folder, for iterative tables; of known size, in files of up to 250,000 rows."""
     shared_dir(df.sparkSession)
@@ -47,8 +67,8 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-#: Stands for a null id in an order, before all others.
-FIRST = -(2**63)
+#: Stand for a null id in an order, before or after all others.
+FIRST, LAST = -(2**63), 2**63 - 1
 
 
 def id_bounds(docs: DataFrame, count: int, id_col: str = "doc_id") -> list[int]:

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import FIRST, id_bounds, parts, whole_text, written
+from seqloom.llm.common import FIRST, LAST, files_for, fresh, id_bounds, parts, whole_text, written
 from seqloom.llm.hamming import Forest, _groups, components, deal, links, neighbour_counts
 
 # ---- shingle fingerprints and near duplicates -------------------------------------------------------------------
@@ -255,20 +255,24 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[i : i + rows].tobytes(), i) for i in range(0, len(least), rows)], np.uint64).view(np.int64)
 
 
+def text_names(text: str = "text") -> list[Column]:
+    """A text's name: two 64-bit hashes of other seeds."""
+    return [F.xxhash64(whole_text(text)).alias("h0"), F.xxhash64(F.lit(1), whole_text(text)).alias("h1")]
+
+
 def band_prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """id, h0, h1 (128-bit hash of the text), keys of the bands of its shingles' least hashes, sketch: those keys and 16 bits of each hash."""
+    """id, h0, h1 (the text's name), keys of the bands of its shingles' least hashes, sketch: those keys and 16 bits of each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts), "<i8").reshape(-1, 2)
-            least = [least_hashes(gram_hashes(t, k), bands * rows) for t in texts]
+            least = [least_hashes(gram_hashes(t, k), bands * rows) for t in b.column(3).to_pylist()]
             made = [band_keys(x, rows) for x in least]
             keys = pa.array(made, pa.list_(pa.int64()))
             some = pa.array([x.tobytes() + y.astype("<u2").tobytes() for x, y in zip(made, least, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), keys, some], ["id", "h0", "h1", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], keys, some], ["id", "h0", "h1", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text")).mapInArrow(run, "id long, h0 long, h1 long, keys array<long>, sketch binary")
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), *text_names(), whole_text().alias("text"))
+    return src.mapInArrow(run, "id long, h0 long, h1 long, keys array<long>, sketch binary")
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -339,33 +343,43 @@ def one_of_each(docs: DataFrame, k: int, rows: int, similarity: float = 0.8) ->
 
     Of equal texts the smallest doc_id stays.  Texts that agree in a band of `rows` least hashes of their k-word shingles
     are candidates; those whose sets of shingles have the similarity are linked, and the smallest id of each component of
-    links stays.  First the texts of a band's cell are compared with its smallest id, then all in a cell that no links
-    join yet with each other.  Rows of one id and text count as one; a null id stays only where no other has its text.
+    links stays.  First the texts of a band's cell are compared with one of them, then all in a cell that no links join
+    yet with each other.  Everything goes by texts, not by ids: rows of one id and other texts are judged apart.  Rows of
+    one id and text count as one; a null id comes after all others.
     """
-    key = F.coalesce(F.col("id"), F.lit(FIRST))
-    bands = bands_for(similarity, rows)
-    prints = written(band_prints(docs, k, bands, rows), "prints")
-    texts = written(prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select(key.alias("id"), "keys", "sketch"), "texts")
-    filed = texts.select("id", F.posexplode("keys").alias("band", "cell"))
-    cells = filed.groupBy("cell").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    met = written(filed.join(cells, "cell").select("cell", "band", "n", "a", "id"), "met")
-    stars = written(met.filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "stars")
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), whole_text().alias("text"))
-    sets = written(shingle_sets(src.join(met.select("id").distinct(), "id"), k).groupBy("id").agg(F.min("grams").alias("grams")), "sets")
-    linked = written(alike(stars, sets, similarity), "linked")
-    roots = met.filter("n > 2").join(components(linked), F.col("id") == F.col("node"), "left").select("cell", "band", "id", F.coalesce("root", "id").alias("root"))
-    roots = written(roots, "roots")
+    count = docs.count()
+    files, bands = files_for(count), bands_for(similarity, rows)
+    keep = lambda df, name: written(df, name, files=files)
+    prints = keep(band_prints(docs, k, bands, rows), "prints")
+    distinct = prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    texts = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
+    filed = texts.select("node", F.posexplode("keys").alias("band", "cell"))
+    cells = filed.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    met = keep(filed.join(cells, "cell").select("cell", "band", "n", "a", "node"), "met")
+    stars = keep(met.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
+    name = ["id", "h0", "h1"]
+    wanted = texts.join(met.select("node").distinct(), "node").select("node", *name)
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), *text_names(), whole_text().alias("text"))
+    own = src.join(wanted, name).select(F.col("node").alias("id"), "text")
+    sets = keep(shingle_sets(own, k).groupBy("id").agg(F.min("grams").alias("grams")), "sets")
+    linked = keep(alike(stars, sets, similarity), "linked")
+    roots = met.filter("n > 2").select("cell", "band", F.col("node").alias("w0")).join(components(linked, count), F.col("w0") == F.col("node"), "left")
+    roots = keep(roots.select("cell", "band", "w0", F.coalesce("root", "w0").alias("root")), "roots")
     mixed = roots.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cell")
-    sketches = texts.groupBy("id").agg(F.min("sketch").alias("sketch"))
-    some = written(roots.join(mixed, "cell").join(sketches, "id").select("cell", "band", F.col("id").alias("w0"), "root", "sketch"), "mixed")
+    some = keep(roots.join(mixed, "cell").join(texts.select(F.col("node").alias("w0"), "sketch"), "w0").select("cell", "band", "w0", "root", "sketch"), "mixed")
     group = lambda df: df.repartition(parts(docs.sparkSession), "cell", "sub").sortWithinPartitions("cell", "sub", "w0")
     names = ["cell", "sub", "w0", "root", "band", "sketch"]
     apart = group(deal(some, 1)).select(*names).mapInArrow(_apart(bands, similarity, False), "cell long, sub long, w0 long, root long, band int, sketch binary")
-    apart = written(apart, "apart").join(sets, F.col("w0") == F.col("id")).select(*names, "grams")
-    rest = written(group(apart).mapInArrow(_apart(bands, similarity, True), "a long, b long"), "rest")
-    gone = components(linked.union(rest)).select(F.col("node").alias("id"))
-    own = "_seqloom_id"
-    ids = texts.select(F.col("id").alias(own)).join(gone.select(F.col("id").alias(own)), own, "left_anti")
-    kept = docs.join(ids.distinct(), F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)) == F.col(own), "left_semi")
-    count = prints.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).first()
-    return kept if count["n"] == count["d"] else kept.dropDuplicates(["doc_id", "text"])
+    apart = keep(apart, "apart").join(sets, F.col("w0") == F.col("id")).select(*names, "grams")
+    rest = keep(group(apart).mapInArrow(_apart(bands, similarity, True), "a long, b long"), "rest")
+    tied = keep(components(linked.union(rest), count), "tied")
+    tied = tied.union(tied.select("root", "root").distinct())
+    members = keep(texts.join(tied, "node").select("root", "node", *name), "members")
+    least = members.groupBy("root").agg(F.min(F.struct(*name)).alias("least"))
+    gone = members.join(least, "root").filter(F.struct(*name) != F.col("least")).select("node")
+    kept = texts.join(gone, "node", "left_anti").select(*name)
+    marks = fresh(docs.columns, *name)
+    marked = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias(marks[0]), *[c.alias(m) for c, m in zip(text_names(), marks[1:], strict=True)])
+    out = marked.join(kept.toDF(*marks), marks, "left_semi")
+    again = prints.groupBy(*name).count().filter("count > 1").limit(1).count()
+    return (out.dropDuplicates(marks) if again else out).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -182,6 +182,20 @@ def test_one_of_each(spark, odd):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5]
 
+
+def test_one_of_each_judges_texts_not_ids(spark):
+    """Rows of one id, or of none, with other texts are judged apart; no text that resembles none is lost."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 10))) for _ in range(500)]
+    a, b, c, d = (" ".join(r.choice(words) for _ in range(200)) for _ in range(4))
+    near = " ".join(["changed", *a.split()[1:]])
+    rows = [(1, a), (5, near), (5, b), (9, a), (None, c), (None, d), (None, near), (7, d), (7, d)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, H0 string, id string")
+    kept = simhash.one_of_each(docs, 5, 5)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(1, a), (5, b), (0, c), (7, d)])
+
+
 def test_one_of_each_keeps_what_resembles_none(spark):
     r = random.Random(3)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 10))) for _ in range(2000)]
