@@ -48,12 +48,55 @@ def test_repeats_match_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(repeats, "SEGMENT", 90)  # long texts are cut with an overlap
     texts = corpus(limit)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(docs, window=24, anchor=8).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeats.remove_repeats(docs, window=24, anchor=8).collect()}
     want = brute_repeats({i: (t or "").encode() for i, t in enumerate(texts)}, 24)
     assert got == want
     assert sum(w[1] for w in want.values()) > 500
 
 
+def brute_passages(texts, words):
+    """n_passages, passage_bytes of each text."""
+    import re
+
+    spans = {k: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for k, t in texts.items()}
+    seq = {k: [texts[k][a:b] for a, b in s] for k, s in spans.items()}
+    holds = {}
+    for k, s in seq.items():
+        for i in range(len(s) - words + 1):
+            holds.setdefault(tuple(s[i : i + words]), set()).add(k)
+    out = {}
+    for k, s in seq.items():
+        runs = []
+        for i in range(len(s) - words + 1):
+            if len(holds[tuple(s[i : i + words])]) > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + words - 1
+                else:
+                    runs.append([i, i + words - 1])
+        out[k] = (len(runs), sum(spans[k][b][1] - spans[k][a][0] for a, b in runs))
+    return out
+
+
+@pytest.mark.parametrize("segment", [90, 1 << 19])
+def test_passages_match_brute_force(spark, monkeypatch, segment):
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
+    r = random.Random(segment)
+    words = ["".join(r.choice("abé") for _ in range(r.randrange(1, 5))) for _ in range(40)]
+    shared = [[r.choice(words) for _ in range(30)] for _ in range(5)]
+    texts = []
+    for _ in range(60):
+        t = [r.choice(words) for _ in range(r.randrange(20))]
+        for _ in range(r.randrange(3)):
+            p, a = r.choice(shared), r.randrange(18)
+            t += p[a : a + r.randrange(6, 30)] + [r.choice(words) for _ in range(r.randrange(9))]
+        texts.append(r.choice([" ", "\n", "\x0b "]).join(t))
+    texts += [texts[3], " " + texts[3] + "\t", "ab " * 90, "once only " * 40, None, "", "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.n_passages, x.passage_bytes) for x in repeats.remove_repeats(docs, window=400, anchor=128, words=8).collect()}
+    assert got == brute_passages({i: (t or "").encode() for i, t in enumerate(texts)}, 8)
+    assert sum(n for n, _ in got.values()) > 40
+
+
 def test_repeats_odd_rows(odd, empty):
     rows = [tuple(r) for r in repeats.remove_repeats(odd).collect()]
     assert len(rows) == 7
