@@ -24,13 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of the shared one that no run has used."""
+    return f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd", files: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation.
 
     files: how many at most, for tables of small rows; see files_for.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     (df if files is None else df.coalesce(files)).write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,9 @@
 """Secrets, licenses, decontamination, toxicity, pages."""
 
+import hashlib
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -54,17 +56,43 @@ def test_secret_spans_at_random(spark, texts):
     assert got == {i: plain_spans(t) for i, t in enumerate(texts)}
 
 
-def test_ledger_scans_unseen_pairs_only(spark):
-    first = secret_ledger.versions(spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef")], "doc_id long, text string"))
-    scanned = secret_ledger.scan(first)
-    assert scanned.count() == 1  # one blob under two paths
-    ledger = secret_ledger.entries(scanned).select("blob", "rule", "version")
-    assert ledger.count() == 3
-    later = secret_ledger.versions(spark.createDataFrame([(1, "token=abcdef"), (3, "new secret=abcdefg")], "doc_id long, text string"))
-    assert secret_ledger.scan(later, ledger).count() == 1
-    newer = tuple(secret_ledger.Rule(r.kind, r.pattern, 2, r.group, r.least) if r.kind == "hex" else r for r in secret_ledger.RULES)
-    again = secret_ledger.entries(secret_ledger.scan(first, ledger, newer)).collect()
-    assert [(r.rule, r.version) for r in again] == [("hex", 2)]
+def _said(spans):
+    return ",".join(f"{secret_ledger.RULES[s.ord].kind}:{s.start}:{s.end}" for s in spans)
+
+
+def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
+    """A blob under two paths is read once, a second run reads new blobs alone, a new rule version reads all once more."""
+    docs = lambda rows: secret_ledger.versions(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = docs([(1, "token=abcdef"), (2, "token=abcdef"), (4, None)])
+    ledger = secret_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.update(first)
+    assert ledger.rows().count() == 2 and ledger.unseen(first).count() == 0
+    ledger.update(first)
+    assert ledger.rows().count() == 2
+    # another run, with the same folder: an old blob under a new path, and a new version of an old path
+    later = docs([(3, "token=abcdef"), (1, "new secret=abcdefg")])
+    ledger = secret_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.unseen(later).count() == 1
+    ledger.update(later)
+    assert ledger.rows().count() == 3
+    found = {(r.path, _said(r.spans)) for r in ledger.by_path(later.union(first)).collect()}
+    assert found == {(3, "assign:0:12"), (1, "assign:4:18"), (1, "assign:0:12"), (2, "assign:0:12"), (4, "")}
+    newer = tuple(replace(r, version=2, pattern=r"[0-9a-f]{24,}|abcdef") if r.kind == "hex" else r for r in secret_ledger.RULES)
+    ledger = secret_ledger.Ledger(spark, str(tmp_path / "ledger"), newer)
+    assert [r.todo for r in ledger.unseen(later).collect()] == [["hex@2"]] * 2
+    ledger.update(later)
+    assert {(r.path, _said(r.spans)) for r in ledger.by_path(later).collect()} == {(3, "assign:0:12,hex:6:12"), (1, "assign:4:18,hex:11:17")}
+    # the old rules' findings are as they were
+    old = secret_ledger.Ledger(spark, str(tmp_path / "ledger"))
+    assert {(r.path, _said(r.spans)) for r in old.by_path(later).collect()} == {(3, "assign:0:12"), (1, "assign:4:18")}
+
+
+def test_added_rules(spark):
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    texts = [f"a ghp_{'x1' * 18} b", "-----BEGIN RSA PRIVATE KEY-----", f"xoxb-{'1' * 12} {jwt}", "AIza" + "A" * 35, "gh_ xox- eyJ AIza"]
+    rows = {r.doc_id: r for r in secret_ledger.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i].spans for i in range(5)] == ["github:2:42", "private_key:0:31", f"slack:0:17,jwt:18:{18 + len(jwt)}", "google:0:39", ""]
+    assert {r.base_sha256 for r in rows.values()} == {hashlib.sha256(b"").hexdigest()}
 
 
 def test_secrets_odd_rows(odd, empty):
