@@ -77,9 +77,10 @@ FIRST, LAST = -(2**63), 2**63 - 1
 
 
 def id_bounds(docs: DataFrame, count: int, id_col: str = "doc_id") -> list[int]:
-    """Bounds that cut the ids of docs into up to `count` ranges of near-equal size; reads the id column alone."""
+    """Bounds that cut the ids of docs into `count` ranges of near-equal size, an id of very many rows more than once;
+    reads the id column alone."""
     if count < 2:
         return []
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("id"))
-    got = ids.agg(F.percentile_approx("id", [i / count for i in range(1, count)], 10_000).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    got = ids.agg(F.percentile_approx("id", [i / count for i in range(1, count)], max(10_000, 2 * count)).alias("q")).first()["q"]
+    return sorted(got or [])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -35,16 +36,22 @@ class Encoder(dict):
     This vocabulary's rules drop white space, never look across it, lower the case and keep letters apart from signs, so
     a text's ids are those of its pieces between white space, a closing stop or comma is a piece of its own, and in
     Latin-1 a capital's ids are its small letter's.  Pieces met before are looked up: the dictionary is from pieces to ids.
+
+    The strings of special tokens in a text become their ids, as the library does by itself; with special_as_text they
+    are ordinary text.
     """
 
     KEPT, LONGEST = 1_000_000, 48
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        # texts with the beginning that all special tokens share go to the tokenizer whole
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = os.path.commonprefix([t.lower() for t in special]) if special and not special_as_text else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.model, self.code = self.tokenizer.model, "H" if self.kind.itemsize == 2 else "I"
         self.signs = {c: self._plain(c) for c in ".,"}
@@ -85,29 +92,35 @@ class Encoder(dict):
             self.clear()
         of = self.__getitem__
         # str.split() also cuts at four control characters that the vocabulary takes for signs
-        return [b"".join(map(of, t.replace("\n", " ").split(" ") if _ODD.search(t) else t.split())) for t in texts]
+        whole = self.special
+        return [
+            self._plain(t) if whole is not None and whole in t.lower() else b"".join(map(of, t.replace("\n", " ").split(" ") if _ODD.search(t) else t.split()))
+            for t in texts
+        ]
 
 
 _ODD = re.compile("[\x1c-\x1f]")
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One for each worker process, which serves many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    name = path, special_as_text
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(path, special_as_text)
+    return _ENCODERS[name]
 
 
-def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: list[int] = (), batch_chars: int = 600_000) -> DataFrame:
+def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: list[int] = (), batch_chars: int = 600_000, special_as_text: bool = False) -> DataFrame:
     """part, local_start (ids before it in its part), doc_id, bucket, n_tokens, width (bytes an id), ids.
 
-    part is the input partition, in whose order the rows stand; bucket is doc_id's range by bounds; ids end with end_id.
+    part is the input partition, in whose order the rows stand; bucket is doc_id's range by bounds, or, if the id is a
+    bound or several equal ones, one of the ranges on both sides, by the text; ids end with end_id.
     """
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        own, part, at = encoder(path, special_as_text), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], own.kind).tobytes(), own.kind.itemsize
 
         def rows(ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -117,7 +130,9 @@ def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: li
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
             keys = np.array([FIRST if i is None else i for i in ids], np.int64)
-            cols = [pa.array([part] * len(n), pa.int64()), pa.array(starts), pa.array(ids, pa.int64()), pa.array(np.searchsorted(bounds, keys, side="right").astype(np.int64)), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array(got, pa.binary())]
+            low, high = (np.searchsorted(bounds, keys, side=side).astype(np.int64) for side in ("left", "right"))
+            bucket = low + np.array([zlib.crc32(x) for x in got], np.int64) % (high - low + 1)
+            cols = [pa.array([part] * len(n), pa.int64()), pa.array(starts), pa.array(ids, pa.int64()), pa.array(bucket), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array(got, pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "local_start", "doc_id", "bucket", "n_tokens", "width", "ids"])
 
         for b in batches:

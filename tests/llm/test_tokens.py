@@ -17,23 +17,27 @@ ODD_TEXTS = [
 ]
 
 
-def plain(texts):
+def plain(texts, special_as_text=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary())
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return [np.array(e.ids, "<u4") for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_encoder_is_the_tokenizer():
-    e = tokens.Encoder(tokens.vocabulary())
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_is_the_tokenizer(special_as_text):
+    e = tokens.Encoder(tokens.vocabulary(), special_as_text)
+    texts = [*ODD_TEXTS, "a <|endoftext|> b", "<|ENDOFTEXT|>x <|startoftext|><|", "a<|b"]
     assert e.direct
     for _ in range(2):
-        assert [tokens.ids_of(b, 2).tolist() for b in e.encode(ODD_TEXTS)] == [x.tolist() for x in plain(ODD_TEXTS)]
+        assert [tokens.ids_of(b, 2).tolist() for b in e.encode(texts)] == [x.tolist() for x in plain(texts, special_as_text)]
+    assert (49407 in tokens.ids_of(e.encode(["a <|endoftext|> b"])[0], 2)) != special_as_text
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=40))
+@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["<|endoftext|>", "<|", " ", "a", "É.", "<|startoftext|>"]), max_size=9).map("".join)))
 def test_encoder_at_random(text):
     e = tokens.encoder(tokens.vocabulary())
     assert tokens.ids_of(e.encode([text])[0], 2).tolist() == plain([text])[0].tolist()
@@ -75,25 +79,68 @@ def test_packing(some):
     assert sum(w.n_tokens for w in whole) == sum(map(len, ids.values()))
 
 
-def test_direct_codes(some):
+def test_direct_codes(spark, some):
     docs, texts = some
     ids = with_end(texts, 1)
-    files = direct_codes.write_files(docs, file_ids=500)
-    assert files.count() > 2
-    got = {r.doc_id: r for r in direct_codes.read_documents(files).collect()}
+    path = direct_codes.write_files(docs, file_ids=500)
+    assert direct_codes.file_table(spark, path).count() > 2
+    got = {r.doc_id: r for r in direct_codes.read_documents(spark, path).collect()}
     at = 0
     for i in sorted(ids):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids[i]), zlib.crc32(ids[i].tobytes()))
         at += len(ids[i])
 
 
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, file):
+        self.file, self.n, self.seek = file, 0, file.seek
+
+    def read(self, size):
+        self.n += size
+        return self.file.read(size)
+
+
+def test_a_token_is_read_by_seeking(spark, tmp_path):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["unbelievably", "a", "strength", "x1"]) for _ in range(4000)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = direct_codes.write_files(docs, path=str(tmp_path / "dac"))
+    (row,) = direct_codes.file_table(spark, path).select("path", "n_ids").collect()
+    flat = np.concatenate(list(with_end(dict(enumerate(texts)), 1).values()))
+    assert row.n_ids == len(flat) > 100_000
+    with open(row.path.removeprefix("file:"), "rb") as f:
+        counted = Counted(f)
+        reader = direct_codes.Reader(counted)
+        for i in r.sample(range(len(flat)), 200):
+            counted.n = 0
+            assert reader[i] == flat[i]
+            assert counted.n <= 2 * (2 + 2 * 4 + 2 * direct_codes.BLOCK // 8)
+        assert reader.document(7).tolist() == flat[reader.starts()[7] : reader.starts()[8]].tolist()
+
+
+def test_ranges(spark, monkeypatch):
+    """A range for so many bytes; rows of one id, or of none, fill several ranges, and the order is kept."""
+    assert [direct_codes.ranges_for(n) for n in (0, 1, direct_codes.RANGE_BYTES + 1, 10**14)] == [1, 1, 2, -(-(10**14) // (direct_codes.RANGE_BYTES << 6))]
+    monkeypatch.setattr(direct_codes, "RANGE_BYTES", 500)
+    rows = [(i, f"text {i}") for i in range(200)] + [(70, f"same id {i}") for i in range(300)] + [(None, f"no id {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = direct_codes.write_files(docs)
+    names = direct_codes.file_table(spark, path).select("part", "n_ids").collect()
+    assert len(names) > 8 and max(x.n_ids for x in names) < 0.4 * sum(x.n_ids for x in names)
+    got = sorted(direct_codes.read_documents(spark, path).collect(), key=lambda x: x.start)
+    assert [-1 if x.doc_id is None else x.doc_id for x in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=900), max_size=5))
 def test_any_token_of_a_file(docs):
     arrays = [(None if k == 1 else k, np.array(d, "<u4")) for k, d in enumerate(docs)]
     reader = direct_codes.Reader(direct_codes.encode(arrays))
     flat = [x for d in docs for x in d]
-    assert reader.n == len(flat) and reader.doc_ids == [a[0] for a in arrays]
+    assert reader.n == len(flat) and reader.doc_ids() == [a[0] for a in arrays]
     for i in random.Random(0).sample(range(len(flat)), min(20, len(flat))):
         assert reader[i] == flat[i]
     for k, d in enumerate(docs):
