@@ -1,16 +1,21 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements.  Each has the characters and tags under it and how many of them are in links; the
-composite density is its characters for each tag, scaled down the more of them are links (Sun, Song, Liao, 2011).  The
-element whose children's densities have the largest sum is the core.  The least density on the way from the body down
-to the core is the threshold that other parts have to reach to count as content beside it.
+composite density is its characters for each tag, scaled down the more of them are links (Sun, Song, Liao, 2011).  Of
+the elements that hold blocks, the one whose children's densities have the largest sum is the core.  The least density on
+the way from the body down to the core is the threshold that other parts have to reach to count as content beside it.
+
+Densities decide; that an element says of itself that it is an article or the main part is a prior, a factor PRIOR on
+its sum, and on the threshold for parts outside of it.  Within the core nothing is dropped but the parts below.
 
 Parts that are no article by their element, role, class or id (menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments, hidden elements) are left out before.
+adverts, forms, scripts, styles, reader comments, hidden elements) are left out before, and, outside of articles, lists
+and tables that are all links.
 
 Defined results: a null, empty or text-less page gives the empty string; repeated pages each get a row; an empty table
 gives an empty result; other columns are ignored; broken mark-up is read as browsers do (an unclosed paragraph ends at
-the next block, an unfinished tag at the end is dropped, an unfinished reference is text).
+the next block, an unfinished tag at the end is dropped, an unfinished reference is text).  Work is linear in a page,
+however deep it nests.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +56,9 @@ DROPPED_NAMES = COMMENT_NAMES | frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertising adsense adbox adslot banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidenav rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended recommendations share sharing social widget widgets pagination pager skip searchbox".split()
 )
 KEEPERS = frozenset("article main".split())
+#: Elements that hold blocks, and so can be the core.
+HOLDERS = frozenset("article body center dd details div fieldset html li main ol section table tbody td tr ul".split()) | {""}
+PRIOR = 2.0
 
 OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 PLAIN = re.compile(r"[^>\"']*>")
@@ -58,12 +67,12 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "index", "kids", "attrs", "drop", "c", "t", "lc", "lt", "dens", "sum", "holds")
+    __slots__ = ("tag", "up", "index", "kids", "attrs", "drop", "c", "t", "lc", "lt", "dens", "sum", "holds", "inside")
 
     def __init__(self, tag: str, up: Node | None, index: int, attrs: dict[str, str]) -> None:
         self.tag, self.up, self.index, self.attrs = tag, up, index, attrs
         self.kids: list[Node | str] = []
-        self.drop = self.holds = False
+        self.drop = self.holds = self.inside = False
         self.c = self.t = self.lc = self.lt = 0
         self.dens = self.sum = 0.0
 
@@ -96,17 +105,58 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
         at = m.end()
 
 
+class _Open:
+    """The open elements, innermost last, and how many of each there are, so that no search goes up in vain."""
+
+    def __init__(self, root: Node) -> None:
+        self.now, self.count = root, Counter()
+
+    def push(self, node: Node) -> None:
+        self.now = node
+        self.count[node.tag] += 1
+
+    def to(self, node: Node) -> None:
+        """Closes what is open within node."""
+        while self.now is not node:
+            self.count[self.now.tag] -= 1
+            self.now = self.now.up
+
+    def close(self, tag: str) -> None:
+        if not self.count[tag]:
+            return
+        x = self.now
+        while x.tag != tag:
+            if x.tag in ("article", "body", "table", "td") and tag not in ("article", "body", "html", "table", "tr", "main"):
+                return
+            x = x.up
+        if x.up is not None:
+            self.to(x.up)
+
+    def end(self, tags: tuple[str, ...], stop: frozenset) -> None:
+        """An open one of tags ends, unless another block or a stop is within it."""
+        if not any(self.count[t] for t in tags):
+            return
+        x = self.now
+        while x is not None and x.tag not in stop:
+            if x.tag in tags:
+                self.to(x.up)
+                return
+            if x.tag in BLOCK and x.tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "tbody", "thead", "tfoot"):
+                return
+            x = x.up
+
+
 def parse(page: str) -> list[Node]:
     """Elements in page order; the first is a root above all."""
     root = Node("", None, 0, {})
-    nodes, now, at, n = [root], root, 0, len(page)
+    nodes, open_, at, n = [root], _Open(root), 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            now.kids.append(html.unescape(page[at:]))
+            open_.now.kids.append(html.unescape(page[at:]))
             break
         if lt > at:
-            now.kids.append(html.unescape(page[at:lt]))
+            open_.now.kids.append(html.unescape(page[at:lt]))
         m = OPEN.match(page, lt)
         if not m:
             nxt = page[lt + 1 : lt + 2]
@@ -115,7 +165,7 @@ def parse(page: str) -> list[Node]:
                 end = page.find(mark, lt + 2)
                 at = n if end < 0 else end + len(mark)
             else:
-                now.kids.append("<")
+                open_.now.kids.append("<")
                 at = lt + 1
             continue
         tag = m[2].lower()
@@ -123,49 +173,29 @@ def parse(page: str) -> list[Node]:
             end = page.find(">", m.end())
             at = n if end < 0 else end + 1
             if end >= 0:
-                now = _close(now, tag)
+                open_.close(tag)
             continue
         attrs, at = _attributes(page, m.end())
         if at < 0:
             break
         if tag in CLOSES_P:
-            now = _end_open(now, ("p",), frozenset("button table td th caption object".split()))
+            open_.end(("p",), frozenset("button table td th caption object".split()))
         if tag in ENDS:
             names, stop = ENDS[tag]
-            now = _end_open(now, tuple(names.split()), stop)
+            open_.end(tuple(names.split()), stop)
         if tag in ("html", "body") and any(x.tag == tag for x in nodes[:8]):
             continue
-        node = Node(tag, now, len(nodes), attrs)
+        node = Node(tag, open_.now, len(nodes), attrs)
         nodes.append(node)
-        now.kids.append(node)
+        open_.now.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 or n if end else n
         elif tag not in VOID:
-            now = node
+            open_.push(node)
     return nodes
 
 
-def _close(now: Node, tag: str) -> Node:
-    x = now
-    while x is not None and x.tag != tag:
-        if x.tag in ("article", "body", "table", "td") and tag not in ("article", "body", "html", "table", "tr", "main"):
-            return now
-        x = x.up
-    return now if x is None or x.up is None else x.up
-
-
-def _end_open(now: Node, tags: tuple[str, ...], stop: frozenset) -> Node:
-    x = now
-    while x is not None and x.tag not in stop:
-        if x.tag in tags:
-            return x.up
-        if x.tag in BLOCK and x.tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "tbody", "thead", "tfoot"):
-            return now
-        x = x.up
-    return now
-
-
 def _names(node: Node) -> set[str]:
     said = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
     whole = said.lower().split()
@@ -202,13 +232,8 @@ def _measure(nodes: list[Node]) -> None:
         if (x.tag in KEEPERS and not (_names(x) & COMMENT_NAMES) or x.holds) and x.up is not None:
             x.up.holds = True
     for x in nodes[1:]:
-        up, inside = x.up, False
-        if up.drop:
-            x.drop = True
-            continue
-        while up is not None and not inside:
-            inside, up = up.tag in KEEPERS, up.up
-        x.drop = _dropped(x, inside)
+        x.inside = x.up.inside or x.up.tag in KEEPERS
+        x.drop = x.up.drop or _dropped(x, x.inside)
     for x in reversed(nodes):
         if x.drop:
             continue
@@ -236,32 +261,37 @@ def _measure(nodes: list[Node]) -> None:
 
 
 def _content(nodes: list[Node]) -> list[Node]:
-    """The elements whose text is the article's, in page order."""
-    core = max((x for x in nodes if not x.drop), key=lambda x: (x.sum, -x.index))
-    path = []
-    x = core
+    """The elements whose text is the article's, in page order, none within another."""
+    weight = lambda x: x.sum * (PRIOR if x.tag in KEEPERS or x.attrs.get("role") == "main" else 1.0)
+    core = max((x for x in nodes if not x.drop and x.tag in HOLDERS), key=lambda x: (weight(x), -x.index))
+    path, x = [], core
     while x is not None and x.tag not in ("body", "html", ""):
         path.append(x)
         x = x.up
-    for tags in (("article",), ("main",)):
-        around = [p for p in path if p.tag in tags or tags == ("main",) and p.attrs.get("role") == "main"]
-        if around:
-            return [around[-1]]
     if not path:
         return [core]
     threshold = min(p.dens for p in path)
-    here = path[0]
-    for p in path:
-        up = p.up
-        if any(isinstance(k, Node) and k is not p and not k.drop and k.dens >= threshold and k.c for k in up.kids):
-            here = up
-    if here is path[0]:
-        return [here]
-    return [k for k in here.kids if isinstance(k, Node) and not k.drop and (k.dens >= threshold or k.tag in HEADINGS or k.tag == "p" or k in path)]
+
+    def needed(k: Node, p: Node) -> float:
+        """The density that k has to reach beside p, a part of the path."""
+        if k.tag in KEEPERS or k.holds:
+            return threshold / PRIOR
+        return threshold * (PRIOR if p.tag in KEEPERS or p.holds else 1.0)
+
+    here = 0  # the last part of the path that has content beside it
+    for i, p in enumerate(path):
+        if any(isinstance(k, Node) and k is not p and not k.drop and k.c and k.dens >= needed(k, p) for k in p.up.kids):
+            here = i + 1
+    out = [core]
+    for p in path[:here]:
+        beside = [k for k in p.up.kids if isinstance(k, Node) and k is not p and not k.drop]
+        out += [k for k in beside if k.dens >= needed(k, p) or (k.tag in HEADINGS or k.tag == "p") and not (p.tag in KEEPERS or p.holds)]
+    return sorted(out, key=lambda k: k.index)
 
 
 def _is_menu(x: Node) -> bool:
-    return x.tag in ("ul", "ol", "div", "section", "table") and x.lt >= 3 and x.lc > 0.7 * x.c
+    """Outside of articles, a list or table that is all links."""
+    return x.tag in ("ul", "ol", "div", "section", "table") and not x.inside and x.lt >= 3 and x.lc > 0.7 * x.c
 
 
 def _blocks(top: Node) -> list[str]:

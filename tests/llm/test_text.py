@@ -343,6 +343,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
         ("<main><div class=post><p>First long words of it.</p><p>Second long words of it.</p></div><div class='sidebar'><p>Popular now and ever</p></div></main>", "First long words of it. Second long words of it."),
         ("<div id=x><h2>Head</h2><p>First long words of this text.</p><div><p>Inner long words.</p></div></div>", "Head First long words of this text. Inner long words."),
         ("<article><header><h1>Head</h1></header><p>Text.</p><p class=legal-notice>Mind this.</p><ins class=adsbygoogle>Buy</ins><div id=side-bar>More</div></article>", "Head Text."),
+        ("<article><p>First words of the one.</p><p>And more of it.</p></article><article><p>Second words of the other.</p><p>And more.</p></article>", "First words of the one. And more of it. Second words of the other. And more."),
+        ("<article><p>Words with sources.</p><ul><li><a href=a>Source one</a><li><a href=b>Source two</a><li><a href=c>Three</a></ul></article>", "Words with sources. Source one Source two Three"),
+        ("<div><div>Bare text that stands in a part<br>of its own <p>and a paragraph</p> and more bare text</div><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></div>", "Bare text that stands in a part of its own and a paragraph and more bare text"),
         ("", ""),
     ],
 )
@@ -355,6 +358,86 @@ def test_broken_pages(page):
     assert isinstance(text_density.main_text(page), str)
 
 
+def naive_density(node, share):
+    """Characters, tags, linked characters and link tags under a node, its density and its sum, each from the whole subtree."""
+    import math
+
+    def under(x, linked=False):
+        c = t = lc = lt = 0
+        linked = linked or x.tag == "a"
+        for k in x.kids:
+            if isinstance(k, str):
+                c += len(k.strip())
+                lc += len(k.strip()) if linked else 0
+            elif not k.drop:
+                some = under(k, linked)
+                c, t, lc, lt = c + some[0], t + some[1], lc + some[2], lt + some[3]
+        return c, t + 1, lc, lt + (x.tag == "a")
+
+    def density(x):
+        c, t, lc, lt = under(x)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        scale = math.log(c / max(1, lc) * t / max(1, lt)) / math.log(base) if base > 1.000001 else 1.0
+        return max(0.0, c / t * scale)
+
+    return (*under(node), density(node), sum(len(k.strip()) if isinstance(k, str) else density(k) for k in node.kids if isinstance(k, str) or not k.drop))
+
+
+def _tree(r, depth):
+    out = ""
+    for _ in range(r.randrange(1, 5)):
+        kind = r.choice(["text", "a", "p", "div", "section", "b", "nav", "ul"]) if depth else "text"
+        words = " ".join(r.choice(["one", "two", "three", "wonderful"]) for _ in range(r.randrange(1, 30)))
+        if kind == "text":
+            out += words
+        elif kind in ("a", "p", "b"):
+            out += f"<{kind}>{words}</{kind}>"
+        elif kind == "ul":
+            out += "<ul>" + "".join(f"<li><a>{w}</a></li>" for w in words.split()[:4]) + "</ul>"
+        else:
+            out += f"<{kind}>{_tree(r, depth - 1)}</{kind}>"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_densities_against_a_naive_count(seed):
+    r = random.Random(seed)
+    nodes = text_density.parse(f"<html><body>{_tree(r, 4)}</body></html>")
+    text_density._measure(nodes)
+    kept = [x for x in nodes if not x.drop]
+    body = next(x for x in nodes if x.tag == "body")
+    c, _, lc, *_ = naive_density(body, 0)
+    share = lc / max(1, c)
+    for x in kept:
+        got = (x.c, x.t, x.lc, x.lt, x.dens, x.sum)
+        assert got == pytest.approx(naive_density(x, share), rel=1e-9), x.tag
+    # the text is that of the element with the largest sum among those that hold blocks, and of parts beside it
+    core = max((x for x in kept if x.tag in text_density.HOLDERS), key=lambda x: (x.sum, -x.index))
+    content = text_density._content(nodes)
+    assert core in content
+    path, x = [], core
+    while x.tag not in ("body", "html", ""):
+        path.append(x)
+        x = x.up
+    threshold = min((p.dens for p in path), default=0)
+    beside = [k for p in path for k in p.up.kids if not isinstance(k, str) and k is not p and not k.drop and k.c and k.dens >= threshold]
+    assert all(k in content for k in beside)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        began = time.process_time()
+        for page in ("<div>" * n + "x", "<b>" * n + "<p>x" * n, "<i>" * n + "</u>" * n):
+            assert isinstance(text_density.main_text(page), str)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0]
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x"), (2, "u", "")]
     got = text_density.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
