@@ -130,6 +130,114 @@ def test_every_known_sentence_speaks_of_licenses():
         assert licenses.SPEAKS.search(pattern.replace(r"licen[sc]e", "license"))
 
 
+REFERENCES = {
+    "The code is licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+    "Everything here is released under MIT.": "MIT",
+    "It is distributed under the terms of the GNU Lesser General Public License v2.1 or later.": "LGPL-2.1-or-later",
+    "Licensed under the GNU Affero General Public License, version 3 (or any later version).": "AGPL-3.0",
+    "Our tool is available under GPL-2.0 only": "GPL-2.0-only",
+    "Distributed under the terms of the GNU GPL version 2 or\nany later version": "GPL-2.0-or-later",
+    "Text is available under the Creative Commons Attribution-ShareAlike 3.0 Unported License": "CC-BY-SA-3.0",
+    "Photos are licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+    "published under CC BY 2.5": "CC-BY-2.5",
+    "This file is covered by the BSD 3-Clause License": "BSD-3-Clause",
+    "Provided under the 2-clause BSD License.": "BSD-2-Clause",
+    "The fonts are licensed under the SIL Open Font License, Version 1.1.": "OFL-1.1",
+    "The MIT License (MIT)": "MIT",
+    "Boost Software License - Version 1.0": "BSL-1.0",
+    "Made by us, licensed under the Eclipse Public License 2.0": "EPL-2.0",
+    "The book is in the public domain.": "public-domain",
+    "SPDX-License-Identifier: Zlib": "zlib",
+}
+
+
+@pytest.mark.parametrize("text", list(REFERENCES))
+@pytest.mark.parametrize("around", [("", ""), ("Some words here. ", " And more follow."), ("no stop before it\n", "\nno mark after it"), ("// ", "\n// next")])
+def test_license_references(text, around):
+    if around[1].startswith(" ") and not re.search(" (under|by|in) ", text):
+        around = (around[0], "")  # a title is a line of its own
+    body = around[0] + text + around[1]
+    got = licenses.match_rules(licenses.sentence_ids(body))
+    assert [r[0] for r in got] == [REFERENCES[text]]
+    assert body[got[0][2] : got[0][3]].rstrip(".") in text + around[1] and got[0][2] == body.index(text)
+
+
+def test_plain_words_are_no_license():
+    for text in ("mit\nMit. Der Rest", "We use Apache and MIT.", "An example is simple. Reply!", "The band was released under pressure."):
+        assert licenses.match_rules(licenses.sentence_ids(text)) == []
+
+
+KNOWN = {
+    "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-see": "See the GNU General Public License for more details.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "apache2-use": "you may not use this file except in compliance with the License.",
+    "apache2-ref": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO ANYTHING.',
+    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use.',
+    "zlib-origin": "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsd-endorse": "Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+}
+
+
+def plain_rules(names):
+    """Licenses of a sequence of identifiers, by trying every rule at every place of what is left, one match at a time."""
+    out, left = [], list(enumerate(names))
+    for license_, said in licenses.RULES:
+        again = True
+        while again:
+            again = False
+            for i in range(len(left)):
+                at = i
+                for step in said.split():
+                    if at < len(left) and left[at][1] == step.rstrip("?"):
+                        at += 1
+                    elif not step.endswith("?"):
+                        at = i
+                        break
+                if at > i:
+                    out.append((left[i][0], license_))
+                    del left[i:at]
+                    again = True
+                    break
+    return [x for _, x in sorted(out + [(k, "UNKNOWN") for k, _ in left])]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sentences_and_rules_against_plain_versions(seed):
+    """Known sentences among prose, wrapped and behind comment marks, are found in order; rules match like a plain search."""
+    r = random.Random(seed)
+    names, lines = [], []
+    for _ in range(r.randrange(1, 14)):
+        if r.random() < 0.3:
+            lines.append(f"Plain words of prose number {r.randrange(99)}.")
+        names.append(r.choice(list(KNOWN)))
+        words, width = KNOWN[names[-1]].split(" "), r.choice([3, 8, 500])
+        lines += [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+    text = "\n".join(r.choice(["", " * ", "// ", "# "]) + x for x in lines)
+    got = licenses.sentence_ids(text)
+    assert [g[2] for g in got] == names
+    assert [m[0] for m in licenses.match_rules(got)] == plain_rules(names)
+
+
+def test_long_sentences_and_many_lines_take_linear_time():
+    import time
+
+    held = "Redistribution and use in source and binary forms," + " \n" * 9000 + "with or without modification, are permitted provided that the following conditions are met:"
+    assert [x[2] for x in licenses.sentence_ids(held)] == ["bsd-grant"]
+    took = []
+    for n in (500, 4000):
+        began = time.process_time()
+        for line in ("permission is hereby granted, free of charge\n", "copyright (c) someone\n", "(c) MIT License\n", "a license, "):
+            licenses.match_rules(licenses.sentence_ids(line * n))
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
+
+
 def test_licenses_odd_rows(spark, odd, empty):
     assert licenses.scan(odd).collect() == [] and licenses.scan(empty).collect() == []
     twice = spark.createDataFrame([(7, "MIT License."), (7, "MIT License.")], "doc_id long, text string")
