@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a folder of our own serves, if driver and executors are one process, as in tests; on a cluster that
+    is an error.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -40,6 +47,26 @@ def written(df: DataFrame, name: str, compression: str = "zstd", files: int | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that are needed until a run's results are written, and then removed."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
 def files_for(rows: int, each: int = 50_000, least: int = 24) -> int:
     """Files for a table of so many small rows: few small ones, yet as many as keep a large cluster busy."""
     return max(least, -(-rows // each))
@@ -72,6 +99,22 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: UTF-8 bytes of texts in a range of ids, one task's share; twice as many from MOST_RANGES ranges on, and so forth.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 16
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(whole_text())).alias("n")).first()["n"] or 0
+
+
+def ranges_for(size: int) -> int:
+    """Ranges for so many bytes."""
+    each = RANGE_BYTES
+    while size > each * MOST_RANGES:
+        each *= 2
+    return max(1, -(-size // each))
+
+
 #: Stand for a null id in an order, before or after all others.
 FIRST, LAST = -(2**63), 2**63 - 1
 

@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import id_bounds, new_path, whole_text
+from seqloom.llm.common import id_bounds, new_path, ranges_for, text_bytes
 from seqloom.llm.tokens import bases, ids_of, token_rows
 
 CHUNK, BLOCK, END = 8, 512, 1
 #: Ids after which a file is closed: bounds the memory of writer and reader, but for one longer document.
 FILE_IDS = 1 << 21
-#: UTF-8 bytes of texts in a range of ids, one task's share; twice as many from MOST_RANGES ranges on, and so forth.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 16
 HEAD, LEVEL = struct.Struct("<4sIIIQQQQ"), struct.Struct("<QQQQ")
 
 
@@ -125,14 +123,6 @@ class Reader:
         return self.slice(*self.starts(k, k + 2).tolist())
 
 
-def ranges_for(size: int) -> int:
-    """Ranges for so many bytes."""
-    each = RANGE_BYTES
-    while size > each * MOST_RANGES:
-        each *= 2
-    return max(1, -(-size // each))
-
-
 def write_files(docs: DataFrame, end_id: int = END, file_ids: int = FILE_IDS, path: str | None = None, tokenizer: str | None = None) -> str:
     """Writes files in ascending doc_id order and returns their folder.
 
@@ -140,8 +130,7 @@ def write_files(docs: DataFrame, end_id: int = END, file_ids: int = FILE_IDS, pa
     tokenized before the shuffle and sorted within a range.  Rows of one id that fill several ranges are spread over
     them.
     """
-    size = docs.agg(F.sum(F.octet_length(whole_text())).alias("n")).first()["n"] or 0
-    count = ranges_for(size)
+    count = ranges_for(text_bytes(docs))
     path = path or new_path(docs.sparkSession, "dac")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

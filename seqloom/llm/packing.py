@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.tokens import bases, ids_of, token_table
+from seqloom.llm.tokens import Encoder, bases, ids_of, token_table
 
 WINDOW, END = 4096, 2
 
@@ -64,5 +64,6 @@ def sequences(tokens: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataF
     return whole.mapInArrow(fill, "sequence_id long, n_tokens long, ids array<int>")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END) -> DataFrame:
-    return pieces(token_table(docs, end_id), window)
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END, kept: int = Encoder.KEPT) -> DataFrame:
+    """pieces of documents.  kept: pieces of text that a worker remembers the ids of; fewer take less memory and more time."""
+    return pieces(token_table(docs, end_id, kept=kept), window)

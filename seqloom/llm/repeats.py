@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import parts, whole_text, written
+from seqloom.llm.common import Scratch, parts, whole_text, written
 
 WINDOW, ANCHOR = 400, 128
 PASSAGE, PASSAGE_ANCHOR = 50, 16
@@ -333,38 +333,37 @@ def halve(window: int, step: int):
 ASKED = ["kind", "key", "c", "single", "row", "start", "count", "lead"]
 
 
-def _level(table: DataFrame, window: int, raw_of, step: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def _level(table: DataFrame, window: int, raw_of, step: int, keep) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """table: written pieces.  (row, first, count) of repeated windows found, the halves of pieces of oversized keys, and
     the pieces that were looked at."""
-    spark = table.sparkSession
     # written before they are joined: a join of two plain tables can split a key with very many rows
-    many = written(table.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
-    shared = written(table.drop("raw", "kind").join(many, "key", "left_semi"), "shared")
-    classes = written(shared.groupBy("key", "f0", "f1").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "count", "lead")).alias("r")), "classes")
+    many = keep(table.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
+    shared = keep(table.drop("raw", "kind").join(many, "key", "left_semi"), "shared")
+    classes = keep(shared.groupBy("key", "f0", "f1").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "count", "lead")).alias("r")), "classes")
     # equal pieces: all their windows
     copies = shared.join(classes.filter("n > 1").select("key", "f0", "f1"), ["key", "f0", "f1"], "left_semi")
     found = copies.select("row", F.col("start").alias("first"), F.col("count").cast("long").alias("count"))
     # keys with several distinct pieces, one of them single
     keys = classes.groupBy("key").agg(F.count("*").alias("c"), F.sum((F.col("n") == 1).cast("long")).alias("singles")).filter("c > 1 AND singles > 0")
-    left = classes.join(written(keys.select("key", "c"), "several"), "key").select(F.lit(BYTES).alias("kind"), "key", "c", (F.col("n") == 1).alias("single"), "r.row", "r.start", "r.count", "r.lead")
-    both = written(raw_of(left), "compared")
+    left = classes.join(keep(keys.select("key", "c"), "several"), "key").select(F.lit(BYTES).alias("kind"), "key", "c", (F.col("n") == 1).alias("single"), "r.row", "r.start", "r.count", "r.lead")
+    both = keep(raw_of(left), "compared")
     left = both.filter(F.col("kind") == BYTES)
-    dealt = left.filter(F.col("c") <= PIECES).repartition(parts(spark), "key").sortWithinPartitions("key")
+    dealt = left.filter(F.col("c") <= PIECES).repartition(parts(table.sparkSession), "key").sortWithinPartitions("key")
     rounds = dealt.select("key", "row", "start", "lead", "single", "raw").mapInArrow(solve(window), "row long, first long, count long")
     found = found.union(rounds)
     hot = left.filter(F.col("c") > PIECES)
     if hot.limit(1).count() == 0:
         return found, None, both
-    return found, written(hot.select("row", "start", "count", "lead", "raw").mapInArrow(halve(window, step), PIECE + ", raw binary"), "halves"), both
+    return found, keep(hot.select("row", "start", "count", "lead", "raw").mapInArrow(halve(window, step), PIECE + ", raw binary"), "halves"), both
 
 
-def _asked_passages(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _asked_passages(table: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     """table: written pieces in words.  (row, first, count) of the windows of equal pieces of several documents, and the
     pieces whose windows are to be compared, as ASKED: those of one document, and one of each that several have."""
     several = F.min("row") != F.max("row")
-    many = written(table.groupBy("key").agg(several.alias("several")).filter("several").select("key"), "passage-keys")
-    shared = written(table.join(many, "key", "left_semi"), "passage-shared")
-    classes = written(shared.groupBy("key", "f0", "f1").agg(several.alias("several"), F.min(F.struct("row", "start", "count")).alias("r")), "passage-classes")
+    many = keep(table.groupBy("key").agg(several.alias("several")).filter("several").select("key"), "passage-keys")
+    shared = keep(table.join(many, "key", "left_semi"), "passage-shared")
+    classes = keep(shared.groupBy("key", "f0", "f1").agg(several.alias("several"), F.min(F.struct("row", "start", "count")).alias("r")), "passage-classes")
     member = shared.join(classes.select("key", "f0", "f1", "several"), ["key", "f0", "f1"])
     found = member.filter("several").select("row", F.col("start").alias("first"), F.col("count").cast("long").alias("count"))
     keys = classes.groupBy("key").agg(F.min("several").alias("all")).filter("NOT all").select("key")
@@ -374,7 +373,7 @@ def _asked_passages(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, some.union(one)
 
 
-def _met_passages(both: DataFrame) -> DataFrame:
+def _met_passages(both: DataFrame, keep) -> DataFrame:
     """(row, first, count) of the windows of single pieces that another document has; raw: their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +387,7 @@ def _met_passages(both: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(first), pa.array(np.concatenate(raw))], ["key", "single", "row", "first", "hash"])
 
     schema = "key long, single boolean, row long, first long, hash long"
-    windows = written(both.filter(F.col("kind") == WORDS).select("key", "single", "row", "start", "raw").mapInArrow(run, schema), "passage-windows")
+    windows = keep(both.filter(F.col("kind") == WORDS).select("key", "single", "row", "start", "raw").mapInArrow(run, schema), "passage-windows")
     met = windows.groupBy("key", "hash").agg(((F.min("row") != F.max("row")) | ~F.min("single")).alias("met")).filter("met").select("key", "hash")
     return windows.filter("single").join(met, ["key", "hash"], "left_semi").select("row", "first", F.lit(1).cast("long").alias("count"))
 
@@ -417,9 +416,10 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     """(kind, row, first, count) of all windows of texts (row, text; rows distinct) that start anywhere else too (BYTES) or
     that another text holds (WORDS)."""
     step = 1 << (window - anchor).bit_length() - 1
-    both = written(piece_table(texts, window, anchor, words), "pieces")
+    keep = Scratch(texts.sparkSession)
+    both = keep(piece_table(texts, window, anchor, words), "pieces")
     table = both.filter(F.col("kind") == BYTES)
-    equal, asked_words = _asked_passages(both.filter(F.col("kind") == WORDS).drop("kind", "lead"))
+    equal, asked_words = _asked_passages(both.filter(F.col("kind") == WORDS).drop("kind", "lead"), keep)
 
     def from_texts(left: DataFrame) -> DataFrame:
         asked = left.select(*ASKED).union(asked_words.select(*ASKED)).groupBy("row").agg(F.collect_list(F.struct(*[c for c in ASKED if c != "row"])).alias("asked"))
@@ -441,12 +441,13 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         schema = "kind int, key long, c long, single boolean, row long, start long, count int, lead int, raw binary"
         return _packed(texts).join(asked, "row").mapInArrow(take, schema)
 
-    found, halves, looked = _level(table, window, from_texts, step)
-    out = [written(found.withColumn("kind", F.lit(BYTES)), "found"), written(equal.union(_met_passages(looked)).withColumn("kind", F.lit(WORDS)), "passages")]
+    found, halves, looked = _level(table, window, from_texts, step, keep)
+    out = [written(found.withColumn("kind", F.lit(BYTES)), "found"), written(equal.union(_met_passages(looked, keep)).withColumn("kind", F.lit(WORDS)), "passages")]
     while halves is not None:
         table, step = halves, step // 2
-        found, halves, _ = _level(table, window, lambda left, table=table: left.join(table.select("row", "start", "raw"), ["row", "start"]), step)
+        found, halves, _ = _level(table, window, lambda left, table=table: left.join(table.select("row", "start", "raw"), ["row", "start"]), step, keep)
         out.append(written(found.withColumn("kind", F.lit(BYTES)), "found"))
+    keep.clear()
     return out
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import FIRST, LAST, files_for, fresh, id_bounds, parts, whole_text, written
+from seqloom.llm.common import FIRST, LAST, Scratch, files_for, fresh, id_bounds, parts, ranges_for, text_bytes, whole_text, written
 from seqloom.llm.hamming import Forest, _groups, components, deal, links, neighbour_counts
 
 # ---- shingle fingerprints and near duplicates -------------------------------------------------------------------
@@ -160,7 +160,7 @@ def edited_prints(docs: DataFrame) -> DataFrame:
     last), so that a text has its successor beside it after one shuffle.  Null ids come first; rows of one id are in
     the order of their texts.
     """
-    count = max(1, parts(docs.sparkSession)) * 2
+    count = ranges_for(text_bytes(docs))
     bounds, first = _buckets(docs, count)
     order = sorted(first)
     before = {first[k]: order[i - 1] for i, k in enumerate(order)}  # an id that opens a range -> the range before
@@ -207,7 +207,7 @@ def edited_prints(docs: DataFrame) -> DataFrame:
 
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("key"), F.col("doc_id").cast("long"), whole_text().alias("text"))
     dealt = src.mapInArrow(deal, "bucket long, tail boolean, key long, doc_id long, text string")
-    near = dealt.repartition(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
+    near = dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
     return near.mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
@@ -348,8 +348,8 @@ def one_of_each(docs: DataFrame, k: int, rows: int, similarity: float = 0.8) ->
     one id and text count as one; a null id comes after all others.
     """
     count = docs.count()
-    files, bands = files_for(count), bands_for(similarity, rows)
-    keep = lambda df, name: written(df, name, files=files)
+    files, bands, scratch = files_for(count), bands_for(similarity, rows), Scratch(docs.sparkSession)
+    keep = lambda df, name: scratch(df, name, files)
     prints = keep(band_prints(docs, k, bands, rows), "prints")
     distinct = prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     texts = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
@@ -377,9 +377,10 @@ def one_of_each(docs: DataFrame, k: int, rows: int, similarity: float = 0.8) ->
     members = keep(texts.join(tied, "node").select("root", "node", *name), "members")
     least = members.groupBy("root").agg(F.min(F.struct(*name)).alias("least"))
     gone = members.join(least, "root").filter(F.struct(*name) != F.col("least")).select("node")
-    kept = texts.join(gone, "node", "left_anti").select(*name)
+    kept = written(texts.join(gone, "node", "left_anti").select(*name), "kept", files=files)
+    again = prints.groupBy(*name).count().filter("count > 1").limit(1).count()
+    scratch.clear()
     marks = fresh(docs.columns, *name)
     marked = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias(marks[0]), *[c.alias(m) for c, m in zip(text_names(), marks[1:], strict=True)])
     out = marked.join(kept.toDF(*marks), marks, "left_semi")
-    again = prints.groupBy(*name).count().filter("count > 1").limit(1).count()
     return (out.dropDuplicates(marks) if again else out).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -38,12 +38,13 @@ class Encoder(dict):
     Latin-1 a capital's ids are its small letter's.  Pieces met before are looked up: the dictionary is from pieces to ids.
 
     The strings of special tokens in a text become their ids, as the library does by itself; with special_as_text they
-    are ordinary text.
+    are ordinary text.  kept: pieces that the dictionary holds, some 200 bytes each.
     """
 
     KEPT, LONGEST = 1_000_000, 48
 
-    def __init__(self, path: str, special_as_text: bool = False) -> None:
+    def __init__(self, path: str, special_as_text: bool = False, kept: int = KEPT) -> None:
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,7 +89,7 @@ class Encoder(dict):
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.KEPT:
+        if len(self) > self.kept:
             self.clear()
         of = self.__getitem__
         # str.split() also cuts at four control characters that the vocabulary takes for signs
@@ -100,18 +101,19 @@ class Encoder(dict):
 
 
 _ODD = re.compile("[\x1c-\x1f]")
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, special_as_text: bool = False, kept: int = Encoder.KEPT) -> Encoder:
     """One for each worker process, which serves many tasks."""
-    name = path, special_as_text
+    name = path, special_as_text, kept
     if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(path, special_as_text)
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(path, special_as_text, kept)
     return _ENCODERS[name]
 
 
-def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: list[int] = (), batch_chars: int = 600_000, special_as_text: bool = False) -> DataFrame:
+def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: list[int] = (), batch_chars: int = 600_000, special_as_text: bool = False, kept: int = Encoder.KEPT) -> DataFrame:
     """part, local_start (ids before it in its part), doc_id, bucket, n_tokens, width (bytes an id), ids.
 
     part is the input partition, in whose order the rows stand; bucket is doc_id's range by bounds, or, if the id is a
@@ -120,7 +122,7 @@ def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: li
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, at = encoder(path, special_as_text), TaskContext.get().partitionId(), 0
+        own, part, at = encoder(path, special_as_text, kept), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], own.kind).tobytes(), own.kind.itemsize
 
         def rows(ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -150,9 +152,9 @@ def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: li
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "part long, local_start long, doc_id long, bucket long, n_tokens long, width int, ids binary")
 
 
-def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
+def token_table(docs: DataFrame, end_id: int, path: str | None = None, kept: int = Encoder.KEPT) -> DataFrame:
     """token_rows as a written table."""
-    return written(token_rows(docs, end_id, path), "tokens")
+    return written(token_rows(docs, end_id, path, kept=kept), "tokens")
 
 
 def ids_of(raw: bytes, width: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqloom.llm import direct_codes, packing, tokens
+from seqloom.llm import common, direct_codes, packing, tokens
 
 ODD_TEXTS = [
     "Ünïcode İstanbul ΣΑΣ Σ, é é á, it's IT'S we'll <|endoftext|> x<|startoftext|>y 12.5 ... ,. a.,b",
@@ -122,8 +122,8 @@ def test_a_token_is_read_by_seeking(spark, tmp_path):
 
 def test_ranges(spark, monkeypatch):
     """A range for so many bytes; rows of one id, or of none, fill several ranges, and the order is kept."""
-    assert [direct_codes.ranges_for(n) for n in (0, 1, direct_codes.RANGE_BYTES + 1, 10**14)] == [1, 1, 2, -(-(10**14) // (direct_codes.RANGE_BYTES << 6))]
-    monkeypatch.setattr(direct_codes, "RANGE_BYTES", 500)
+    assert [common.ranges_for(n) for n in (0, 1, common.RANGE_BYTES + 1, 10**14)] == [1, 1, 2, -(-(10**14) // (common.RANGE_BYTES << 6))]
+    monkeypatch.setattr(common, "RANGE_BYTES", 500)
     rows = [(i, f"text {i}") for i in range(200)] + [(70, f"same id {i}") for i in range(300)] + [(None, f"no id {i}") for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     path = direct_codes.write_files(docs)
