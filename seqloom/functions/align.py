@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -13,58 +14,175 @@ from seqloom.functions.scoring import Scores, kind_of, scores_for
 LOW = np.float32(-1e30)
 
 
-def pairwise(score: np.ndarray, s: Scores) -> tuple[list[tuple[int, int]], float]:
-    """Best path over a matrix of column scores: pairs (i, j), -1 for a gap on that side.
+#: Cells whose way back is kept at once; a larger pair keeps some rows and goes through its blocks again.
+CELLS = 1 << 24
+MATCH, OVER, UNDER = 0, 1, 2  # a column of both, a gap in the first, a gap in the second
+
+
+@dataclass
+class Pair:
+    """Two sides to be aligned: rows(i, j) gives the scores of places i to j of the first against all of the second."""
+
+    n: int
+    m: int
+    rows: Callable[[int, int], np.ndarray]
+    s: Scores
+
 
-    Three states, a row at a time; gaps along a row are a running maximum.  Entering and leaving an inner gap costs
-    gap_open, going on gap_extend; gaps at either end cost gap_terminal a column.
+class _Sweep:
+    """The recurrence a row at a time, over several pairs at once.
+
+    Three states; gaps along a row are a running maximum.  Entering and leaving an inner gap costs gap_open, going on
+    gap_extend; gaps at either end cost gap_terminal a column.  Places beyond a pair's own size hold what nothing reads.
+    """
+
+    def __init__(self, pairs: list[Pair]) -> None:
+        self.n, self.m = np.array([p.n for p in pairs]), np.array([p.m for p in pairs])
+        self.o, self.e, self.t = (np.array([[getattr(p.s, k)] for p in pairs], np.float32) for k in ("gap_open", "gap_extend", "gap_terminal"))
+        self.width, self.each = int(self.m.max()), np.arange(len(pairs))
+        self.j = np.arange(self.width + 1, dtype=np.float32)
+        self.leave = np.repeat(self.o, self.width, 1)
+        self.leave[:, 0] = 0  # a gap at the end costs nothing to leave
+
+    def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, x, y = (np.full((len(self.each), self.width + 1), LOW, np.float32) for _ in range(3))
+        a[:, 0] = 0
+        x[:, 1:] = -self.t * self.j[1:]
+        return a, x, y
+
+    def step(self, i: int, above: tuple[np.ndarray, np.ndarray, np.ndarray], score: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Row i (from 1 on), and where each cell's states come from: two bits for a match, one each for gaps that go on."""
+        a0, x0, y0 = above
+        o, e, t, at_m = self.o, self.e, self.t, (self.each, self.m)
+        over = x0[:, :-1] if i == 1 else x0[:, :-1] - o
+        under = y0[:, :-1] - self.leave
+        came = np.maximum(a0[:, :-1], over)
+        which = (over > a0[:, :-1]).astype(np.uint8)
+        lower = under > came
+        which[lower] = UNDER
+        a, way = np.empty_like(a0), np.zeros(a0.shape, np.uint8)
+        a[:, 0] = LOW
+        np.maximum(came, under, out=came)
+        np.add(came, score, out=a[:, 1:])
+        way[:, 1:] = which
+        on, new = y0 - e, a0 - o
+        on[at_m], new[at_m] = y0[at_m] - t[:, 0], a0[at_m] - t[:, 0]
+        y = np.maximum(on, new)
+        y[:, 0] = -t[:, 0] * i
+        way |= (on >= new).astype(np.uint8) << 2
+        last = (self.n == i)[:, None]
+        start, extend = np.where(last, t, o), np.where(last, t, e)
+        run = np.maximum.accumulate(a + extend * self.j, axis=1)
+        x = np.full_like(a, LOW)
+        x[:, 1:] = run[:, :-1] - extend * (self.j[1:] - 1) - start
+        way[:, 1:] |= (x[:, :-1] - extend >= a[:, :-1] - start).astype(np.uint8) << 3
+        return (a, x, y), way
+
+
+def _back(ways: np.ndarray, floor: int, i: np.ndarray, j: np.ndarray, state: np.ndarray, out: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Goes back through ways (rows from floor + 1 on) until row floor, or the origin if that is 0; steps go to out, last first."""
+    each = np.arange(len(i))
+    if len(i) == 1:  # one pair: plain numbers are quicker than arrays of one
+        r, c, now, left, right = int(i[0]), int(j[0]), int(state[0]), [], []
+        while r > floor if floor else r or c:
+            way = int(ways[max(0, min(r - floor, len(ways)) - 1), 0, c])
+            left.append(-1 if now == OVER else r - 1)
+            right.append(-1 if now == UNDER else c - 1)
+            if now == MATCH:
+                r, c, now = r - 1, c - 1, way & 3
+            elif now == OVER:
+                now, c = OVER if r == 0 or way & 8 else MATCH, c - 1
+            else:
+                now, r = UNDER if c == 0 or way & 4 else MATCH, r - 1
+        out.extend((np.array([p]), np.array([q])) for p, q in zip(left, right, strict=True))
+        return np.array([r]), np.array([c]), np.array([now])
+    while True:
+        go = i > floor if floor else (i > 0) | (j > 0)
+        if not go.any():
+            return i, j, state
+        row = np.clip(i - floor - 1, 0, len(ways) - 1)
+        way = ways[row, each, j]
+        take, over = go & (state == MATCH), go & (state == OVER)
+        under = go & (state == UNDER)
+        out.append((np.where(take | under, i - 1, -1 - ~go), np.where(take | over, j - 1, -1 - ~go)))
+        nxt = np.where(take, way & 3, np.where(over, np.where((i == 0) | (way & 8 > 0), OVER, MATCH), np.where((j == 0) | (way & 4 > 0), UNDER, MATCH)))
+        state = np.where(go, nxt, state)
+        i, j = i - (take | under), j - (take | over)
+
+
+def align_pairs(pairs: list[Pair]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Best path of each pair: places of the first side, of the second (-1: gap), and the score.
+
+    Pairs of like size go together, CELLS cells at a time.  A pair of more cells keeps every so-many-th row and takes the
+    blocks between them once more from the last on, so that memory grows with the root of its cells, at equal results.
     """
-    n, m = score.shape
-    o, e, t = np.float32(s.gap_open), np.float32(s.gap_extend), np.float32(s.gap_terminal)
-    a, ga, gb = (np.full((n + 1, m + 1), LOW, np.float32) for _ in range(3))
-    a[0, 0] = 0
-    j = np.arange(m + 1, dtype=np.float32)
-    ga[0, 1:] = -t * j[1:]
-    gb[1:, 0] = -t * np.arange(1, n + 1, dtype=np.float32)
+    out: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (pairs[k].n, pairs[k].m))
+    at = 0
+    while at < len(order):
+        end, n, m = at, 0, 0
+        while end < len(order):
+            p = pairs[order[end]]
+            n2, m2 = max(n, p.n), max(m, p.m)
+            if end > at and ((n2 + 1) * (m2 + 1) * (end - at + 1) > CELLS or n2 > 2 * pairs[order[at]].n + 8):
+                break
+            n, m, end = n2, m2, end + 1
+        some = order[at:end]
+        for k, got in zip(some, _align_together([pairs[k] for k in some]), strict=True):
+            out[k] = got
+        at = end
+    return out
+
+
+def _align_together(pairs: list[Pair]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    sweep = _Sweep(pairs)
+    n, m, each = int(sweep.n.max()), sweep.width, sweep.each
+    block = n if (n + 1) * (m + 1) * len(pairs) <= CELLS else max(1, int(np.sqrt(n)))
+    score = np.zeros((min(block, n), len(pairs), m), np.float32)
+
+    def fill(i: int) -> np.ndarray:
+        """Scores of the rows of the block from row i on."""
+        for k, p in enumerate(pairs):
+            z = min(i + block, p.n)
+            if i < z:
+                score[: z - i, k, : p.m] = p.rows(i, z)
+        return score
+
+    kept = {0: sweep.first()}
+    now = kept[0]
+    ends = np.zeros((3, len(pairs)), np.float32)
+    ways: list[np.ndarray] = []
     for i in range(1, n + 1):
-        came = np.maximum(a[i - 1, :-1], np.maximum(ga[i - 1, :-1], gb[i - 1, :-1]) - o)
-        if i == 1:
-            came[1:] = np.maximum(came[1:], ga[0, 1:-1])  # a gap at the end costs nothing to leave
-        came[0] = max(came[0], gb[i - 1, 0])
-        a[i, 1:] = came + score[i - 1]
-        down = np.maximum(gb[i - 1] - e, a[i - 1] - o)
-        down[m] = max(gb[i - 1, m], a[i - 1, m]) - t
-        gb[i, 1:] = down[1:]
-        if i < n:
-            open_, extend = o, e
-        else:
-            open_, extend = t, t
-        run = np.maximum.accumulate(a[i] + extend * j)
-        ga[i, 1:] = run[:-1] - extend * (j[1:] - 1) - open_
-    path, i, j_ = [], n, m
-    state = int(np.argmax([a[n, m], ga[n, m], gb[n, m]]))
-    total = float(max(a[n, m], ga[n, m], gb[n, m]))
-    while i or j_:
-        if state == 0:
-            path.append((i - 1, j_ - 1))
-            i, j_ = i - 1, j_ - 1
-            leave = [0 if i == 0 else o, 0 if j_ == 0 else o]
-            state = int(np.argmax([a[i, j_], ga[i, j_] - leave[0], gb[i, j_] - leave[1]])) if i or j_ else 0
-        elif state == 1:
-            path.append((-1, j_ - 1))
-            j_ -= 1
-            end = i in (0, n)
-            state = 1 if ga[i, j_] - (t if end else e) >= a[i, j_] - (t if end else o) else 0
-            if i == 0:
-                state = 1
-        else:
-            path.append((i - 1, -1))
-            i -= 1
-            end = j_ in (0, m)
-            state = 2 if gb[i, j_] - (t if end else e) >= a[i, j_] - (t if end else o) else 0
-            if j_ == 0:
-                state = 2
-    return path[::-1], total
+        if (i - 1) % block == 0:
+            fill(i - 1)
+            ways = []
+        now, way = sweep.step(i, now, score[(i - 1) % block])
+        ways.append(way)
+        if i % block == 0 and i < n:
+            kept[i] = now
+        done = sweep.n == i
+        if done.any():
+            for x, v in enumerate(now):
+                ends[x, done] = v[each[done], sweep.m[done]]
+    state, total = ends.argmax(0), ends.max(0)
+    i, j, steps = sweep.n.copy(), sweep.m.copy(), []
+    for floor in sorted(kept, reverse=True):
+        if floor != max(kept):  # the last block is at hand
+            fill(floor)
+            now, ways = kept[floor], []
+            for r in range(floor + 1, min(floor + block, n) + 1):
+                now, way = sweep.step(r, now, score[(r - 1) % block])
+                ways.append(way)
+        i, j, state = _back(np.stack(ways), floor, i, j, state, steps)
+    left, right = (np.stack([s[x] for s in reversed(steps)]) for x in (0, 1))
+    own = [left[:, k] > -2 for k in range(len(pairs))]
+    return [(left[keep, k], right[keep, k], float(total[k])) for k, keep in enumerate(own)]
+
+
+def pairwise(score: np.ndarray, s: Scores) -> tuple[list[tuple[int, int]], float]:
+    """Best path over a matrix of column scores: pairs (i, j), -1 for a gap on that side; and its score."""
+    ((left, right, total),) = align_pairs([Pair(*score.shape, lambda i, j: score[i:j], s)])
+    return list(zip(left.tolist(), right.tolist(), strict=True)), total
 
 
 @dataclass
@@ -78,17 +196,30 @@ def leaf(i: int, codes: np.ndarray, letters: int) -> Profile:
     return Profile([i], np.arange(len(codes))[None, :], np.eye(letters, dtype=np.float32)[codes])
 
 
-def merge(x: Profile, y: Profile, s: Scores, offset: float, bonus: np.ndarray | None = None) -> tuple[Profile, float]:
+def side_by_side(x: Profile, y: Profile, s: Scores, offset: float, bonus: np.ndarray | None = None) -> Pair:
+    """Two profiles to be aligned; a pair of columns scores the mean over pairs of their members."""
     scale = np.float32(1 / (len(x.members) * len(y.members)))
-    score = x.counts @ s.matrix.astype(np.float32) @ y.counts.T * scale
-    score -= np.float32(offset) * (x.counts.sum(1)[:, None] * y.counts.sum(1)[None, :] * scale)
-    if bonus is not None:
-        score = score + bonus
-    path, total = pairwise(score.astype(np.float32), s)
-    left, right = np.array([p[0] for p in path], np.int64), np.array([p[1] for p in path], np.int64)
+    left, right = x.counts @ s.matrix.astype(np.float32), y.counts.T
+    here, there = x.counts.sum(1), y.counts.sum(1)
+
+    def rows(i: int, j: int) -> np.ndarray:
+        score = left[i:j] @ right * scale
+        score -= np.float32(offset) * (here[i:j, None] * there[None, :] * scale)
+        return score if bonus is None else score + bonus[i:j]
+
+    return Pair(len(x.counts), len(y.counts), rows, s)
+
+
+def joined(x: Profile, y: Profile, left: np.ndarray, right: np.ndarray) -> Profile:
+    """One profile of two along a path."""
     put = lambda p, at: np.where(at >= 0, p.grid[:, np.maximum(at, 0)], -1)
     add = lambda p, at: np.where((at >= 0)[:, None], p.counts[np.maximum(at, 0)], 0)
-    return Profile(x.members + y.members, np.vstack([put(x, left), put(y, right)]), add(x, left) + add(y, right)), total
+    return Profile(x.members + y.members, np.vstack([put(x, left), put(y, right)]), add(x, left) + add(y, right))
+
+
+def merge(x: Profile, y: Profile, s: Scores, offset: float, bonus: np.ndarray | None = None) -> tuple[Profile, float]:
+    ((left, right, total),) = align_pairs([side_by_side(x, y, s, offset, bonus)])
+    return joined(x, y, left, right), total
 
 
 def rows_of(p: Profile, seqs: list[str]) -> list[str]:
@@ -98,26 +229,26 @@ def rows_of(p: Profile, seqs: list[str]) -> list[str]:
     return out
 
 
-def consistency_maps(seqs: list[str], codes: list[np.ndarray], s: Scores, count: int) -> list[list[np.ndarray]]:
-    """maps[i][k][p]: the residue of anchor k that residue p of sequence i is aligned to, or -1.  Anchors spread by length."""
-    if len(seqs) < 3 or count < 1:
-        return []
-    anchors = trees.anchor_places(len(seqs), min(count, len(seqs)))[:count]
-    eye = np.eye(len(s.letters), dtype=np.float32)
-    maps = []
-    for i, c in enumerate(codes):
-        row = []
-        for k in anchors:
-            to = np.full(len(c), -1, np.int64)
-            if k == i:
-                to = np.arange(len(c))
-            else:
-                for p, q in pairwise((eye[c] @ s.matrix.astype(np.float32) @ eye[codes[k]].T).astype(np.float32), s)[0]:
-                    if p >= 0 and q >= 0:
-                        to[p] = q
-            row.append(to)
-        maps.append(row)
-    return maps
+def consistency_maps(families: list[list[np.ndarray]], scores: list[Scores], count: int, anchors: list[list[int]]) -> list[list[list[np.ndarray]]]:
+    """For each family maps[i][k][p]: the residue of anchor k that residue p of sequence i is aligned to, or -1."""
+    pairs, places = [], []
+    out = []
+    for f, (codes, s) in enumerate(zip(families, scores, strict=True)):
+        out.append([])
+        if len(codes) < 3 or count < 1:
+            continue
+        eye, matrix = np.eye(len(s.letters), dtype=np.float32), s.matrix.astype(np.float32)
+        for i, c in enumerate(codes):
+            out[f].append([np.arange(len(c)) if k == i else np.full(len(c), -1, np.int64) for k in anchors[f]])
+            for x, k in enumerate(anchors[f]):
+                if k != i:
+                    left, right = eye[c] @ matrix, eye[codes[k]].T
+                    pairs.append(Pair(len(c), len(codes[k]), lambda a, b, left=left, right=right: left[a:b] @ right, s))
+                    places.append((f, i, x))
+    for (f, i, x), (p, q, _) in zip(places, align_pairs(pairs), strict=True):
+        both = (p >= 0) & (q >= 0)
+        out[f][i][x][p[both]] = q[both]
+    return out
 
 
 def consistency_bonus(x: Profile, y: Profile, maps: list[list[np.ndarray]], weight: float) -> np.ndarray | None:
@@ -167,26 +298,54 @@ RUNS = (
 )
 
 
+@dataclass
+class Job:
+    """A family on its way up its tree."""
+
+    seqs: list[str]
+    s: Scores
+    tree: list[tuple[int, int, int]]
+    offset: float = 0.0
+
+
 def progressive(seqs: list[str], s: Scores, tree: list[tuple[int, int, int]], o: Options) -> list[str]:
-    codes = [s.codes(x) for x in seqs]
-    # the more alike the family, the more a chance match would have to score
-    offset = 0.0
-    if s.offset_most and len(seqs) > 1:
-        anchors = trees.embed(seqs)
-        far = np.mean([d / max(1, len(x)) for row, x in zip(anchors, seqs, strict=True) for d in row])
-        offset = max(0.0, s.offset_most - far) * 0.25
-    maps = consistency_maps(seqs, codes, s, o.consistency)
-    nodes = {i: leaf(i, c, len(s.letters)) for i, c in enumerate(codes)}
-    margins = []
-    for a, b, c in tree:
-        x, y = nodes.pop(a), nodes.pop(b)
-        nodes[c], total = merge(x, y, s, offset, consistency_bonus(x, y, maps, o.consistency_weight))
-        margins.append(total / max(1, min(x.grid.shape[1], y.grid.shape[1])))
-    (root,) = nodes.values()
-    rows = rows_of(root, seqs)
-    if o.refine != "none":
-        rows = refine(rows, seqs, s, offset, tree, margins, o.refine)
-    return rows
+    return progressive_many([Job(seqs, s, tree)], o)[0]
+
+
+def progressive_many(jobs: list[Job], o: Options) -> list[list[str]]:
+    """Aligned rows of each family; merges whose two sides are ready are aligned together, over all families."""
+    far = [trees.embed(j.seqs) if j.s.offset_most and len(j.seqs) > 1 else None for j in jobs] if len(jobs) == 1 else _embeddings(jobs)
+    for job, d in zip(jobs, far, strict=True):
+        if d is not None:  # the more alike the family, the more a chance match would have to score
+            mean = np.mean(d / np.maximum(1, np.array([len(x) for x in job.seqs]))[:, None])
+            job.offset = max(0.0, job.s.offset_most - float(mean)) * 0.25
+    codes = [[j.s.codes(x) for x in j.seqs] for j in jobs]
+    anchors = [trees.spread_anchors(j.seqs, d, o.consistency) if o.consistency else [] for j, d in zip(jobs, far, strict=True)]
+    maps = consistency_maps(codes, [j.s for j in jobs], o.consistency, anchors)
+    nodes = [{i: leaf(i, c, len(j.s.letters)) for i, c in enumerate(own)} for j, own in zip(jobs, codes, strict=True)]
+    margins: list[list[float]] = [[0.0] * len(j.tree) for j in jobs]
+    left = [list(range(len(j.tree))) for j in jobs]
+    while any(left):
+        ready = [(k, e) for k, job in enumerate(jobs) for e in left[k] if job.tree[e][0] in nodes[k] and job.tree[e][1] in nodes[k]]
+        sides = [(nodes[k].pop(jobs[k].tree[e][0]), nodes[k].pop(jobs[k].tree[e][1])) for k, e in ready]
+        pairs = [side_by_side(x, y, jobs[k].s, jobs[k].offset, consistency_bonus(x, y, maps[k], o.consistency_weight)) for (k, _), (x, y) in zip(ready, sides, strict=True)]
+        for (k, e), (x, y), (p, q, total) in zip(ready, sides, align_pairs(pairs), strict=True):
+            nodes[k][jobs[k].tree[e][2]] = joined(x, y, p, q)
+            margins[k][e] = total / max(1, min(x.grid.shape[1], y.grid.shape[1]))
+        taken = set(ready)
+        left = [[e for e in own if (k, e) not in taken] for k, own in enumerate(left)]
+    out = []
+    for job, own, margin in zip(jobs, nodes, margins, strict=True):
+        (root,) = own.values()
+        rows = rows_of(root, job.seqs)
+        out.append(refine(rows, job.seqs, job.s, job.offset, job.tree, margin, o.refine) if o.refine != "none" else rows)
+    return out
+
+
+def _embeddings(jobs: list[Job]) -> list[np.ndarray | None]:
+    some = [k for k, j in enumerate(jobs) if j.s.offset_most and len(j.seqs) > 1]
+    got = dict(zip(some, trees.embed_many([jobs[k].seqs for k in some]), strict=True))
+    return [got.get(k) for k in range(len(jobs))]
 
 
 def sum_of_pairs(rows: list[str], s: Scores) -> float:
@@ -317,34 +476,53 @@ def consensus(seqs: list[str], support: dict[tuple[int, int, int, int], int], le
 
 def align_family(names: list[str], seqs: list[str], o: Options = MODES["fast"]) -> list[str]:
     """Aligned rows in the order given.  The order of input and the run's partition do not change them."""
-    order = sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), names[i], seqs[i], i))
-    some = [i for i in order if seqs[i]]
-    own = [seqs[i] for i in some]
-    if len(own) < 2:
-        width = max(map(len, seqs), default=0)
-        return [x.ljust(width, "-") for x in seqs]
-    s = scores_for(o.kind or kind_of(own), o.gap_open, o.gap_extend, o.gap_terminal)
-    rows = _ensemble(own, s, o) if o.ensemble else _once(own, s, o, 0.0, o.seed)
-    width = len(rows[0])
-    out = ["-" * width] * len(seqs)
-    for i, r in zip(some, rows, strict=True):
-        out[i] = r
+    return align_families([(names, seqs)], o)[0]
+
+
+def align_families(families: list[tuple[list[str], list[str]]], o: Options = MODES["fast"]) -> list[list[str]]:
+    """align_family of each (names, seqs); pairs of all families go through the recurrence together."""
+    places, own = [], []
+    for names, seqs in families:
+        order = sorted(range(len(seqs)), key=lambda i: (-len(seqs[i]), names[i], seqs[i], i))
+        places.append([i for i in order if seqs[i]])
+        own.append([seqs[i] for i in places[-1]])
+    many = [k for k, x in enumerate(own) if len(x) > 1]
+    scores = [scores_for(o.kind or kind_of(own[k]), o.gap_open, o.gap_extend, o.gap_terminal) for k in many]
+    made = dict(zip(many, (_ensemble if o.ensemble else _once)([own[k] for k in many], scores, o), strict=True))
+    out = []
+    for k, (_, seqs) in enumerate(families):
+        if k in made:
+            width = len(made[k][0])
+            rows = ["-" * width] * len(seqs)
+            for i, r in zip(places[k], made[k], strict=True):
+                rows[i] = r
+        else:
+            width = max(map(len, seqs), default=0)
+            rows = [x.ljust(width, "-") for x in seqs]
+        out.append(rows)
     return out
 
 
-def _once(own: list[str], s: Scores, o: Options, noise: float, seed: int) -> list[str]:
-    rows = progressive(own, s, trees.guide_tree(own, seed, noise), o)
+def _once(own: list[list[str]], scores: list[Scores], o: Options, noise: float = 0.0, seed: int | None = None) -> list[list[str]]:
+    seed = o.seed if seed is None else seed
+    grown = trees.guide_trees(own, [seed] * len(own), noise)
+    rows = progressive_many([Job(x, s, t) for x, s, t in zip(own, scores, grown, strict=True)], o)
     for _ in range(o.realign):
-        tree = trees.linkage(trees.identity_distances(rows), list(range(len(own))), len(own))
-        rows = progressive(own, s, tree, o)
+        grown = [trees.linkage(trees.identity_distances(r), list(range(len(x))), len(x)) for r, x in zip(rows, own, strict=True)]
+        rows = progressive_many([Job(x, s, t) for x, s, t in zip(own, scores, grown, strict=True)], o)
     return rows
 
 
-def _ensemble(own: list[str], s: Scores, o: Options) -> list[str]:
+def _ensemble(own: list[list[str]], scores: list[Scores], o: Options) -> list[list[str]]:
     made = []
     for k in range(o.ensemble):
         a, b, c, noise = RUNS[k % len(RUNS)]
-        made.append(_once(own, s.scaled(a, b, c), o, noise, o.seed + k))
+        made.append(_once(own, [s.scaled(a, b, c) for s in scores], o, noise, o.seed + k))
+    return [_chosen(x, s, [run[f] for run in made], o) for f, (x, s) in enumerate(zip(own, scores, strict=True))]
+
+
+def _chosen(own: list[str], s: Scores, made: list[list[str]], o: Options) -> list[str]:
+    """The consensus of a family's runs, or the best of them."""
     support = support_table(made)
     if o.min_support:
         return consensus(own, support, o.min_support)
@@ -355,7 +533,7 @@ def _ensemble(own: list[str], s: Scores, o: Options) -> list[str]:
             best = k
     # the winner once more with its doubtful edges re-aligned, if its pairs are then better supported
     a, b, c, noise = RUNS[best % len(RUNS)]
-    again = _once(own, s.scaled(a, b, c), replace(o, refine="confident"), noise, o.seed + best)
+    (again,) = _once([own], [s.scaled(a, b, c)], replace(o, refine="confident"), noise, o.seed + best)
     return again if run_score(again, support, o.ensemble) > scores[best] else made[best]
 
 

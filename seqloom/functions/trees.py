@@ -4,27 +4,41 @@ from __future__ import annotations
 
 import numpy as np
 
-from seqloom.functions.kernels import infix_distance
+from seqloom.functions.kernels import infix_distance_many
 from seqloom.functions.rng import Random
 
 PATTERN, EXACT, ANCHORS, SEEDS = 1024, 50, 32, 40
 
 
-def pair_distance(a: str, b: str) -> float:
+def pair_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     """The shorter (the later of equals) may match anywhere in the longer; plus a small term for length."""
-    text, pattern = (a, b) if len(a) >= len(b) else (b, a)
-    return infix_distance(text, pattern[:PATTERN]) + min(10000, (len(a) + len(b)) // 2) / 10000
+    ordered = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    far = infix_distance_many([t for t, _ in ordered], [p[:PATTERN] for _, p in ordered])
+    return far + np.minimum(10000, np.array([(len(a) + len(b)) // 2 for a, b in pairs], np.int64)) / 10000
 
 
-def all_distances(seqs: list[str]) -> np.ndarray:
-    n = len(seqs)
-    out = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            out[i, j] = out[j, i] = pair_distance(seqs[i], seqs[j])
+def pair_distance(a: str, b: str) -> float:
+    return float(pair_distances([(a, b)])[0])
+
+
+def all_distances_many(families: list[list[str]]) -> list[np.ndarray]:
+    """Distances of all pairs of each family."""
+    out, at = [], 0
+    far = pair_distances([(f[i], f[j]) for f in families for i in range(len(f)) for j in range(i + 1, len(f))])
+    for f in families:
+        n = len(f)
+        d = np.zeros((n, n))
+        upper = np.triu_indices(n, 1)
+        d[upper] = far[at : at + len(upper[0])]
+        at += len(upper[0])
+        out.append(d + d.T)
     return out
 
 
+def all_distances(seqs: list[str]) -> np.ndarray:
+    return all_distances_many([seqs])[0]
+
+
 def identity_distances(rows: list[str]) -> np.ndarray:
     """1 - identity over columns where both rows have a residue; 1 without any."""
     grid = np.array([np.frombuffer(r.encode(), np.uint8) for r in rows])
@@ -46,10 +60,35 @@ def anchor_places(n: int, most: int = ANCHORS) -> list[int]:
     return [i * stride for i in range(k)]
 
 
+def spread_anchors(seqs: list[str], embedding: np.ndarray | None, count: int) -> list[int]:
+    """Up to `count` sequences far from one another: the first is the nearest to the mean of the sequences' mean distances
+    to length, each next the one whose value is farthest from those chosen; of equals the first."""
+    if len(seqs) < 3:
+        return []
+    far = embed(seqs) if embedding is None else embedding
+    x = far.mean(1) / np.maximum(1, np.array([len(s) for s in seqs]))
+    chosen = [int(np.argmin(np.abs(x - x.mean())))]
+    gap = np.abs(x - x[chosen[0]])
+    while len(chosen) < min(count, len(seqs)):
+        gap[chosen] = -1
+        chosen.append(int(np.argmax(gap)))
+        gap = np.minimum(gap, np.abs(x - x[chosen[-1]]))
+    return chosen
+
+
 def embed(seqs: list[str]) -> np.ndarray:
     """A row for each sequence: distances to every n / K-th in the given (canonical) order."""
-    anchors = [seqs[i] for i in anchor_places(len(seqs))]
-    return np.array([[pair_distance(s, a) for a in anchors] for s in seqs])
+    return embed_many([seqs])[0]
+
+
+def embed_many(families: list[list[str]]) -> list[np.ndarray]:
+    anchors = [[f[i] for i in anchor_places(len(f))] for f in families]
+    far, out, at = pair_distances([(s, a) for f, own in zip(families, anchors, strict=True) for s in f for a in own]), [], 0
+    for f, own in zip(families, anchors, strict=True):
+        size = len(f) * len(own)
+        out.append(far[at : at + size].reshape(len(f), len(own)))
+        at += size
+    return out
 
 
 def linkage(distance: np.ndarray, nodes: list[int], first: int) -> list[tuple[int, int, int]]:
@@ -128,11 +167,22 @@ def bisect(seqs: list[str], points: np.ndarray) -> list[tuple[int, int, int]]:
 
 def guide_tree(seqs: list[str], seed: int = 0, noise: float = 0.0) -> list[tuple[int, int, int]]:
     """Merges for sequences in canonical order; noise multiplies distances by N(1, noise), no less than 0.1."""
-    if len(seqs) < 2:
-        return []
-    rng = Random(seed)
-    shake = lambda d: d if not noise else d * np.array([max(0.1, rng.normal(1, noise)) for _ in range(d.size)]).reshape(d.shape)
-    if len(seqs) < EXACT:
-        d = shake(all_distances(seqs))
-        return linkage((d + d.T) / 2, list(range(len(seqs))), len(seqs))
-    return bisect(seqs, shake(embed(seqs)))
+    return guide_trees([seqs], [seed], noise)[0]
+
+
+def guide_trees(families: list[list[str]], seeds: list[int], noise: float = 0.0) -> list[list[tuple[int, int, int]]]:
+    """guide_tree of each family; the distances of the small ones are computed together."""
+    small = [k for k, f in enumerate(families) if 2 <= len(f) < EXACT]
+    found = dict(zip(small, all_distances_many([families[k] for k in small]), strict=True))
+    out = []
+    for k, seqs in enumerate(families):
+        rng = Random(seeds[k])
+        shake = lambda d, rng=rng: d if not noise else d * np.array([max(0.1, rng.normal(1, noise)) for _ in range(d.size)]).reshape(d.shape)
+        if len(seqs) < 2:
+            out.append([])
+        elif len(seqs) < EXACT:
+            d = shake(found[k])
+            out.append(linkage((d + d.T) / 2, list(range(len(seqs))), len(seqs)))
+        else:
+            out.append(bisect(seqs, shake(embed(seqs))))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, replace
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 from seqloom.functions import align as kernel
 from seqloom.functions import trees
 from seqloom.functions.align import MODES, Options
-from seqloom.functions.kernels import infix_distance
+from seqloom.functions.kernels import infix_distance_many
 from seqloom.operators.longform import dealign
 from seqloom.sources import text
 
@@ -27,41 +28,82 @@ def options(mode: str = "default", **changes) -> Options:
     return replace(MODES[mode], **changes)
 
 
+#: Residues of the families that a task aligns together; a larger family goes alone.
+TOGETHER = 1 << 16
+
+
 def _checked(group: pd.DataFrame) -> pd.DataFrame:
     if len(group) > LARGEST:
         raise ValueError(f"family {group['family'].iloc[0]!r} has {len(group)} sequences; at most {LARGEST}")
     return group.sort_values("rank", kind="stable")
 
 
+def by_family(rows: DataFrame, run: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], schema: str, *also: str) -> DataFrame:
+    """run over whole families (of the columns `also` as well), several at a time: rows are dealt out by family and sorted,
+    and what a partition's batches cut apart is put together again."""
+    keys = ["family", *also]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []  # parts of one family
+        ready: list[pd.DataFrame] = []
+        size = 0
+
+        def whole() -> pd.DataFrame:
+            got = pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else waiting[0].reset_index(drop=True)
+            waiting.clear()
+            return _checked(got)
+
+        for b in batches:
+            for key, part in b.groupby(keys, sort=False, dropna=False):
+                if waiting and tuple(waiting[0][keys].iloc[0].fillna("")) != tuple(part[keys].iloc[0].fillna("")):
+                    ready.append(whole())
+                    size += int(ready[-1]["seq"].str.len().sum())
+                    if size >= TOGETHER:
+                        yield from run(ready)
+                        ready, size = [], 0
+                waiting.append(part)
+        if waiting:
+            ready.append(whole())
+        if ready:
+            yield from run(ready)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInPandas(stream, schema)
+
+
 def align(seqs: DataFrame, mode: str = "default", **changes) -> DataFrame:
     """family, run_id, rank, name, aligned from family, rank, name, seq (aligned input loses its gaps first)."""
     o = options(mode, **changes)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = _checked(group)
-        rows = kernel.align_family(g["name"].tolist(), g["seq"].tolist(), o)
-        return pd.DataFrame({"family": g["family"], "run_id": 0, "rank": g["rank"], "name": g["name"], "aligned": rows})
+    def run(families: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        rows = kernel.align_families([(g["name"].tolist(), g["seq"].tolist()) for g in families], o)
+        return [pd.DataFrame({"family": g["family"], "run_id": 0, "rank": g["rank"], "name": g["name"], "aligned": r}) for g, r in zip(families, rows, strict=True)]
 
-    src = seqs.select("family", F.col("rank").cast("long"), "name", dealign(F.coalesce("seq", F.lit(""))).alias("seq"))
-    return src.groupBy("family").applyInPandas(run, WIDE)
+    src = seqs.select("family", F.col("rank").cast("long"), F.coalesce("name", F.lit("")).alias("name"), dealign(F.coalesce("seq", F.lit(""))).alias("seq"))
+    return by_family(src, run, WIDE)
 
 
 def align_runs(seqs: DataFrame, runs: int, seed: int = 42) -> DataFrame:
-    """The runs of an ensemble as rows with run_id; each (family, run) is its own task group."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = _checked(group)
-        k = int(g["run_id"].iloc[0])
-        a, b, c, noise = kernel.RUNS[k % len(kernel.RUNS)]
-        order = sorted(range(len(g)), key=lambda i: (-len(g["seq"].iloc[i]), g["name"].iloc[i], i))
-        own = [g["seq"].iloc[i] for i in order]
-        s = kernel.scores_for(kernel.kind_of(own)).scaled(a, b, c)
-        rows = kernel.progressive(own, s, trees.guide_tree(own, seed + k, noise), MODES["fast"]) if len(own) > 1 else own
-        put = dict(zip(order, rows, strict=True))
-        return pd.DataFrame({"family": g["family"], "run_id": k, "rank": g["rank"], "name": g["name"], "aligned": [put[i] for i in range(len(g))]})
-
-    src = seqs.filter(F.length("seq") > 0).select("family", F.col("rank").cast("long"), "name", "seq", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run_id"))
-    return src.groupBy("family", "run_id").applyInPandas(run, WIDE)
+    """The runs of an ensemble as rows with run_id; each (family, run) is aligned for itself."""
+
+    def run(families: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        out = []
+        for k in sorted({int(g["run_id"].iloc[0]) for g in families}):
+            some = [g for g in families if g["run_id"].iloc[0] == k]
+            a, b, c, noise = kernel.RUNS[k % len(kernel.RUNS)]
+            orders = [sorted(range(len(g)), key=lambda i, g=g: (-len(g["seq"].iloc[i]), g["name"].iloc[i], i)) for g in some]
+            own = [[g["seq"].iloc[i] for i in order] for g, order in zip(some, orders, strict=True)]
+            scores = [kernel.scores_for(kernel.kind_of(x)).scaled(a, b, c) for x in own]
+            grown = trees.guide_trees(own, [seed + k] * len(own), noise)
+            jobs = [kernel.Job(x, s, t) for x, s, t in zip(own, scores, grown, strict=True)]
+            many = [j for j, x in enumerate(own) if len(x) > 1]
+            made = dict(zip(many, kernel.progressive_many([jobs[j] for j in many], MODES["fast"]), strict=True))
+            for j, (g, order) in enumerate(zip(some, orders, strict=True)):
+                put = dict(zip(order, made.get(j, own[j]), strict=True))
+                out.append(pd.DataFrame({"family": g["family"], "run_id": k, "rank": g["rank"], "name": g["name"], "aligned": [put[i] for i in range(len(g))]}))
+        return out
+
+    src = seqs.filter(F.length("seq") > 0).select("family", F.col("rank").cast("long"), F.coalesce("name", F.lit("")).alias("name"), "seq", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run_id"))
+    return by_family(src, run, WIDE, "run_id")
 
 
 def consensus_from_support(seqs: DataFrame, support: DataFrame, least: int) -> DataFrame:
@@ -83,26 +125,26 @@ def consensus_from_support(seqs: DataFrame, support: DataFrame, least: int) -> D
 def guide_trees(seqs: DataFrame) -> DataFrame:
     """family, a, b, c: merges by places in canonical order; c is the new node."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = _checked(group)
-        own = [s for _, s in sorted(zip(g["name"], g["seq"], strict=True), key=lambda x: (-len(x[1]), x[0]))]
-        return pd.DataFrame([(g["family"].iloc[0], *m) for m in trees.guide_tree(own)], columns=["family", "a", "b", "c"])
+    def run(families: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        own = [[s for _, s in sorted(zip(g["name"], g["seq"], strict=True), key=lambda x: (-len(x[1]), x[0]))] for g in families]
+        grown = trees.guide_trees(own, [0] * len(own))
+        return [pd.DataFrame([(g["family"].iloc[0], *m) for m in tree], columns=["family", "a", "b", "c"]) for g, tree in zip(families, grown, strict=True)]
 
-    return seqs.select("family", "rank", "name", "seq").groupBy("family").applyInPandas(run, "family string, a int, b int, c int")
+    return by_family(seqs.select("family", "rank", "name", "seq"), run, "family string, a int, b int, c int")
 
 
 def edit_distance_infix(text_col: str, pattern_col: str) -> Column:
     """Least edit distance between the pattern and any substring of the text."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([infix_distance(t or "", p or "") for t, p in zip(a, b, strict=True)])
+        return pd.Series(infix_distance_many(a.fillna("").tolist(), b.fillna("").tolist()))
 
     return F.pandas_udf(run, IntegerType())(text_col, pattern_col)
 
 
 def sequence_distance(a_col: str, b_col: str) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([trees.pair_distance(x or "", y or "") for x, y in zip(a, b, strict=True)])
+        return pd.Series(trees.pair_distances(list(zip(a.fillna(""), b.fillna(""), strict=True))))
 
     return F.pandas_udf(run, DoubleType())(a_col, b_col)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.longform import explode_alignment
+from seqloom.operators.longform import explode_columns
 
 PAIRS = "n * (n - 1) / 2"
 
@@ -15,7 +15,7 @@ def alignment_stats(wide: DataFrame) -> DataFrame:
 
     Identity is pooled over all pairs: in a column, n equal letters are n (n - 1) / 2 matches, so no pair is made.
     """
-    cells = explode_alignment(wide).groupBy("family", "col", "ch").agg(F.count("*").alias("n"))
+    cells = explode_columns(wide).groupBy("family", "col", "ch").agg(F.count("*").alias("n"))
     residue = F.col("ch") != "-"
     cols = cells.groupBy("family", "col").agg(
         F.sum("n").alias("rows"), F.sum(F.when(~residue, F.col("n")).otherwise(0)).alias("gaps"),
@@ -36,7 +36,7 @@ def column_consensus(wide: DataFrame, threshold: float = 0.5, unknown: str = "N"
 
     Ties go to the letter met first in row order; a column of gaps gives '-'.
     """
-    cells = explode_alignment(wide).groupBy("family", "col", "ch").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+    cells = explode_columns(wide).groupBy("family", "col", "ch").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
     seen = F.col("ch") != "-"
     cols = cells.groupBy("family", "col").agg(
         F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("present"),
@@ -52,7 +52,7 @@ def remove_gap_columns(wide: DataFrame, threshold: float = 1.0) -> DataFrame:
     The kept columns of a family are one small row (an array), joined back to its rows of text.
     """
     gap = F.avg(F.when(F.col("ch") == "-", 1.0).otherwise(0.0))
-    kept = explode_alignment(wide).groupBy("family", "col").agg(gap.alias("g")).groupBy("family").agg(F.array_sort(F.collect_list(F.when(F.col("g") < threshold, F.col("col")))).alias("kept"))
+    kept = explode_columns(wide).groupBy("family", "col").agg(gap.alias("g")).groupBy("family").agg(F.array_sort(F.collect_list(F.when(F.col("g") < threshold, F.col("col")))).alias("kept"))
     return keep_columns(wide, kept)
 
 
@@ -96,7 +96,7 @@ def gap_stats(wide: DataFrame) -> DataFrame:
         F.sum("b").alias("gap_blocks"), F.coalesce(F.sum(F.col("w") - F.col("n")) / F.nullif(F.sum("b"), F.lit(0)), F.lit(0.0)).alias("mean_block"),
         F.sum("t").alias("terminal_gaps"), F.sum(F.col("w") - F.col("n") - F.col("t")).alias("internal_gaps"),
     )
-    share = explode_alignment(wide).groupBy("family", "col").agg(F.avg(F.when(F.col("ch") == "-", 1.0).otherwise(0.0)).alias("g"))
+    share = explode_columns(wide).groupBy("family", "col").agg(F.avg(F.when(F.col("ch") == "-", 1.0).otherwise(0.0)).alias("g"))
     return by_row.join(share.groupBy("family").agg(F.sum(F.when(F.col("g") > 0.5, 1).otherwise(0)).alias("gappy_columns")), "family")
 
 

@@ -13,15 +13,21 @@ GAPS = "-.~ "
 def explode_alignment(wide: DataFrame) -> DataFrame:
     """family, run_id, rank, col, ch, pos from rows of aligned text; no shuffle: a row knows its own residues.
 
-    pos is the index of a residue in its row, null for a gap.
+    pos is the index of a residue in its row, null for a gap.  A row is taken apart once, so work is linear in its width.
     """
-    chars = F.split("aligned", "")
-    cells = F.transform(F.sequence(F.lit(0), F.length("aligned") - 1), lambda i: F.struct(i.alias("col"), F.get(chars, i).alias("ch")))
+    cells = F.transform(F.split("aligned", ""), lambda c, i: F.struct(i.cast("long").alias("col"), c.alias("ch")))
+    letter = lambda x: x["ch"].rlike(RESIDUE)
+    own = F.transform(F.filter(cells, letter), lambda x, i: F.struct(x["col"].alias("col"), x["ch"].alias("ch"), i.cast("long").alias("pos")))
+    rest = F.transform(F.filter(cells, lambda x: ~letter(x)), lambda x: F.struct(x["col"].alias("col"), x["ch"].alias("ch"), F.lit(None).cast("long").alias("pos")))
     keys = [c for c in ("family", "run_id", "rank") if c in wide.columns]
-    # the residues before a column: the length of its prefix without anything else
-    out = wide.filter(F.length("aligned") > 0).select(*keys, "aligned", F.explode(cells).alias("c")).select(*keys, "c.col", "c.ch", "aligned")
-    before = F.length(F.translate(F.substring("aligned", F.lit(1), F.col("col")), GAPS, "")).cast("long")
-    return out.select(*keys, F.col("col").cast("long").alias("col"), "ch", F.when(F.col("ch").rlike(RESIDUE), before).alias("pos"))
+    return wide.filter(F.length("aligned") > 0).select(*keys, F.explode(F.concat(own, rest)).alias("c")).select(*keys, "c.col", "c.ch", "c.pos")
+
+
+def explode_columns(wide: DataFrame) -> DataFrame:
+    """family, run_id, rank, col, ch: as explode_alignment, for what needs no index of residues."""
+    keys = [c for c in ("family", "run_id", "rank") if c in wide.columns]
+    cells = wide.filter(F.length("aligned") > 0).select(*keys, F.posexplode(F.split("aligned", "")).alias("col", "ch"))
+    return cells.withColumn("col", F.col("col").cast("long"))
 
 
 def places(aligned: Column) -> Column:
