@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from seqloom.functions import trees
-from seqloom.functions.scoring import Scores, kind_of, scores_for
+from seqloom.functions.scoring import PROTEIN, PROTEINS, Scores, matrix_file, scores_for, type_for
 
 LOW = np.float32(-1e30)
 
@@ -196,6 +196,16 @@ def leaf(i: int, codes: np.ndarray, letters: int) -> Profile:
     return Profile([i], np.arange(len(codes))[None, :], np.eye(letters, dtype=np.float32)[codes])
 
 
+def divergence(far: np.ndarray | None, x: Profile, y: Profile) -> float:
+    """Mean distance to length of the members of two sides."""
+    return 0.0 if far is None else float(np.mean(far[[*x.members, *y.members]]))
+
+
+def gap_factor(share: float, scale: float) -> float:
+    """What gaps cost between sides so far apart: 1 less scale times the divergence, held to [0.3, 1]."""
+    return min(1.0, max(0.3, 1 - scale * share))
+
+
 def side_by_side(x: Profile, y: Profile, s: Scores, offset: float, bonus: np.ndarray | None = None) -> Pair:
     """Two profiles to be aligned; a pair of columns scores the mean over pairs of their members."""
     scale = np.float32(1 / (len(x.members) * len(y.members)))
@@ -210,8 +220,12 @@ def side_by_side(x: Profile, y: Profile, s: Scores, offset: float, bonus: np.nda
     return Pair(len(x.counts), len(y.counts), rows, s)
 
 
-def joined(x: Profile, y: Profile, left: np.ndarray, right: np.ndarray) -> Profile:
-    """One profile of two along a path."""
+def joined(x: Profile, y: Profile, left: np.ndarray, right: np.ndarray, rebalance: float = 0.0) -> Profile:
+    """One profile of two along a path; rebalance: pseudo-count on the sizes by which the two weigh."""
+    nx, ny = len(x.members), len(y.members)
+    if rebalance > 0:
+        wx, wy = ((nx + ny) * (n + rebalance) / ((nx + ny + 2 * rebalance) * n) for n in (nx, ny))
+        x, y = replace(x, counts=x.counts * np.float32(wx)), replace(y, counts=y.counts * np.float32(wy))
     put = lambda p, at: np.where(at >= 0, p.grid[:, np.maximum(at, 0)], -1)
     add = lambda p, at: np.where((at >= 0)[:, None], p.counts[np.maximum(at, 0)], 0)
     return Profile(x.members + y.members, np.vstack([put(x, left), put(y, right)]), add(x, left) + add(y, right))
@@ -276,18 +290,22 @@ def consistency_bonus(x: Profile, y: Profile, maps: list[list[np.ndarray]], weig
 
 @dataclass(frozen=True)
 class Options:
-    kind: str = ""  # '', 'protein', 'dna'
+    kind: str = ""  # a type of scoring.PROTEINS or NUCLEOTIDES, 'pfasum_auto', or '' for the default of what the letters are
+    matrix: str = ""  # a file of protein scores in place of the rule's
     gap_open: float = -1.0
     gap_extend: float = -1.0
     gap_terminal: float = -1.0
     consistency: int = 0
     consistency_weight: float = 2.0
-    refine: str = "none"  # none, confident, all
+    refine: str = "none"  # none, confident, all, inline
+    adaptive_budget: bool = False  # inline: more trials where more merges are doubtful
     realign: int = 0
     ensemble: int = 0
     min_support: int = 0
     seed: int = 42
-    gap_scale: float = 0.0
+    gap_scale: float = 0.0  # how much milder gaps get with the distance of the two sides
+    vsm_amax: float = -1.0  # offset of residue scores for near sides; below 0: the type's own
+    rebalance: float = 0.0  # pseudo-count that draws the weights of two merged sides together; 0: by their sizes
 
 
 # fixed values: presets, and gap factors and tree noise of the runs of an ensemble
@@ -305,7 +323,8 @@ class Job:
     seqs: list[str]
     s: Scores
     tree: list[tuple[int, int, int]]
-    offset: float = 0.0
+    offset: float = 0.0  # mean offset of the merges, for what is re-aligned later
+    far: np.ndarray | None = None  # each sequence's mean distance to anchors, to its length
 
 
 def progressive(seqs: list[str], s: Scores, tree: list[tuple[int, int, int]], o: Options) -> list[str]:
@@ -314,11 +333,19 @@ def progressive(seqs: list[str], s: Scores, tree: list[tuple[int, int, int]], o:
 
 def progressive_many(jobs: list[Job], o: Options) -> list[list[str]]:
     """Aligned rows of each family; merges whose two sides are ready are aligned together, over all families."""
-    far = [trees.embed(j.seqs) if j.s.offset_most and len(j.seqs) > 1 else None for j in jobs] if len(jobs) == 1 else _embeddings(jobs)
+    far = _embeddings(jobs, bool(o.gap_scale) or o.vsm_amax > 0)
+    most = lambda job: o.vsm_amax if o.vsm_amax >= 0 else job.s.offset_most
     for job, d in zip(jobs, far, strict=True):
-        if d is not None:  # the more alike the family, the more a chance match would have to score
-            mean = np.mean(d / np.maximum(1, np.array([len(x) for x in job.seqs]))[:, None])
-            job.offset = max(0.0, job.s.offset_most - float(mean)) * 0.25
+        if d is not None:  # the more alike the sides, the more a chance match would have to score
+            job.far = d.mean(1) / np.maximum(1, np.array([len(x) for x in job.seqs]))
+            job.offset = max(0.0, most(job) - float(job.far.mean()))
+
+    def pair(k: int, x: Profile, y: Profile, bonus: np.ndarray | None) -> Pair:
+        job = jobs[k]
+        share = divergence(job.far, x, y)
+        f = gap_factor(share, o.gap_scale) if o.gap_scale else 1.0
+        return side_by_side(x, y, job.s.scaled(f, f, f) if f < 1 else job.s, max(0.0, most(job) - share) if job.far is not None else 0.0, bonus)
+
     codes = [[j.s.codes(x) for x in j.seqs] for j in jobs]
     anchors = [trees.spread_anchors(j.seqs, d, o.consistency) if o.consistency else [] for j, d in zip(jobs, far, strict=True)]
     maps = consistency_maps(codes, [j.s for j in jobs], o.consistency, anchors)
@@ -328,22 +355,64 @@ def progressive_many(jobs: list[Job], o: Options) -> list[list[str]]:
     while any(left):
         ready = [(k, e) for k, job in enumerate(jobs) for e in left[k] if job.tree[e][0] in nodes[k] and job.tree[e][1] in nodes[k]]
         sides = [(nodes[k].pop(jobs[k].tree[e][0]), nodes[k].pop(jobs[k].tree[e][1])) for k, e in ready]
-        pairs = [side_by_side(x, y, jobs[k].s, jobs[k].offset, consistency_bonus(x, y, maps[k], o.consistency_weight)) for (k, _), (x, y) in zip(ready, sides, strict=True)]
+        pairs = [pair(k, x, y, consistency_bonus(x, y, maps[k], o.consistency_weight)) for (k, _), (x, y) in zip(ready, sides, strict=True)]
         for (k, e), (x, y), (p, q, total) in zip(ready, sides, align_pairs(pairs), strict=True):
-            nodes[k][jobs[k].tree[e][2]] = joined(x, y, p, q)
+            got = joined(x, y, p, q, o.rebalance)
             margins[k][e] = total / max(1, min(x.grid.shape[1], y.grid.shape[1]))
+            if o.refine == "inline" and len(got.members) > 2:
+                got, margins[k][e] = inline(got, jobs[k], margins[k], o.adaptive_budget)
+            nodes[k][jobs[k].tree[e][2]] = got
         taken = set(ready)
         left = [[e for e in own if (k, e) not in taken] for k, own in enumerate(left)]
     out = []
     for job, own, margin in zip(jobs, nodes, margins, strict=True):
         (root,) = own.values()
         rows = rows_of(root, job.seqs)
-        out.append(refine(rows, job.seqs, job.s, job.offset, job.tree, margin, o.refine) if o.refine != "none" else rows)
+        out.append(refine(rows, job.seqs, job.s, job.offset, job.tree, margin, o.refine) if o.refine in ("confident", "all") else rows)
     return out
 
 
-def _embeddings(jobs: list[Job]) -> list[np.ndarray | None]:
-    some = [k for k, j in enumerate(jobs) if j.s.offset_most and len(j.seqs) > 1]
+def budget(margins: list[float], adaptive: bool, trials: int = 3) -> int:
+    """Trials of a merge: three, or, if adaptive, one and up to seven by the share of merges so far with under a quarter of
+    their mean margin."""
+    if not adaptive:
+        return trials
+    known = [m for m in margins if m]
+    mean = float(np.mean(known)) if known else 0.0
+    return 1 + round(7 * sum(m < mean / 4 for m in known) / max(1, len(known)))
+
+
+def inline(whole: Profile, job: Job, margins: list[float], adaptive: bool) -> tuple[Profile, float]:
+    """A merged profile after trials that each take one side of a merge below it out and align it to the rest again; the
+    least certain merges first, what scores higher stays.  Also its score, which from then on stands for its certainty."""
+    inside = set(whole.members)
+    below: dict[int, list[int]] = {i: [i] for i in range(len(job.seqs))}
+    for a, b, c in job.tree:
+        below[c] = below[a] + below[b]
+    edges = [(margins[e], a) for e, (a, b, c) in enumerate(job.tree) if set(below[c]) < inside and len(below[a]) < len(inside)]
+    rows = {m: r for m, r in zip(whole.members, _rows(whole, job.seqs), strict=True)}
+    best = sum_of_pairs(list(rows.values()), job.s)
+    for _, node in sorted(edges)[: budget(margins, adaptive)]:
+        own = sorted(inside)
+        texts = [rows[m] for m in own]
+        at = {m: i for i, m in enumerate(own)}
+        halves = [_profile_of(texts, [at[m] for m in side], job.s) for side in (sorted(below[node]), [m for m in own if m not in below[node]])]
+        got, _ = merge(*halves, job.s, job.offset)
+        tried = rows_of(got, [job.seqs[m] for m in own])
+        score = sum_of_pairs(tried, job.s)
+        if score > best + 1e-6:
+            rows, best = dict(zip(own, tried, strict=True)), score
+    own = list(whole.members)
+    made = _profile_of([rows[m] for m in own], list(range(len(own))), job.s)
+    return Profile(own, made.grid, made.counts), best
+
+
+def _rows(p: Profile, seqs: list[str]) -> list[str]:
+    return ["".join(seqs[m][k] if k >= 0 else "-" for k in places.tolist()) for m, places in zip(p.members, p.grid, strict=True)]
+
+
+def _embeddings(jobs: list[Job], every: bool) -> list[np.ndarray | None]:
+    some = [k for k, j in enumerate(jobs) if (j.s.offset_most or every) and len(j.seqs) > 1]
     got = dict(zip(some, trees.embed_many([jobs[k].seqs for k in some]), strict=True))
     return [got.get(k) for k in range(len(jobs))]
 
@@ -487,7 +556,9 @@ def align_families(families: list[tuple[list[str], list[str]]], o: Options = MOD
         places.append([i for i in order if seqs[i]])
         own.append([seqs[i] for i in places[-1]])
     many = [k for k, x in enumerate(own) if len(x) > 1]
-    scores = [scores_for(o.kind or kind_of(own[k]), o.gap_open, o.gap_extend, o.gap_terminal) for k in many]
+    types = [type_for(o.kind, own[k]) for k in many]
+    matrix = matrix_file(o.matrix, PROTEIN) if o.matrix else None
+    scores = [scores_for(t, o.gap_open, o.gap_extend, o.gap_terminal, matrix if t in PROTEINS else None) for t in types]
     made = dict(zip(many, (_ensemble if o.ensemble else _once)([own[k] for k in many], scores, o), strict=True))
     out = []
     for k, (_, seqs) in enumerate(families):

@@ -12,6 +12,8 @@ GROUPS = {
     "protein23": "A R N D C Q E G H I L K M F P S T W Y V B Z XU".split(),
     "dna5": "A C G TU NRYSWKMBDHVX".split(),
     "reduced13": "AST IV LM KR EQZ NDB FY CU G H P W X".split(),
+    "reduced6": "AM DEKNQRP CFIVU GHTS WLY BZX".split(),
+    "protein21": "A C D E F G H I K L M N P Q R S T V W Y BZXU".split(),
 }
 # fixed values: the standard genetic code, codons in the order T C A G of each place
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -38,8 +40,12 @@ def codons() -> dict[str, str]:
     return {"".join(c): CODE[i] for i, c in enumerate(product("TCAG", repeat=3))}
 
 
-def translate_dna(dna: Column) -> Column:
-    """Protein of whole codons; an unknown codon gives X, stops are left out."""
+def translate_dna(dna: Column, strict: bool = False) -> Column:
+    """Protein of codons; an unknown codon gives X, stops are left out.  Letters after the last whole codon are left out, or,
+    if strict, an error."""
+    if strict:
+        told = F.concat(F.lit("a length of "), F.length(dna).cast("string"), F.lit(" is no multiple of three"))
+        dna = F.when(F.length(dna) % 3 != 0, F.raise_error(told).cast("string")).otherwise(dna)
     table = F.create_map(*[F.lit(x) for pair in codons().items() for x in pair])
     count = F.floor(F.length(dna) / 3).cast("int")
     steps = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
@@ -47,10 +53,22 @@ def translate_dna(dna: Column) -> Column:
 
 
 def back_translate(aligned: Column, dna: Column) -> Column:
-    """Codons in place of the residues of an aligned protein, '---' for gaps."""
-    cells = F.split(aligned, "")
-    before = lambda i: F.length(F.regexp_replace(F.substring(aligned, F.lit(1), i), "-", ""))
-    return F.array_join(F.transform(cells, lambda c, i: F.when(c == "-", "---").otherwise(dna.substr(before(i) * 3 + 1, F.lit(3)))), "")
+    """Codons in place of the residues of an aligned protein, '---' for gaps; other numbers of residues and codons are an error.
+
+    The row is cut at its gaps: a run of residues takes as many codons from where the runs before it ended, so work is
+    linear in the row.
+    """
+    runs = F.regexp_extract_all(aligned, F.lit("-+|[^-]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, run: Column) -> Column:
+        gap = F.startswith(run, F.lit("-"))
+        codons = dna.substr(acc["at"] * 3 + 1, F.length(run) * 3)
+        return F.struct((acc["at"] + F.when(gap, 0).otherwise(F.length(run))).alias("at"), F.array_append(acc["out"], F.when(gap, F.repeat(F.lit("-"), F.length(run) * 3)).otherwise(codons)).alias("out"))
+
+    n = F.length(F.translate(aligned, "-", ""))
+    told = F.concat(n.cast("string"), F.lit(" residues and "), F.length(dna).cast("string"), F.lit(" nucleotides"))
+    return F.when(n * 3 != F.length(dna), F.raise_error(told).cast("string")).otherwise(F.aggregate(runs, start, step, lambda acc: F.array_join(acc["out"], "")))
 
 
 def euclid(a: Column, b: Column) -> Column:

@@ -36,6 +36,32 @@ class Random:
     def uniform(self) -> float:
         return (self.bits() >> 11) / 2**53
 
+    def exponential(self, mean: float = 1.0) -> float:
+        return -mean * math.log(1 - self.uniform())
+
+    def gamma(self, shape: float, scale: float = 1.0) -> float:
+        """By squeezing a cubed normal (Marsaglia, Tsang, 2000); shapes under one by a power of a uniform."""
+        if shape < 1:
+            return self.gamma(shape + 1, scale) * (1 - self.uniform()) ** (1 / shape)
+        d = shape - 1 / 3
+        c = 1 / math.sqrt(9 * d)
+        while True:
+            x = self.normal()
+            v = (1 + c * x) ** 3
+            if v > 0 and math.log(1 - self.uniform()) < 0.5 * x * x + d - d * v + d * math.log(v):
+                return d * v * scale
+
+    def jump(self) -> None:
+        """Ahead by 2^128 numbers: a stream that does not meet this one."""
+        # fixed values: the jump polynomial as published with the generator
+        got = [0, 0, 0, 0]
+        for word in (0x180EC6D33CFD0ABA, 0xD5A61266F0C9392C, 0xA9582618E03FC9AA, 0x39ABDC4529B1661C):
+            for b in range(64):
+                if word >> b & 1:
+                    got = [x ^ y for x, y in zip(got, self.state, strict=True)]
+                self.bits()
+        self.state = got
+
     def below(self, n: int) -> int:
         return self.bits() % n
 

@@ -92,7 +92,7 @@ def align_runs(seqs: DataFrame, runs: int, seed: int = 42) -> DataFrame:
             a, b, c, noise = kernel.RUNS[k % len(kernel.RUNS)]
             orders = [sorted(range(len(g)), key=lambda i, g=g: (-len(g["seq"].iloc[i]), g["name"].iloc[i], i)) for g in some]
             own = [[g["seq"].iloc[i] for i in order] for g, order in zip(some, orders, strict=True)]
-            scores = [kernel.scores_for(kernel.kind_of(x)).scaled(a, b, c) for x in own]
+            scores = [kernel.scores_for(kernel.type_for("", x)).scaled(a, b, c) for x in own]
             grown = trees.guide_trees(own, [seed + k] * len(own), noise)
             jobs = [kernel.Job(x, s, t) for x, s, t in zip(own, scores, grown, strict=True)]
             many = [j for j, x in enumerate(own) if len(x) > 1]
@@ -169,7 +169,7 @@ def generate(spark: SparkSession, families: int, n: int, length: int, seed: int
 
 def align_path(spark: SparkSession, path: str, mode: str = "default", **changes) -> DataFrame:
     """FASTA files under a path, a family each."""
-    return align(text.fasta(text.files(spark, path)).withColumnRenamed("path", "family"), mode, **changes)
+    return align(text.fasta(text.files(spark, path), strict=True).withColumnRenamed("path", "family"), mode, **changes)
 
 
 def provenance(mode: str, **changes) -> dict:

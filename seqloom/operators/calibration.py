@@ -59,6 +59,22 @@ def runner_summary(results: DataFrame) -> DataFrame:
     )
 
 
+def run_summary(results: DataFrame) -> DataFrame:
+    """As runner_summary, by method, mode of refinement and size of ensemble, with the means of the other scores."""
+    means = [F.avg(c).alias(f"{c}_mean") for c in ("recall", "precision", "f1", "tc") if c in results.columns]
+    return results.filter("error IS NULL").groupBy("method", "refine", "ensemble").agg(
+        F.count("*").alias("n_cases"), F.avg("score").alias("sp_mean"), F.median("score").alias("sp_median"), F.min("score").alias("sp_min"), F.max("score").alias("sp_max"), F.sum("seconds").alias("total_time"), *means,
+    )
+
+
+def spread_ci(results: DataFrame, resamples: int = 10_000, least: int = 5) -> DataFrame:
+    """spread, and the bootstrap interval of the mean for methods with at least so many results (else null)."""
+    out, ci = spread(results), bootstrap_ci(results, resamples).select("method", "low", "high")
+    n = results.groupBy("method").agg(F.count("*").alias("n"))
+    both = out.join(n, "method").join(ci, "method")
+    return both.select("method", "n", "mean", "deviation", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("low", "high")])
+
+
 def spread(results: DataFrame) -> DataFrame:
     """method: mean and population deviation of the score."""
     return results.groupBy("method").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))

@@ -31,10 +31,11 @@ def alignment_stats(wide: DataFrame) -> DataFrame:
     )
 
 
-def column_consensus(wide: DataFrame, threshold: float = 0.5, unknown: str = "N") -> DataFrame:
+def column_consensus(wide: DataFrame, threshold: float = 0.5, unknown: str | None = None) -> DataFrame:
     """family, consensus: each column's commonest letter if its share of letters reaches the threshold.
 
-    Ties go to the letter met first in row order; a column of gaps gives '-'.
+    Ties go to the letter met first in row order; a column of gaps gives '-'.  Below the threshold stands `unknown`, or
+    else N in a family whose letters are all nucleotides' and X in others.
     """
     cells = explode_columns(wide).groupBy("family", "col", "ch").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
     seen = F.col("ch") != "-"
@@ -42,8 +43,13 @@ def column_consensus(wide: DataFrame, threshold: float = 0.5, unknown: str = "N"
         F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("present"),
         F.max(F.when(seen, F.struct("n", (-F.col("first")).alias("turn"), "ch"))).alias("top"),
     )
-    letter = F.when(F.col("present") == 0, "-").when(F.col("top.n") / F.col("present") >= threshold, F.col("top.ch")).otherwise(unknown)
-    return cols.withColumn("ch", letter).groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "ch"))), lambda c: c["ch"]), "").alias("consensus"))
+    letter = F.when(F.col("present") == 0, "-").when(F.col("top.n") / F.col("present") >= threshold, F.col("top.ch"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce(letter, F.lit("?")).alias("ch")))), lambda c: c["ch"]), "")
+    out = cols.groupBy("family").agg(joined.alias("consensus"))
+    if unknown is None:
+        other = cells.groupBy("family").agg(F.count_if(~F.col("ch").isin(*"ATCGUN-")).alias("other"))
+        return out.join(other, "family").select("family", F.replace("consensus", F.lit("?"), F.when(F.col("other") == 0, "N").otherwise("X")).alias("consensus"))
+    return out.withColumn("consensus", F.replace("consensus", F.lit("?"), F.lit(unknown)))
 
 
 def remove_gap_columns(wide: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -64,9 +70,14 @@ def keep_columns(wide: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def trim(wide: DataFrame, start: int, end: int) -> DataFrame:
-    """Columns [start, end); a negative end counts from the right."""
+    """Columns [start, end); a negative start or end counts from the right; an empty range is an error."""
+    if start < 0:
+        begin = F.greatest(F.length("aligned") + start, F.lit(0))
+    else:
+        begin = F.lit(start)
     stop = F.when(F.lit(end) < 0, F.length("aligned") + end).otherwise(F.least(F.lit(end), F.length("aligned")))
-    return wide.withColumn("aligned", F.col("aligned").substr(F.lit(start + 1), F.greatest(stop - start, F.lit(0))))
+    none = F.raise_error(F.concat(F.lit(f"no columns from {start} to {end} in a row of "), F.length("aligned").cast("string"))).cast("string")
+    return wide.withColumn("aligned", F.when(begin >= stop, none).otherwise(F.col("aligned").substr(begin + 1, stop - begin)))
 
 
 def pairwise_identity(wide: DataFrame) -> DataFrame:
@@ -79,6 +90,21 @@ def pairwise_identity(wide: DataFrame) -> DataFrame:
     return pairs.select("family", "i", "j", F.when(met > 0, same / met).otherwise(0.0).alias("identity"))
 
 
+def identity_matrix(wide: DataFrame) -> DataFrame:
+    """family, i, j, identity: the whole matrix, with ones on the diagonal."""
+    half = pairwise_identity(wide)
+    own = wide.select("family", F.col("rank").alias("i"), F.col("rank").alias("j"), F.lit(1.0).alias("identity"))
+    return half.union(half.select("family", "j", "i", "identity")).union(own)
+
+
+def gap_runs(wide: DataFrame) -> DataFrame:
+    """family, rank, start, length, terminal: runs of gaps; a gap's column less its number among the row's gaps names its run."""
+    gaps = F.filter(F.transform(F.split("aligned", ""), lambda c, i: F.when(c == "-", i)), lambda i: i.isNotNull())
+    each = wide.filter(F.length("aligned") > 0).select("family", "rank", F.length("aligned").alias("w"), F.posexplode(gaps).alias("k", "col"))
+    runs = each.groupBy("family", "rank", (F.col("col") - F.col("k")).alias("run")).agg(F.min("col").alias("start"), F.count("*").alias("length"), F.max("w").alias("w"))
+    return runs.select("family", "rank", "start", "length", ((F.col("start") == 0) | (F.col("start") + F.col("length") == F.col("w"))).alias("terminal"))
+
+
 def identity_distance_mean(wide: DataFrame) -> DataFrame:
     """family, distance: mean of 1 - identity over pairs of rows, 1 for a pair without common columns."""
     met = pairwise_identity(wide)

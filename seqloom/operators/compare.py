@@ -6,12 +6,36 @@ pairs are counts of rows by both columns; no table of pairs is made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.columns import gcg_checksum
 from seqloom.operators.longform import explode_alignment, places
 
 
+def by_name(ref: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ranks that match them by name: the order of names, of equal ones by checksum of their residues, highest
+    first.  A row without its like on the other side is an error."""
+    turn = Window.partitionBy("family", "name").orderBy(F.col("chk").desc(), "rank")
+    order = Window.partitionBy("family").orderBy("name", "turn")
+
+    def placed(x: DataFrame) -> DataFrame:
+        y = x.select("family", "rank", "name", "aligned", F.regexp_replace("aligned", "[^A-Za-z]", "").alias("own"))
+        y = y.withColumn("chk", gcg_checksum("own")).withColumn("turn", F.row_number().over(turn))
+        return y.select("family", "name", "turn", "aligned", (F.row_number().over(order) - 1).cast("long").alias("rank"))
+
+    a, b = placed(ref), placed(test)
+    other = lambda x: x.select("family", "name", "turn", F.lit(True).alias("met"))
+    said = lambda side: F.concat(F.lit("sequence "), "name", F.lit(" of family "), "family", F.lit(f" is not in the {side}"))
+
+    def held(x: DataFrame, y: DataFrame, side: str) -> DataFrame:
+        both = x.join(other(y), ["family", "name", "turn"], "left")
+        checked = F.when(F.col("met").isNull(), F.raise_error(said(side)).cast("string")).otherwise(F.col("aligned"))
+        return both.select("family", "rank", "name", checked.alias("aligned"))
+
+    return held(a, b, "test"), held(b, a, "reference")
+
+
 def both_columns(ref: DataFrame, test: DataFrame) -> DataFrame:
     """family, rank, pos, rc, tc: each residue's column in the reference and in the test."""
     a = ref.select("family", "rank", places(F.col("aligned")).alias("a"))
@@ -30,8 +54,15 @@ def scored_columns(ref: DataFrame, most_gaps: float) -> DataFrame:
 def detailed(ref: DataFrame, test: DataFrame, most_gaps: float = -1.0, mask: DataFrame | None = None) -> DataFrame:
     """family, recall, precision, f1, tc, ref_pairs, test_pairs, common.
 
-    Recall and tc look at scored columns (of a mask, or within the bound of gaps); precision at all.
+    Recall and tc look at scored columns (of a mask, or within the bound of gaps); precision at all.  A mask has a row
+    for each column of the reference, else it is an error.
     """
+    if mask is not None:
+        width = ref.groupBy("family").agg(F.max(F.length("aligned")).alias("width"))
+        size = mask.groupBy("family").agg(F.count("*").alias("size"))
+        told = F.concat(F.lit("mask of family "), "family", F.lit(" has "), F.col("size").cast("string"), F.lit(" columns, its alignment "), F.col("width").cast("string"))
+        fits = size.join(width, "family").select("family", F.when(F.col("size") != F.col("width"), F.raise_error(told).cast("boolean")).otherwise(True).alias("fits"))
+        mask = mask.join(fits, "family").filter("fits")
     scored = mask.select("family", F.col("col").alias("rc"), (F.col("mask") == 1).alias("scored")) if mask is not None else scored_columns(ref, most_gaps)
     cells = both_columns(ref, test).groupBy("family", "rc", "tc").agg(F.count("*").alias("n"))
     pairs = F.expr("n * (n - 1) / 2")

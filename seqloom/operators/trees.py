@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.shared import cut
 
 
-def members(tree: DataFrame, leaves: DataFrame, rounds: int = 64) -> DataFrame:
+def members(tree: DataFrame, leaves: DataFrame) -> DataFrame:
     """family, node, leaf for every node of the tree; leaves: family, leaf.
 
-    Leaves climb a merge a round, all at once, so rounds are the tree's height.
+    The way up doubles its length a round (a node's 2^k-th ancestor from two of its 2^(k-1)-th), so rounds go with the
+    logarithm of the tree's height.
     """
-    up = tree.select("family", F.explode(F.array("a", "b")).alias("node"), F.col("c").alias("up"))
-    out = front = leaves.select("family", F.col("leaf").alias("node"), "leaf")
-    for _ in range(rounds):
-        front = cut(front.join(up, ["family", "node"]).select("family", F.col("up").alias("node"), "leaf"))
-        if front.isEmpty():
-            return out
-        out = out.union(front)
-    raise RuntimeError("the tree is higher than the rounds given")
+    up = cut(tree.select("family", F.explode(F.array("a", "b")).alias("node"), F.col("c").alias("up")))
+    out = cut(leaves.select("family", F.col("leaf").alias("node"), "leaf"))
+    while not up.isEmpty():
+        # out holds the first 2^k nodes of each leaf's way, up leads 2^k nodes further
+        ahead = out.join(up, ["family", "node"]).select("family", F.col("up").alias("node"), "leaf")
+        out = cut(out.union(ahead))
+        up = cut(up.join(up.select("family", F.col("node").alias("up"), F.col("up").alias("far")), ["family", "up"]).select("family", "node", F.col("far").alias("up")))
+    return out
 
 
 def splits(reach: DataFrame) -> DataFrame:
@@ -41,6 +42,25 @@ def robinson_foulds(x: DataFrame, y: DataFrame) -> DataFrame:
     return both.groupBy("family").agg((alone / total).alias("distance"))
 
 
+def tree_distances(x: DataFrame, y: DataFrame) -> DataFrame:
+    """family, nrf, euclidean, weighted from splits with lengths (family, split, length) of two trees; n: leaves of a family.
+
+    nrf is the number of splits of one tree alone over 2 (n - 3); the others compare lengths, 0 for a split that is not there.
+    """
+    both = x.select("family", "split", F.col("length").alias("x"), F.col("n").alias("nx")).join(y.select("family", "split", F.col("length").alias("y"), F.col("n").alias("ny")), ["family", "split"], "full")
+    off = F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))
+    inner = F.coalesce("nx", "ny")
+    alone = F.count_if((F.col("x").isNull() | F.col("y").isNull()) & (F.size("split") > 1))
+    out = both.groupBy("family").agg(alone.alias("alone"), F.max(inner).alias("n"), F.sqrt(F.sum(off * off)).alias("euclidean"), F.sum(F.abs(off)).alias("weighted"))
+    return out.select("family", F.when(F.col("n") > 3, F.col("alone") / (2 * (F.col("n") - 3))).otherwise(0.0).alias("nrf"), "euclidean", "weighted")
+
+
+def tasks(tree: DataFrame, by: str = "tree") -> DataFrame:
+    """Merges with their turn: in the order of the tree (c), or of priority (p, then c)."""
+    order = Window.partitionBy("family").orderBy(*(["c"] if by == "tree" else ["p", "c"]))
+    return tree.withColumn("turn", F.row_number().over(order) - 1)
+
+
 def leaf_weights(tree: DataFrame, reach: DataFrame) -> DataFrame:
     """family, leaf, weight: N at the root, shared on the way down in proportion to the sibling's size."""
     size = reach.groupBy("family", "node").agg(F.count("*").alias("n"))

@@ -475,7 +475,7 @@ CODONS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in E.codons().items()) + "
 
 @query("codon_translate", f"""SELECT family, rank, replace(coalesce(array_to_string(list_transform(range(0, length(seq) // 3), lambda i: coalesce({CODONS}[substr(seq, (3 * i + 1)::INT, 3)], 'X')), ''), ''), '*', '') AS protein FROM {SEQS}""")
 def codon_translate(spark, d):
-    return sequences(spark, d).select("family", "rank", E.translate_dna(F.col("seq")).alias("protein"))
+    return sequences(spark, d).select("family", "rank", E.translate_dna(F.col("seq"), strict=False).alias("protein"))
 
 
 @query("back_translate", f"""WITH s AS (SELECT family, rank, repeat(seq, 3) AS seq FROM {SEGMENTS_SQL}), a AS (SELECT r.family, r.rank, r.aligned, s.seq FROM {RUN[1]} r JOIN s USING (family, rank))
@@ -632,4 +632,4 @@ def tree_weights(spark, d):
     s = segments(spark, d)
     leaves = s.groupBy("family").agg(F.count("*").alias("n")).select("family", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("leaf"))
     tree, leaves = cut(align.guide_trees(s)), cut(leaves)
-    return trees.leaf_weights(tree, trees.members(tree, leaves, 400))
+    return trees.leaf_weights(tree, trees.members(tree, leaves))

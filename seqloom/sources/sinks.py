@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.columns import gcg_checksum
 
-FORMATS = {"fa": "fasta", "fasta": "fasta", "clu": "clustal", "aln": "clustal", "clustal": "clustal", "msf": "msf", "sto": "stockholm", "stockholm": "stockholm", "phy": "phylip", "phylip": "phylip"}
+FORMATS = {"fa": "fasta", "fasta": "fasta", "clu": "clustal", "aln": "clustal", "clustal": "clustal", "msf": "msf", "sto": "stockholm", "stockholm": "stockholm", "phy": "phylip", "phylip-interleaved": "phylip-interleaved", "phylip": "phylip"}
 
 
 def wrapped(text: Column, width: int) -> Column:
@@ -84,7 +84,59 @@ def phylip_text(wide: DataFrame) -> DataFrame:
     return body.join(size, "family").select("family", F.concat("head", "text").alias("text"))
 
 
-WRITERS = {"fasta": fasta_text, "clustal": clustal_text, "msf": msf_text, "stockholm": stockholm_text, "phylip": phylip_text}
+def phylip_blocks(wide: DataFrame, width: int = 60) -> DataFrame:
+    """Interleaved PHYLIP: the first block with names, the others without, a blank line between them."""
+    size = wide.groupBy("family").agg(F.concat(F.count("*").cast("string"), F.lit(" "), F.max(F.length("aligned")).cast("string"), F.lit("\n")).alias("head"))
+    count = F.ceil(F.length("aligned") / width).cast("int")
+    cut = wide.select("family", "rank", "name", "aligned", F.explode(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).alias("block"))
+    part = F.col("aligned").substr(F.col("block") * width + 1, F.lit(width))
+    rows = cut.select("family", "block", "rank", F.when(F.col("block") == 0, F.concat(F.rpad("name", 10, " "), part)).otherwise(part).alias("line"))
+    body = _text(_spaced(rows), ["block", "rank"], "line", F.lit(""), "")
+    return body.join(size, "family").select("family", F.concat("head", "text").alias("text"))
+
+
+def tasks_csv(tree: DataFrame, path: str) -> None:
+    """Merge tasks a, b, c, p, n as lines of text, in the order of c."""
+    tree.select("a", "b", "c", "p", "n").coalesce(1).sortWithinPartitions("c").write.csv(path)  # one tree's tasks
+
+
+def results(rows: DataFrame, path: str) -> None:
+    """Results as JSON and CSV in two folders of path."""
+    rows.write.json(f"{path}/json")
+    rows.write.option("header", True).csv(f"{path}/csv")
+
+
+def to_lists(wide: DataFrame) -> dict[str, list[str]]:
+    """Each family's rows of text in order, on the driver: for alignments that fit there."""
+    out: dict[str, list[str]] = {}
+    for r in wide.select("family", "rank", "aligned").orderBy("family", "rank").toLocalIterator():
+        out.setdefault(r["family"], []).append(r["aligned"])
+    return out
+
+
+def to_biopython(wide: DataFrame, family: str):
+    """One family as a Bio.Align.MultipleSeqAlignment, where Biopython is installed."""
+    from Bio.Align import MultipleSeqAlignment
+    from Bio.Seq import Seq
+    from Bio.SeqRecord import SeqRecord
+
+    rows = wide.filter(F.col("family") == family).orderBy("rank").collect()  # one family
+    return MultipleSeqAlignment([SeqRecord(Seq(r["aligned"]), id=r["name"]) for r in rows])
+
+
+def to_skbio(wide: DataFrame, family: str):
+    """One family as a skbio TabularMSA, typed by its letters, where scikit-bio is installed."""
+    import skbio
+
+    from seqloom.functions.encode import infer_type
+
+    rows = wide.filter(F.col("family") == family).orderBy("rank").withColumn("kind", infer_type(F.col("aligned"))).collect()  # one family
+    kinds = {r["kind"] for r in rows}
+    kind = skbio.Protein if "protein" in kinds else skbio.RNA if "RNA" in kinds else skbio.DNA
+    return skbio.TabularMSA([kind(r["aligned"], metadata={"id": r["name"]}) for r in rows])
+
+
+WRITERS = {"phylip-interleaved": phylip_blocks, "fasta": fasta_text, "clustal": clustal_text, "msf": msf_text, "stockholm": stockholm_text, "phylip": phylip_text}
 
 
 def write(wide: DataFrame, path: str, kind: str = "fasta") -> None:

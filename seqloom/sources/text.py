@@ -29,14 +29,16 @@ def sniff(text: DataFrame, first: int = 100) -> DataFrame:
     return marks.select("path", F.when(F.col("clu"), "clustal").when(F.col("msf"), "msf").when(F.col("fa"), "fasta").alias("format"))
 
 
-def fasta(whole: DataFrame) -> DataFrame:
+def fasta(whole: DataFrame, strict: bool = False) -> DataFrame:
     """path, rank, name, aligned, seq: records of FASTA text; punctuation is a gap, other signs are left out.
 
-    A record is a piece of its file's text, so no lines meet in a window.
+    A record is a piece of its file's text, so no lines meet in a window.  Letters before the first header are left out, or,
+    if strict, an error.
     """
     body = F.regexp_replace(F.concat(F.lit("\n"), "content"), "\r", "")
     records = F.split(body, "\n>")
-    out = whole.select("path", F.posexplode(records).alias("k", "record")).filter("k > 0")
+    early = F.raise_error(F.concat(F.lit("text before the first header in "), "path")).cast("boolean")
+    out = whole.select("path", F.posexplode(records).alias("k", "record")).filter(F.when((F.col("k") == 0) & F.lit(strict) & F.col("record").rlike("[A-Za-z]"), early).otherwise(F.col("k") > 0))
     name = F.split("record", "\n", 2)[0]
     rest = F.coalesce(F.get(F.split("record", "\n", 2), F.lit(1)), F.lit(""))
     aligned = F.regexp_replace(F.regexp_replace(rest, r"\p{Punct}", "-"), "[^A-Za-z-]", "")
@@ -93,6 +95,42 @@ def column_mask(whole: DataFrame) -> DataFrame:
     return whole.select("path", F.posexplode(F.split(data, r"\s+")).alias("col", "v")).filter("v <> ''").select("path", "col", (F.col("v") == "1").cast("int").alias("mask"))
 
 
+def upper(rows: DataFrame) -> DataFrame:
+    """Rows of text in capitals, with '-' for '.'."""
+    return rows.withColumn("aligned", F.translate(F.upper("aligned"), ".", "-"))
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """path, format, rank, name, aligned of text files, each by the format its first lines show; a file of no known format,
+    or of fewer than two sequences, is an error."""
+    whole = files(spark, path)
+    kinds = sniff(lines(whole))
+    told = F.when(F.col("format").isNull(), F.raise_error(F.concat(F.lit("no known format in "), "path")).cast("string")).otherwise(F.col("format"))
+    known = whole.join(kinds, "path").select("path", "content", told.alias("format"))
+    made = None
+    for kind, parse in (("fasta", lambda x: fasta(x, strict=True)), ("clustal", lambda x: clustal(lines(x))), ("msf", lambda x: msf(lines(x)))):
+        part = parse(known.filter(F.col("format") == kind).select("path", "content")).select("path", F.lit(kind).alias("format"), F.col("rank").cast("long").alias("rank"), "name", "aligned")
+        made = part if made is None else made.union(part)
+    few = F.raise_error(F.concat(F.lit("fewer than two sequences in "), "path")).cast("long")
+    return made.withColumn("rank", F.when(F.count("*").over(Window.partitionBy("path")) < 2, few).otherwise(F.col("rank")))
+
+
+def union_of_one_kind(*inputs: DataFrame) -> DataFrame:
+    """union_inputs of inputs (family, rank, name, seq); inputs of other alphabets than the first are an error.
+
+    input counts from 0; ranks go on from input to input.
+    """
+    from seqloom.operators.columns import detect_alphabet, letter_histogram
+
+    both = union_inputs(*[x.withColumn("input", F.lit(i)) for i, x in enumerate(inputs)])
+    kinds = detect_alphabet(letter_histogram(both.select(F.col("input").alias("family"), "seq")))
+    told = F.raise_error(F.lit("inputs of several alphabets")).cast("boolean")
+    one = kinds.agg((F.countDistinct("kind") > 1).alias("mixed")).select(F.when(F.col("mixed"), told).otherwise(True).alias("one"))
+    order = Window.partitionBy("family").orderBy("input", "rank")
+    placed = both.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+    return placed.join(F.broadcast(one), F.col("one")).drop("one")  # a single row
+
+
 def union_inputs(*inputs: DataFrame) -> DataFrame:
     out = inputs[0]
     for x in inputs[1:]:
