@@ -134,48 +134,57 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, math.cos(math.pi * differ / (8 * len(a))))
 
 
-def _buckets(docs: DataFrame, count: int) -> tuple[list[int], dict[int, int]]:
-    """Bounds of `count` ranges of ids, and each non-empty range's first id; an entry for each range."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"))
-    bounds = id_bounds(docs, count)
+def _ranges(bounds: list[int], ids: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The range of each row in the order of id and name; an id that is several bounds fills the ranges between by names."""
+    low, high = (np.searchsorted(bounds, ids, side=side).astype(np.int64) for side in ("left", "right"))
+    share = (names.astype(np.float64) + 2.0**63) / 2.0**64
+    return low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low)
+
+
+def _openings(docs: DataFrame, bounds: list[int]) -> dict[int, tuple[int, int]]:
+    """For each non-empty range its first (id, name); an entry for each range."""
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, int] = {}
+        least: dict[int, tuple[int, int]] = {}
         for b in batches:
-            v = b.column(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(bounds, v, side="right")
-            for k in np.unique(at).tolist():
-                m = int(v[at == k].min())
-                least[k] = min(least.get(k, m), m)
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array(list(least.values()), pa.int64())], ["bucket", "first"])
+            ids, names = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = _ranges(bounds, ids, names)
+            order = np.lexsort((names, ids, at))
+            for k in order[np.r_[True, at[order][1:] != at[order][:-1]]] if len(order) else ():
+                mine = int(ids[k]), int(names[k])
+                least[int(at[k])] = min(least.get(int(at[k]), mine), mine)
+        cols = list(least), [v[0] for v in least.values()], [v[1] for v in least.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "id", "name"])
 
-    rows = ids.mapInArrow(firsts, "bucket long, first long").groupBy("bucket").agg(F.min("first").alias("first")).collect()  # a row a range
-    return bounds, {r["bucket"]: r["first"] for r in rows}
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("id"), F.xxhash64(whole_text()).alias("name"))
+    rows = src.mapInArrow(firsts, "bucket long, id long, name long").groupBy("bucket").agg(F.min(F.struct("id", "name")).alias("f")).collect()  # a row a range
+    return {r["bucket"]: (r["f"]["id"], r["f"]["name"]) for r in rows}
 
 
 def edited_prints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness; see op3 in the README for the edit.
 
-    Ids are dealt out in ranges; the first document of a range also goes to the range before it (the very first to the
-    last), so that a text has its successor beside it after one shuffle.  Null ids come first; rows of one id are in
-    the order of their texts.
+    Documents are dealt out in ranges of ids; the first of a range also goes to the range before it (the very first to
+    the last), so that a text has its successor beside it after one shuffle.  Null ids come first; rows of one id are in
+    the order of their texts' hashes, and fill several ranges if they are many.
     """
     count = ranges_for(text_bytes(docs))
-    bounds, first = _buckets(docs, count)
+    bounds = id_bounds(docs, count)
+    first = _openings(docs, bounds)
     order = sorted(first)
-    before = {first[k]: order[i - 1] for i, k in enumerate(order)}  # an id that opens a range -> the range before
+    before = {first[k]: order[i - 1] for i, k in enumerate(order)}  # what opens a range -> the range before
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opening = np.array(sorted(before), np.int64)
+        opening = np.array(sorted({k[0] for k in before}), np.int64)
         for b in batches:
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(bounds, key, side="right").astype(np.int64)
-            also = np.flatnonzero(np.isin(key, opening))
+            key, name = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = _ranges(bounds, key, name)
+            also = np.array([k for k in np.flatnonzero(np.isin(key, opening)) if (int(key[k]), int(name[k])) in before], np.int64)
             take = np.r_[np.arange(len(key)), also]
-            bucket = np.r_[at, np.array([before[int(k)] for k in key[also]], np.int64)]
+            bucket = np.r_[at, np.array([before[int(key[k]), int(name[k])] for k in also], np.int64)]
             tail = np.r_[np.zeros(len(key), bool), np.ones(len(also), bool)]
             picked = b.take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(tail), *picked.columns], ["bucket", "tail", "key", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(tail), *picked.columns], ["bucket", "tail", "key", "name", "doc_id", "text"])
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, prev, out = Terms(), None, []
@@ -195,7 +204,7 @@ def edited_prints(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=False)], names)
 
         for b in batches:
-            for bucket, tail, doc_id, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=False):
+            for bucket, tail, doc_id, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=False):
                 if tail and (prev is None or prev[0] != bucket):
                     continue  # a second row of the id that opens the next range
                 own = hasher.fingerprint(text)
@@ -205,9 +214,9 @@ def edited_prints(docs: DataFrame) -> DataFrame:
             if out:
                 yield flush()
 
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("key"), F.col("doc_id").cast("long"), whole_text().alias("text"))
-    dealt = src.mapInArrow(deal, "bucket long, tail boolean, key long, doc_id long, text string")
-    near = dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("key"), F.xxhash64(whole_text()).alias("name"), F.col("doc_id").cast("long"), whole_text().alias("text"))
+    dealt = src.mapInArrow(deal, "bucket long, tail boolean, key long, name long, doc_id long, text string")
+    near = dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "tail", "key", "name", "text")
     return near.mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

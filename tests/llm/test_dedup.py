@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqloom.llm import hamming, repeats, simhash
+from seqloom.llm import common, hamming, repeats, simhash
 
 
 def brute_repeats(texts, window):
@@ -215,6 +215,30 @@ def test_document_fingerprints(spark, empty):
     assert simhash.document_fingerprints(empty).collect() == []
 
 
+def test_document_fingerprints_of_one_id(spark, monkeypatch):
+    """Rows of one id, or of none, fill several ranges; every row is followed by the next, the last by the first."""
+    monkeypatch.setattr(common, "RANGE_BYTES", 300)
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(8))) for i in range(40)] + [(20, f"{word()} {i} {word()} same id") for i in range(60)] + [(None, f"{word()} {i} no id") for i in range(30)]
+    rows.append(rows[45])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.edited_prints(docs).collect()
+    assert len(got) == len(rows)
+    edited = lambda t, n: t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+    have = Counter((x.doc_id, x.edited_sha256) for x in got)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    # between ids the successor is known; within one id each row is a successor once
+    order = sorted(texts, key=lambda i: -1 if i is None else i)
+    for i, n in zip(order, order[1:] + order[:1], strict=True):
+        nexts = texts[i] + texts[n]
+        possible = {hashlib.sha256(edited(t, x).encode()).hexdigest() for t in texts[i] for x in nexts}
+        mine = [h for (k, h), c in have.items() if k == i for _ in range(c)]
+        assert len(mine) == len(texts[i]) and set(mine) <= possible
+
+
 def test_document_fingerprints_odd_rows(odd):
     rows = simhash.document_fingerprints(odd).collect()
     assert len(rows) == 7 and len({r.fingerprint for r in rows if r.doc_id in (1, 2)}) == 1

@@ -436,6 +436,53 @@ def test_negative_risk_is_bounded():
     assert 0 < model.chances(sets[0]) < 1
 
 
+def plain_risk(weights, bias, positive, unlabelled, prior):
+    """The non-negative risk, a text at a time; and whether its negative part is above zero."""
+    import math
+
+    z = lambda text: float(bias + sum(weights[f] for f in text))
+    loss = lambda v: math.log1p(math.exp(-abs(v))) + max(-v, 0)
+    right = sum(loss(z(t)) for t in positive) / len(positive)
+    wrong = sum(loss(-z(t)) for t in positive) / len(positive)
+    rest = sum(loss(-z(t)) for t in unlabelled) / len(unlabelled) - prior * wrong
+    return prior * right + max(0.0, rest), rest > 0
+
+
+def test_training_lowers_the_plain_risk():
+    r = np.random.default_rng(1)
+    texts = [np.unique(np.r_[r.integers(0, 300, 12), [900 + k % 3] if k % 5 == 0 else []]).astype(np.int64) for k in range(400)]
+    toxic = [t for t in texts if t[-1] >= 900]
+    positive, unlabelled, prior = toxic[:50], texts, len(toxic) / len(texts)
+    model = toxicity.fit(positive, unlabelled, prior)
+    start = np.log(prior / (1 - prior))
+    before, _ = plain_risk(np.zeros(toxicity.FEATURES), start, positive, unlabelled, prior)
+    for k in range(toxicity.CLASSIFIERS):
+        after, above = plain_risk(model.weights[:, k], model.bias[k], positive, unlabelled, prior)
+        assert after < 0.7 * before and above
+    chances = [model.chances(t) for t in texts]
+    assert min(c for c, t in zip(chances, texts, strict=True) if t[-1] >= 900) > max(c for c, t in zip(chances, texts, strict=True) if t[-1] < 900)
+
+
+def test_few_positives():
+    """Twenty-five positives of three telling words each among many: most of the others are found, few clean texts taken."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(2, 9))) for _ in range(1500)]
+    bad = ["vilest", "scoundrel", "wretch", "vermin", "loathsome"]
+    known: dict = {}
+
+    def text(toxic):
+        t = [r.choice(words) for _ in range(r.randrange(20, 80))]
+        for _ in range(3 * toxic):
+            t.insert(r.randrange(len(t)), r.choice(bad))
+        return toxicity.feature_ids(" ".join(t), known)
+
+    positive, unlabelled = [text(1) for _ in range(25)], [text(k % 8 == 0) for k in range(600)]
+    model = toxicity.fit(positive, unlabelled, 1 / 8)
+    held = [(model.chances(text(y)) >= toxicity.REJECT_AT, y) for y in [1] * 100 + [0] * 700]
+    hit = sum(p and y for p, y in held)
+    assert hit >= 70 and hit >= 0.8 * sum(p for p, _ in held)
+
+
 # ---- pages ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
