@@ -220,8 +220,8 @@ def _span(fp: np.ndarray, home: np.ndarray, radius: int, forest: Forest) -> None
 
 def links(fps: DataFrame, radius: int = 4, segments: int | None = None) -> DataFrame:
     """fps: distinct non-null 64-bit fingerprints in w0.  Links (a, b) whose components are those of all pairs within the radius."""
-    # the rows come from an aggregate's few partitions and make many each
-    spread = fps.repartition(parts(fps.sparkSession), "w0")
+    # the rows come from an aggregate's few partitions and make many each; dealt by w0 itself they would stay where they are
+    spread = fps.repartition(parts(fps.sparkSession), F.xxhash64("w0"))
     rows = deal(multi_index(spread, radius, segments or segments_for(fps.count(), radius)), 1)
     dealt = rows.repartition(parts(fps.sparkSession), "cell", "sub").sortWithinPartitions("cell", "sub")
     return dealt.select("cell", "sub", "home", "w0").mapInArrow(link_cells(radius), "a long, b long")
