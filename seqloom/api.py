@@ -102,7 +102,14 @@ def evaluate_folder(spark: SparkSession, folder: str, methods: list[str], most:
     """Aligns the cases of a folder (files of one stem beside each other) by each method and writes their scores and the
     table of means by category."""
     cases = catalog.first_cases(catalog.beside(catalog.paths(spark, folder), "cases"), most)
-    own = lambda column: read(spark, folder, "auto").join(cases.select("family", F.col(column).alias("path")).withColumnRenamed("family", "case"), F.col("family") == F.col("path")).drop("family", "path").withColumnRenamed("case", "family")
+    plain = lambda path: F.regexp_replace(path, "^file:/+", "file:/")
+    whole = text.files(spark, folder, deep=True).withColumn("path", plain(F.col("path")))
+
+    def own(column: str) -> DataFrame:
+        """The cases' files of one kind, by family."""
+        at = cases.select("family", plain(F.col(column)).alias("path"))
+        return text.parse_any(whole.join(at, "path", "left_semi")).join(at, "path").select("family", "rank", "name", "aligned")
+
     seqs, ref = own("unaligned"), own("reference")
     seqs = seqs.select("family", "rank", text.short_name("name").alias("name"), dealign(seqs["aligned"]).alias("seq"))
     got = _evaluation.evaluate(seqs, ref, methods).join(cases.select("family", "dataset"), "family")

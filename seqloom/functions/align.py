@@ -179,6 +179,73 @@ def _align_together(pairs: list[Pair]) -> list[tuple[np.ndarray, np.ndarray, flo
     return [(left[keep, k], right[keep, k], float(total[k])) for k, keep in enumerate(own)]
 
 
+@dataclass
+class Meeting:
+    """Where the best path crosses a row of the first side: after its place `row` the path goes on from `column` of the
+    second; `other` is the runner-up column and margin how much it loses."""
+
+    row: int
+    column: int
+    other: int
+    margin: float
+
+
+def meeting(pair: Pair, row: int) -> Meeting:
+    """The best and the next best column at which a path may cross a row, from a sweep to it from either end.
+
+    A path reversed costs the same, so the way back is the sweep of the reversed sides.  What meets is two matches, a match
+    and a gap (which is left or entered there), or two parts of a gap (whose columns count as one run).
+    """
+    back = Pair(pair.n, pair.m, lambda i, j: pair.rows(pair.n - j, pair.n - i)[::-1, ::-1], pair.s)
+    sides = []
+    for p, stop in ((pair, row), (back, pair.n - row)):
+        sweep = _Sweep([p])
+        now = sweep.first()
+        for i in range(1, stop + 1):
+            now, _ = sweep.step(i, now, p.rows(i - 1, i)[None, 0])
+        sides.append([v[0] for v in now])
+    (a, x, y), (ra, rx, ry) = sides[0], [v[::-1] for v in sides[1]]
+    o, e = np.float32(pair.s.gap_open), np.float32(pair.s.gap_extend)
+    inner = np.ones(pair.m + 1, np.float32)
+    inner[[0, -1]] = 0  # at either end of the second side a gap is terminal: it costs by its columns alone
+    best = np.max([a + ra, a + rx - o, a + ry - o * inner, x + ra - o, y + ra - o * inner, y + ry - e * inner, x + rx - e], axis=0)
+    first = int(best.argmax())
+    rest = best.copy()
+    rest[first] = LOW
+    other = int(rest.argmax()) if len(rest) > 1 else first
+    return Meeting(row, first, other, float(best[first] - rest[other]) if len(rest) > 1 else float("inf"))
+
+
+def through(pair: Pair, crossings: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The best path through given crossings (row, column), each part aligned by itself."""
+    ends = [(0, 0), *sorted(crossings), (pair.n, pair.m)]
+    left, right = [], []
+    for (r0, c0), (r1, c1) in zip(ends, ends[1:], strict=False):
+        if r1 > r0 and c1 > c0:
+            part = Pair(r1 - r0, c1 - c0, lambda i, j, r0=r0, c0=c0, c1=c1: pair.rows(r0 + i, r0 + j)[:, c0:c1], pair.s)
+            ((p, q, _),) = align_pairs([part])
+        else:
+            p = np.r_[np.arange(r1 - r0), np.full(c1 - c0, -1)]
+            q = np.r_[np.full(r1 - r0, -1), np.arange(c1 - c0)]
+        left.append(np.where(p >= 0, p + r0, -1))
+        right.append(np.where(q >= 0, q + c0, -1))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def trials(pair: Pair, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The best path, and paths that cross where the best one is least certain: at halves and quarters of the rows, those
+    crossings whose margin is under the mean are moved to their runner-up, in turn."""
+    ((p, q, _),) = align_pairs([pair])
+    out = [(p, q)]
+    if most > 1 and pair.n >= 4 and pair.m >= 2:
+        met = [meeting(pair, pair.n * k // 8) for k in range(1, 8) if pair.n * k // 8 > 0]
+        mean = float(np.mean([x.margin for x in met]))
+        doubtful = [x for x in met if x.margin < mean and x.other != x.column]
+        for k in range(min(most - 1, len(doubtful))):
+            out.append(through(pair, [(doubtful[k].row, doubtful[k].other)]))
+    return out
+
+
 def pairwise(score: np.ndarray, s: Scores) -> tuple[list[tuple[int, int]], float]:
     """Best path over a matrix of column scores: pairs (i, j), -1 for a gap on that side; and its score."""
     ((left, right, total),) = align_pairs([Pair(*score.shape, lambda i, j: score[i:j], s)])
@@ -430,10 +497,29 @@ def sum_of_pairs(rows: list[str], s: Scores) -> float:
     return float(same.sum() - s.gap_extend * (present * (n - present)).sum())
 
 
+TRIALS = 5
+
+
+def merge_score(x: Profile, y: Profile, left: np.ndarray, right: np.ndarray, s: Scores) -> float:
+    """Sum of pairs between the members of two sides along a path: residue scores, gap_open for each run of gap columns, and
+    gap_extend, or gap_terminal at the ends, for each residue that faces a gap of the other side."""
+    both = (left >= 0) & (right >= 0)
+    total = float(((x.counts[left[both]] @ s.matrix) * y.counts[right[both]]).sum())
+    nx, ny = len(x.members), len(y.members)
+    facing = np.where(left < 0, y.counts[np.maximum(right, 0)].sum(1) * nx, np.where(right < 0, x.counts[np.maximum(left, 0)].sum(1) * ny, 0.0))
+    inner = np.flatnonzero(both)
+    first, last = (inner[0], inner[-1]) if len(inner) else (len(left), -1)
+    at_end = (np.arange(len(left)) < first) | (np.arange(len(left)) > last)
+    kind = np.where(both, 0, np.where(left < 0, 1, 2))
+    opens = (kind > 0) & (np.r_[0, kind[:-1]] != kind) & ~at_end
+    return total - float((facing * np.where(at_end, s.gap_terminal, s.gap_extend)).sum()) - s.gap_open * nx * ny * int(opens.sum())
+
+
 def refine(rows: list[str], seqs: list[str], s: Scores, offset: float, tree: list[tuple[int, int, int]], margins: list[float], mode: str) -> list[str]:
     """Takes the alignment apart at tree edges and aligns the halves again; keeps what scores higher.
 
-    'confident': edges whose merge scored no more than the median; 'all': every edge.
+    'confident': edges whose merge scored no more than the median; 'all': every edge.  An edge has TRIALS trials: the best
+    path of its sides, and paths that cross at runners-up of uncertain places.
     """
     below: dict[int, list[int]] = {i: [i] for i in range(len(seqs))}
     for a, b, c in tree:
@@ -450,11 +536,11 @@ def refine(rows: list[str], seqs: list[str], s: Scores, offset: float, tree: lis
             halves = []
             for members in (sorted(inside), [i for i in range(len(seqs)) if i not in inside]):
                 halves.append(_profile_of(rows, members, s))
-            got, _ = merge(*halves, s, offset)
-            tried = rows_of(got, seqs)
-            score = sum_of_pairs(tried, s)
-            if score > best + 1e-6:
-                rows, best = tried, score
+            for left, right in trials(side_by_side(*halves, s, offset), TRIALS):
+                tried = rows_of(joined(*halves, left, right), seqs)
+                score = sum_of_pairs(tried, s)
+                if score > best + 1e-6:
+                    rows, best = tried, score
     return rows
 
 
@@ -610,20 +696,33 @@ def _chosen(own: list[str], s: Scores, made: list[list[str]], o: Options) -> lis
 
 def generate_family(n: int, length: int, seed: int, dna: bool = False, indel: float = 0.04) -> list[str]:
     """Sequences drawn from one profile with substitutions, insertions and deletions."""
+    return [r.replace("-", "") for r in generate_alignment(n, length, seed, dna, indel)]
+
+
+def generate_alignment(n: int, length: int, seed: int, dna: bool = False, indel: float = 0.04) -> list[str]:
+    """A family and its true alignment, from a chain of match, insert and delete states.
+
+    Each of `length` match states has letter chances of its own; from a match or insert a sequence goes to an insert, and
+    from a match or delete to a delete, with the chance `indel` (half of it for over 100 sequences).  Inserts of one place
+    share columns, left-justified.  A sequence of no letter gets one.
+    """
     rng = np.random.default_rng(seed)
     letters = "ACGT" if dna else "ACDEFGHIKLMNPQRSTVWY"
     profile = rng.dirichlet(np.full(len(letters), 0.15), length)
     if n > 100:
         indel /= 2
-    out = []
+    drawn: list[list[tuple[str, str]]] = []  # for each place the letter of its match, and what is inserted after it
     for _ in range(n):
         row = []
         for p in profile:
             x = rng.random()
-            if x < indel:
-                continue
-            row.append(letters[rng.choice(len(letters), p=p)])
-            while rng.random() < indel:
-                row.append(letters[rng.integers(len(letters))])
-        out.append("".join(row) or letters[0])
-    return out
+            match = "" if x < indel else letters[rng.choice(len(letters), p=p)]
+            inserted = ""
+            while match and rng.random() < indel:
+                inserted += letters[rng.integers(len(letters))]
+            row.append((match, inserted))
+        if not any(m for m, _ in row):
+            row[0] = (letters[0], "")
+        drawn.append(row)
+    widest = [max(len(row[k][1]) for row in drawn) for k in range(length)]
+    return ["".join((m or "-") + i.ljust(w, "-") for (m, i), w in zip(row, widest, strict=True)) for row in drawn]

@@ -110,12 +110,19 @@ def consensus_from_support(seqs: DataFrame, support: DataFrame, least: int) -> D
     """Alignments from a support table (family, i, j, pos_i, pos_j, mask) whose i, j are ranks, at another threshold."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        g = _checked(left)
-        place = {r: k for k, r in enumerate(g["rank"])}
+        g = _checked(left).reset_index(drop=True)
+        names, own = g["name"].tolist(), g["seq"].tolist()
+        order = sorted(range(len(g)), key=lambda i: (-len(own[i]), names[i], own[i], i))  # as an ensemble takes them
+        place = {g["rank"][i]: k for k, i in enumerate(order)}
         if not set(right["i"]).union(right["j"]) <= set(place):
             raise ValueError(f"support of family {g['family'].iloc[0]!r} names other sequences")
-        table = {(place[i], place[j], p, q): int(m) for i, j, p, q, m in zip(right["i"], right["j"], right["pos_i"], right["pos_j"], right["mask"], strict=True)}
-        rows = kernel.consensus(g["seq"].tolist(), table, least)
+        table = {}
+        for i, j, p, q, m in zip(right["i"], right["j"], right["pos_i"], right["pos_j"], right["mask"], strict=True):
+            x, y = (place[i], p), (place[j], q)
+            (x, p), (y, q) = (x, y) if x < y else (y, x)
+            table[x, y, p, q] = int(m)
+        put = dict(zip(order, kernel.consensus([own[i] for i in order], table, least), strict=True))
+        rows = [put[i] for i in range(len(g))]
         return pd.DataFrame({"family": g["family"], "run_id": 0, "rank": g["rank"], "name": g["name"], "aligned": rows})
 
     src = seqs.select("family", F.col("rank").cast("long"), "name", "seq")
@@ -167,6 +174,24 @@ def generate(spark: SparkSession, families: int, n: int, length: int, seed: int
     return spark.range(families).mapInPandas(run, "family string, rank long, name string, seq string")
 
 
+def generate_true(spark: SparkSession, families: int, n: int, length: int, seed: int = 42, dna: bool = False) -> DataFrame:
+    """family, rank, name, aligned: synthetic families with their true alignments."""
+
+    def run(batches):
+        for b in batches:
+            for k in b["id"].tolist():
+                rows = kernel.generate_alignment(n, length, seed + int(k), dna)
+                yield pd.DataFrame({"family": f"g{k}", "rank": range(len(rows)), "name": [f"seq{i}" for i in range(len(rows))], "aligned": rows})
+
+    return spark.range(families).mapInPandas(run, "family string, rank long, name string, aligned string")
+
+
+def mean_distances(distances: DataFrame, seqs: DataFrame) -> DataFrame:
+    """family, rank, share: each sequence's mean distance to the anchors (anchor_distances), to its length."""
+    n = seqs.select("family", "rank", F.length("seq").alias("n"))
+    return distances.join(n, ["family", "rank"]).groupBy("family", "rank").agg((F.avg("distance") / F.greatest(F.max("n"), F.lit(1))).alias("share"))
+
+
 def align_path(spark: SparkSession, path: str, mode: str = "default", **changes) -> DataFrame:
     """FASTA files under a path, a family each."""
     return align(text.fasta(text.files(spark, path), strict=True).withColumnRenamed("path", "family"), mode, **changes)

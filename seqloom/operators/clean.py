@@ -76,8 +76,24 @@ def anchors(seqs: DataFrame, most: int = 32) -> DataFrame:
     return placed.filter((F.col("place") % stride == 0) & (F.col("place") < k * stride)).drop("n")
 
 
+def kmer_diagonals(seqs: DataFrame, k: int = 6) -> DataFrame:
+    """family, i, j, score: words of k letters that two sequences share on their best diagonal.
+
+    Words are joined by family and word, so a word's places meet, not sequences.
+    """
+    places = F.transform(F.sequence(F.lit(0), F.length("seq") - k), lambda p: F.struct(p.alias("p"), F.substring("seq", p + 1, F.lit(k)).alias("w")))
+    words = seqs.filter(F.length("seq") >= k).select("family", "rank", F.explode(places).alias("x")).select("family", "rank", "x.p", "x.w")
+    a = words.select("family", "w", F.col("rank").alias("i"), F.col("p").alias("a"))
+    b = words.select("family", "w", F.col("rank").alias("j"), F.col("p").alias("b"))
+    on = a.join(b, ["family", "w"]).filter("i < j").groupBy("family", "i", "j", (F.col("a") - F.col("b")).alias("diagonal")).agg(F.count("*").alias("n"))
+    return on.groupBy("family", "i", "j").agg(F.max("n").alias("score"))
+
+
 def length_ratio(seqs: DataFrame) -> DataFrame:
-    """family, ratio, matrix: longest over shortest; under 1.5 the matrix of near families, else of far ones."""
+    """family, ratio, matrix: longest over shortest; under 1.5 the matrix of near families, else of far ones.
+
+    Nucleotides have no such choice: with alphabet (family, kind) given, families that are no proteins are near.
+    """
     out = seqs.groupBy("family").agg((F.max(F.length("seq")) / F.min(F.length("seq"))).alias("ratio"))
     return out.withColumn("matrix", F.when(F.col("ratio") < 1.5, "near").otherwise("far"))
 

@@ -44,6 +44,30 @@ def run_scores(wide: DataFrame, n_runs: int) -> DataFrame:
     return per.select("family", F.col("base").alias("run_id"), ((F.col("supported") - F.col("own")) / max(1, n_runs - 1)).alias("score"))
 
 
+def merge_candidates(held: DataFrame, least: int) -> DataFrame:
+    """Pairs of enough support in the order in which a consensus takes them: turn by support, highest first, then the pair."""
+    from pyspark.sql import Window
+
+    s = F.bit_count("mask")
+    order = Window.partitionBy("family").orderBy(s.desc(), "i", "j", "pos_i", "pos_j")
+    return held.filter(s >= least).withColumn("turn", F.row_number().over(order) - 1)
+
+
+def best_trial(scores: DataFrame) -> DataFrame:
+    """family, trial, score: the highest score, the first trial of equals."""
+    top = F.max(F.struct("score", (-F.col("trial")).alias("turn")))
+    return scores.groupBy("family").agg(top.alias("t")).select("family", (-F.col("t.turn")).alias("trial"), F.col("t.score").alias("score"))
+
+
+def anchor_bonus(maps: DataFrame, anchors: int, weight: float) -> DataFrame:
+    """family, i, j, pos_i, pos_j, bonus from maps (family, rank, anchor, pos, anchor_pos, confidence): residues of two rows
+    that meet at an anchor's residue, a share of the weight for each anchor."""
+    a = maps.select("family", "anchor", "anchor_pos", F.col("rank").alias("i"), F.col("pos").alias("pos_i"), F.col("confidence").alias("x"))
+    b = maps.select("family", "anchor", "anchor_pos", F.col("rank").alias("j"), F.col("pos").alias("pos_j"), F.col("confidence").alias("y"))
+    met = a.join(b, ["family", "anchor", "anchor_pos"]).filter("i < j")
+    return met.groupBy("family", "i", "j", "pos_i", "pos_j").agg(F.sum(F.lit(weight / anchors) * F.col("x") * F.col("y")).alias("bonus"))
+
+
 def best_run(scores: DataFrame, margin: float = 1.05) -> DataFrame:
     """family, run_id: the highest score, the lowest run of equals; another than run 0 has to beat it by the margin."""
     first = F.max(F.when(F.col("run_id") == 0, F.col("score")))

@@ -42,6 +42,20 @@ def robinson_foulds(x: DataFrame, y: DataFrame) -> DataFrame:
     return both.groupBy("family").agg((alone / total).alias("distance"))
 
 
+def newick_splits(trees: DataFrame) -> DataFrame:
+    """family, split, length, n of every edge of the trees (family, newick)."""
+    import pandas as pd
+
+    from seqloom.functions import newick
+
+    def run(batches):
+        for b in batches:
+            rows = [(f, side, length, n) for f, text in zip(b["family"], b["newick"], strict=True) for got, n in [newick.splits(text)] for side, length in got]
+            yield pd.DataFrame(rows, columns=["family", "split", "length", "n"])
+
+    return trees.select("family", "newick").mapInPandas(run, "family string, split array<string>, length double, n int")
+
+
 def tree_distances(x: DataFrame, y: DataFrame) -> DataFrame:
     """family, nrf, euclidean, weighted from splits with lengths (family, split, length) of two trees; n: leaves of a family.
 

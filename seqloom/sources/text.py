@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """path, content: whole text files."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+def files(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """path, content: whole text files; deep: of the folders below as well."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=deep).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
 def lines(whole: DataFrame) -> DataFrame:
@@ -103,7 +103,11 @@ def upper(rows: DataFrame) -> DataFrame:
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """path, format, rank, name, aligned of text files, each by the format its first lines show; a file of no known format,
     or of fewer than two sequences, is an error."""
-    whole = files(spark, path)
+    return parse_any(files(spark, path))
+
+
+def parse_any(whole: DataFrame) -> DataFrame:
+    """read_any of files (path, content)."""
     kinds = sniff(lines(whole))
     told = F.when(F.col("format").isNull(), F.raise_error(F.concat(F.lit("no known format in "), "path")).cast("string")).otherwise(F.col("format"))
     known = whole.join(kinds, "path").select("path", "content", told.alias("format"))
