@@ -80,11 +80,29 @@ def trim(wide: DataFrame, start: int, end: int) -> DataFrame:
     return wide.withColumn("aligned", F.when(begin >= stop, none).otherwise(F.col("aligned").substr(begin + 1, stop - begin)))
 
 
+#: Rows of a family's block; a larger family is joined by pairs of blocks, each a key of its own.
+BLOCK_ROWS = 512
+
+
+def row_pairs(wide: DataFrame) -> DataFrame:
+    """family, i, j, x, y: ranks i < j and texts of every two rows of a family.
+
+    A row goes to every pair of blocks that holds its own, so no family meets in one task whole.
+    """
+    blocks = wide.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = wide.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("rank"), F.col("blocks")).cast("int"))
+    dealt = own.select("family", "rank", "aligned", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    a = dealt.filter("own = p").select("family", "p", "q", F.col("rank").alias("r"), F.col("aligned").alias("x"))
+    b = dealt.filter("own = q").select("family", "p", "q", F.col("rank").alias("s"), F.col("aligned").alias("y"))
+    met = a.join(b, ["family", "p", "q"]).filter("p < q OR r < s")
+    first = F.col("r") < F.col("s")
+    return met.select("family", F.least("r", "s").alias("i"), F.greatest("r", "s").alias("j"), F.when(first, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("y"))
+
+
 def pairwise_identity(wide: DataFrame) -> DataFrame:
     """family, i, j, identity for rows i < j: matches over columns where both have a letter, 0 without any."""
-    a = wide.select("family", F.col("rank").alias("i"), F.col("aligned").alias("x"))
-    b = wide.select("family", F.col("rank").alias("j"), F.col("aligned").alias("y"))
-    pairs = a.join(b, "family").filter("i < j")
+    pairs = row_pairs(wide)
     both = F.zip_with(F.split("x", ""), F.split("y", ""), lambda p, q: F.when((p == "-") | (q == "-"), 0).when(p == q, 2).otherwise(1))
     same, met = F.size(F.filter(both, lambda v: v == 2)), F.size(F.filter(both, lambda v: v > 0))
     return pairs.select("family", "i", "j", F.when(met > 0, same / met).otherwise(0.0).alias("identity"))

@@ -6,6 +6,8 @@ chosen column and the run's column are counted instead: n of them are n (n - 1)
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +114,30 @@ def pp_strings(wide: DataFrame, confidence: DataFrame) -> DataFrame:
 
 
 def support_sweep(wide: DataFrame, n_runs: int) -> DataFrame:
-    """family, min_support, pairs: pairs kept at each threshold, from one support table."""
+    """family, min_support, pairs: pairs kept at each threshold.
+
+    Up to SUBSETS runs no pair is made: rows that share the columns of all runs of a subset, n of them, are n (n - 1) / 2
+    pairs that those runs support at least, and the pairs of support t or more are sums of these over subsets, with signs.
+    """
+    if n_runs > SUBSETS:
+        return _sweep_of_pairs(wide, n_runs)
+    rows = wide.groupBy("family", "rank").agg(*[F.max(F.when(F.col("run_id") == k, places(F.col("aligned")))).alias(f"r{k}") for k in range(n_runs)])
+    cells = rows.select("family", F.explode(F.arrays_zip(*[f"r{k}" for k in range(n_runs)])).alias("z"))
+    subsets = [s for s in range(1, 1 << n_runs)]
+    keys = F.array(*[F.struct(F.lit(s).alias("s"), F.array(*[F.when(F.lit(bool(s >> k & 1)), F.col(f"z.r{k}")).otherwise(-1) for k in range(n_runs)]).alias("at")) for s in subsets])
+    groups = cells.select("family", F.explode(keys).alias("k")).select("family", "k.s", "k.at").groupBy("family", "s", "at").agg(F.count("*").alias("n"))
+    per = groups.groupBy("family", "s").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"))
+    # of a pair with support m, subsets of size z count C(m, z) times; these signs leave 1 where m >= t and 0 else
+    sign = [(t, s, (-1) ** (s.bit_count() - t) * math.comb(s.bit_count() - 1, t - 1)) for t in range(1, n_runs + 1) for s in subsets if s.bit_count() >= t]
+    signs = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"), F.lit(v).alias("v")) for t, s, v in sign])
+    each = per.select("family", "s", "pairs", F.explode(F.filter(signs, lambda x: x["s"] == F.col("s"))).alias("x"))
+    return each.groupBy("family", F.col("x.t").alias("min_support")).agg(F.round(F.sum(F.col("pairs") * F.col("x.v"))).cast("long").alias("pairs"))
+
+
+SUBSETS = 6
+
+
+def _sweep_of_pairs(wide: DataFrame, n_runs: int) -> DataFrame:
+    """support_sweep from the support table."""
     held = support(wide).withColumn("s", F.bit_count("mask"))
     return held.select("family", F.explode(F.sequence(F.lit(1), F.lit(n_runs))).alias("min_support"), "s").groupBy("family", "min_support").agg(F.sum(F.when(F.col("s") >= F.col("min_support"), 1).otherwise(0)).alias("pairs"))

@@ -397,16 +397,16 @@ def confusion(spark, d):
     return cal.confusion(_cases(spark, d), 0.5)
 
 
-FOUND_SQL = "(SELECT DISTINCT source AS family, lang || (doc_id % 50) AS name FROM documents WHERE doc_id % 3 <> 0)"
-MEMBERS_SQL = "(SELECT DISTINCT source AS family, lang || (doc_id % 50) AS name FROM documents WHERE doc_id % 4 <> 0)"
+FOUND_SQL = "(SELECT DISTINCT source AS family, lang || (n_chars // 100) AS name FROM documents WHERE n_chars > 500)"
+MEMBERS_SQL = "(SELECT DISTINCT source AS family, lang || (n_chars // 100) AS name FROM documents WHERE lang <> 'de')"
 
 
 @query("hit_sets", f"""WITH b AS (SELECT family, f.name AS f, m.name AS m FROM {FOUND_SQL} f FULL JOIN {MEMBERS_SQL} m USING (family, name)),
 c AS (SELECT family, count(*) FILTER (f IS NOT NULL AND m IS NOT NULL) AS tp, count(*) FILTER (m IS NULL) AS fp, count(*) FILTER (f IS NULL) AS fn FROM b GROUP BY family)
 SELECT *, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS sensitivity, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision FROM c""")
 def hit_sets(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("family"), F.concat("lang", (F.col("doc_id") % 50).cast("string")).alias("name"), "doc_id")
-    return cal.hit_sets(docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 4 <> 0"))
+    docs = table(spark, d, "documents").select(F.col("source").alias("family"), F.concat("lang", F.floor(F.col("n_chars") / 100).cast("string")).alias("name"), "n_chars", "lang")
+    return cal.hit_sets(docs.filter("n_chars > 500"), docs.filter("lang <> 'de'"))
 
 
 @query("method_rollup", f"SELECT method, dataset, count(*) AS n, avg(score) FILTER (score >= 0) AS score, avg(seconds) AS seconds FROM {RESULTS_SQL} GROUP BY GROUPING SETS ((method, dataset), (method))")
@@ -571,14 +571,31 @@ def json_means(spark, d):
 # ---- kernels ----
 
 
-@query("edit_distance_infix")
+def _infix_sql(pairs: str, keys: str) -> str:
+    """keys, best from pairs (keys, t, q): least edit distance between q and any substring of t, a column of the recurrence a
+    step of the recursion; within a column each value is at most one more than the one before it."""
+    return f"""(WITH RECURSIVE d AS (SELECT {keys}, t, q, 0 AS k, list_transform(range(0, length(q) + 1), lambda i: i::INT) AS col, length(q)::INT AS best FROM {pairs}
+UNION ALL SELECT {keys}, t, q, k + 1, c2, least(best, c2[-1]) FROM (SELECT {keys}, t, q, k, best,
+  list_reduce(list_transform(range(1, length(q) + 1), lambda i: [least(col[i + 1] + 1, col[i] + (substr(q, i::INT, 1) <> substr(t, k + 1, 1))::INT)]), lambda a, x: list_append(a, least(x[1], a[-1] + 1)), [0]) AS c2 FROM d WHERE k < length(t)))
+SELECT {keys}, min(best) AS best FROM d GROUP BY ALL)"""
+
+
+FIRST_SQL = f"(SELECT s.family, s.rank, f.seq AS t, s.seq AS q FROM {SEGMENTS_SQL} s JOIN {SEGMENTS_SQL} f ON s.family = f.family AND f.rank = 0)"
+
+
+@query("edit_distance_infix", f"SELECT family, rank, best AS distance FROM {_infix_sql(FIRST_SQL, 'family, rank')}")
 def edit_distance_infix(spark, d):
     s = segments(spark, d)
     first = s.filter("rank = 0").select("family", F.col("seq").alias("text"))
     return s.join(first, "family").select("family", "rank", align.edit_distance_infix("text", "seq").alias("distance"))
 
 
-@query("anchor_embedding")
+ANCHORED_SQL = f"""(WITH p AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY length(seq) DESC, name, rank) - 1 AS place, count(*) OVER (PARTITION BY family) AS n FROM {SEGMENTS_SQL})
+SELECT s.family, s.rank, a.place AS anchor, (length(s.seq) + length(a.seq)) // 2 AS half, CASE WHEN length(s.seq) >= length(a.seq) THEN s.seq ELSE a.seq END AS t, CASE WHEN length(s.seq) >= length(a.seq) THEN a.seq ELSE s.seq END AS q
+FROM p s JOIN p a ON s.family = a.family AND a.place % (a.n // least(32, a.n)) = 0 AND a.place < least(32, a.n) * (a.n // least(32, a.n)))"""
+
+
+@query("anchor_embedding", f"SELECT family, rank, anchor, best + least(10000, half) / 10000 AS distance FROM {_infix_sql(ANCHORED_SQL, 'family, rank, anchor, half')}")
 def anchor_embedding(spark, d):
     s = segments(spark, d)
     return align.anchor_distances(s, clean.anchors(s))

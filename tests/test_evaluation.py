@@ -330,3 +330,20 @@ def test_command_line(spark, tmp_path):
     api.main(["align", "-i", f"{tmp_path}/cases/RV1/c1.tfa", "-o", f"{tmp_path}/again", "--load-poar", f"{tmp_path}/poar", "--min-support", "2"])
     one, two = (sorted(r.value for r in spark.read.text(f"{tmp_path}/{x}").collect()) for x in ("aln", "again"))
     assert one == two and api.get_num_threads(spark) >= 1
+
+
+def test_sweeps_with_and_without_pairs(spark, monkeypatch):
+    seqs = rows(spark, "f", K.generate_family(7, 25, 3)).union(rows(spark, "g", K.generate_family(4, 20, 4)))
+    made = A.align_runs(seqs, 4).cache()
+    plain = {(r.family, r.min_support): r.pairs for r in pairs._sweep_of_pairs(made, 4).collect()}
+    assert {(r.family, r.min_support): r.pairs for r in pairs.support_sweep(made, 4).collect()} == plain and len(plain) == 8
+    made.unpersist()
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(columns, "BLOCK_ROWS", 3)
+    wide = rows(spark, "f", K.generate_alignment(11, 20, 6), "aligned")
+    got = columns.row_pairs(wide).collect()
+    texts = {r.rank: r.aligned for r in wide.collect()}
+    assert sorted((r.i, r.j) for r in got) == list(itertools.combinations(range(11), 2))
+    assert all((r.x, r.y) == (texts[r.i], texts[r.j]) for r in got)
