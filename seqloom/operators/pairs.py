@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.longform import places, residues
@@ -27,29 +27,32 @@ def support(wide: DataFrame) -> DataFrame:
     return extract(wide).groupBy("family", "i", "j", "pos_i", "pos_j").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("run_id").cast("int"))).alias("mask"))
 
 
-def _against(wide: DataFrame, chosen: int | None) -> DataFrame:
-    """Each residue of the chosen run (or of each run) with its column there and in every run.
-
-    Rows are joined, a row's residues are zipped: as many rows are shuffled as the alignments have, not residues.
-    """
-    rows = wide.select("family", "run_id", "rank", places(F.col("aligned")).alias("here"))
-    base = (rows if chosen is None else rows.filter(F.col("run_id") == chosen)).select("family", "rank", F.col("run_id").alias("base"), F.col("here").alias("there"))
-    both = base.join(rows, ["family", "rank"]).select("family", "base", "rank", "run_id", F.posexplode(F.arrays_zip("there", "here")).alias("pos", "z"))
-    return both.select("family", "base", "rank", "run_id", F.col("pos").cast("long").alias("pos"), F.col("z.there").cast("long").alias("c"), F.col("z.here").cast("long").alias("col"))
+def _columns_of_runs(wide: DataFrame, n_runs: int) -> DataFrame:
+    """family, rank, z: for each residue of a row a struct r0, r1, .. of its columns in the runs; rows are shuffled, not residues."""
+    rows = wide.groupBy("family", "rank").agg(*[F.max(F.when(F.col("run_id") == k, places(F.col("aligned")))).alias(f"r{k}") for k in range(n_runs)])
+    return rows.select("family", "rank", F.explode(F.arrays_zip(*[f"r{k}" for k in range(n_runs)])).alias("z"))
 
 
 def run_scores(wide: DataFrame, n_runs: int) -> DataFrame:
-    """family, run_id, score: over the run's pairs the sum of (support - 1) / (runs - 1)."""
-    cells = _against(wide, None).groupBy("family", "base", "run_id", "c", "col").agg(F.count("*").alias("n"))
-    pairs = F.expr("n * (n - 1) / 2")
-    per = cells.groupBy("family", "base").agg(F.sum(pairs).alias("supported"), F.sum(F.when(F.col("base") == F.col("run_id"), pairs).otherwise(0)).alias("own"))
-    return per.select("family", F.col("base").alias("run_id"), ((F.col("supported") - F.col("own")) / max(1, n_runs - 1)).alias("score"))
+    """family, run_id, score: over the run's pairs the sum of (support - 1) / (runs - 1).
+
+    A run's pairs that another run supports are those of rows that share a column in both; each two runs are counted once.
+    """
+    two = [(k, m) for k in range(n_runs) for m in range(k + 1, n_runs)]
+    column = lambda k: F.col(f"z.r{k}").cast("long")
+    keys = [F.struct(F.lit(i).alias("s"), (F.shiftleft(column(k), 31) + column(m)).alias("at")) for i, (k, m) in enumerate(two)]
+    runs = wide.select("family", F.col("run_id").cast("int")).distinct()
+    if not two:
+        return runs.select("family", "run_id", F.lit(0.0).alias("score"))
+    cells = _columns_of_runs(wide, n_runs).select("family", F.explode(F.array(*keys)).alias("k")).select("family", "k.s", "k.at").groupBy("family", "s", "at").agg(F.count("*").alias("n"))
+    shared = cells.groupBy("family", "s").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"))
+    of = F.array(*[F.array(F.lit(k), F.lit(m)) for k, m in two])
+    per = shared.select("family", F.explode(F.get(of, F.col("s"))).alias("run_id"), "pairs").groupBy("family", "run_id").agg(F.sum("pairs").alias("pairs"))
+    return runs.join(per, ["family", "run_id"], "left").select("family", "run_id", (F.coalesce("pairs", F.lit(0.0)) / max(1, n_runs - 1)).alias("score"))
 
 
 def merge_candidates(held: DataFrame, least: int) -> DataFrame:
     """Pairs of enough support in the order in which a consensus takes them: turn by support, highest first, then the pair."""
-    from pyspark.sql import Window
-
     s = F.bit_count("mask")
     order = Window.partitionBy("family").orderBy(s.desc(), "i", "j", "pos_i", "pos_j")
     return held.filter(s >= least).withColumn("turn", F.row_number().over(order) - 1)
@@ -80,11 +83,16 @@ def best_run(scores: DataFrame, margin: float = 1.05) -> DataFrame:
 
 
 def residue_confidence(wide: DataFrame, chosen: int, n_runs: int) -> DataFrame:
-    """family, rank, col, confidence: mean support of a residue's pairs in its column over the runs; alone: 0."""
-    cells = _against(wide, chosen)
-    together = cells.groupBy("family", "run_id", "c", "col").agg(F.count("*").alias("n"))
-    alone = F.max(F.when(F.col("run_id") == chosen, F.col("n")))
-    got = cells.join(together, ["family", "run_id", "c", "col"]).groupBy("family", "rank", "c").agg(F.sum(F.col("n") - 1).alias("s"), alone.alias("k"))
+    """family, rank, col, confidence: mean support of a residue's pairs in its column over the runs; alone: 0.
+
+    A residue has as many partners in a run's support as other rows share its columns in the chosen run and in that one.
+    """
+    there = F.col(f"z.r{chosen}").cast("long")
+    each = F.array(*[F.struct(F.lit(k).alias("run"), F.col(f"z.r{k}").cast("long").alias("here")) for k in range(n_runs)])
+    cells = _columns_of_runs(wide, n_runs).select("family", "rank", there.alias("c"), F.explode(each).alias("x")).select("family", "rank", "c", "x.run", "x.here")
+    met = cells.withColumn("n", F.count("*").over(Window.partitionBy("family", "c", "run", "here")))
+    alone = F.max(F.when(F.col("run") == chosen, F.col("n")))
+    got = met.groupBy("family", "rank", "c").agg(F.sum(F.col("n") - 1).alias("s"), alone.alias("k"))
     return got.select("family", "rank", F.col("c").alias("col"), F.when(F.col("k") > 1, F.col("s") / ((F.col("k") - 1) * n_runs)).otherwise(0.0).alias("confidence"))
 
 
@@ -121,8 +129,7 @@ def support_sweep(wide: DataFrame, n_runs: int) -> DataFrame:
     """
     if n_runs > SUBSETS:
         return _sweep_of_pairs(wide, n_runs)
-    rows = wide.groupBy("family", "rank").agg(*[F.max(F.when(F.col("run_id") == k, places(F.col("aligned")))).alias(f"r{k}") for k in range(n_runs)])
-    cells = rows.select("family", F.explode(F.arrays_zip(*[f"r{k}" for k in range(n_runs)])).alias("z"))
+    cells = _columns_of_runs(wide, n_runs).select("family", "z")
     subsets = [s for s in range(1, 1 << n_runs)]
     keys = F.array(*[F.struct(F.lit(s).alias("s"), F.array(*[F.when(F.lit(bool(s >> k & 1)), F.col(f"z.r{k}")).otherwise(-1) for k in range(n_runs)]).alias("at")) for s in subsets])
     groups = cells.select("family", F.explode(keys).alias("k")).select("family", "k.s", "k.at").groupBy("family", "s", "at").agg(F.count("*").alias("n"))
