@@ -83,7 +83,7 @@ def detailed(ref: DataFrame, test: DataFrame, most_gaps: float = -1.0, mask: Dat
 def sum_of_pairs(ref: DataFrame, test: DataFrame) -> DataFrame:
     """family, sp: of 100, the share of (residue, other row) cases of the reference that the test repeats.
 
-    A residue faces either a residue of the other row or a gap.  Rows with gaps against a residue in both alignments
+    A family of one row has no cases and a null.  A residue faces either a residue of the other row or a gap.  Rows with gaps against a residue in both alignments
     are all rows less those present in its one column or the other.
     """
     both = both_columns(ref, test)
@@ -99,7 +99,7 @@ def sum_of_pairs(ref: DataFrame, test: DataFrame) -> DataFrame:
     full = cells.join(at_ref, ["family", "rc"]).join(at_test, ["family", "tc"]).join(met, ["family", "rc", "tc"]).join(rows, "family")
     gaps = F.col("rows") - F.col("in_ref") - F.col("in_test") + F.col("in_both")
     # each residue faces every other row once
-    return full.groupBy("family").agg((100 * F.sum(F.col("n") * (F.col("n") - 1) + F.col("n") * gaps) / F.sum(F.col("n") * (F.col("rows") - 1))).alias("sp"))
+    return full.groupBy("family").agg((100 * F.sum(F.col("n") * (F.col("n") - 1) + F.col("n") * gaps) / F.nullif(F.sum(F.col("n") * (F.col("rows") - 1)), F.lit(0))).alias("sp"))
 
 
 def column_correctness(test: DataFrame, true: DataFrame) -> DataFrame:

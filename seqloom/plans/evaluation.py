@@ -28,14 +28,22 @@ def accuracy_all_columns(spark, d):
     return evaluation.accuracy(run(spark, d, 1), run(spark, d, 0))
 
 
-@query("essential_input", f"SELECT family, rank, name, seq FROM {SEGMENTS_SQL} WHERE length(seq) > 0")
+LARGER_SQL = f"(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM {SEGMENTS_SQL}) WHERE n > 1)"
+
+
+def _larger(spark, d):
+    """Families of two rows or more; others are errors to the checks below."""
+    return segments(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("family"))).filter("n > 1").drop("n")
+
+
+@query("essential_input", f"SELECT family, rank, name, seq FROM {LARGER_SQL} WHERE length(seq) > 0")
 def essential_input(spark, d):
-    return clean.essential(segments(spark, d))
+    return clean.essential(_larger(spark, d))
 
 
-@query("checked_input", f"SELECT family, rank, name, seq FROM {SEGMENTS_SQL}")
+@query("checked_input", f"SELECT family, rank, name, seq FROM {LARGER_SQL}")
 def checked_input(spark, d):
-    return clean.checked(segments(spark, d))
+    return clean.checked(_larger(spark, d))
 
 
 @query("duplicate_checksums", f"SELECT family, name, count(*) AS n, count(DISTINCT {CHECK.format('seq')}) AS sequences FROM {SHORT} GROUP BY ALL HAVING count(*) > 1")

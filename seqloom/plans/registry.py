@@ -241,7 +241,9 @@ def poar_support(spark, d):
     return pairs.support(runs(spark, d)).groupBy("family", "mask").agg(F.count("*").alias("pairs"))
 
 
-SCORES_SQL = f"(SELECT p.family, p.run_id, sum((s - 1) / 2.0) AS score FROM {PAIR_SQL} p JOIN {SUPPORT_SQL} USING (family, i, j, pos_i, pos_j) GROUP BY ALL)"
+#: Families of one row have no pairs and score 0.
+SCORES_SQL = f"""(SELECT r.family, r.run_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT family, run_id FROM {RUNS_SQL}) r
+LEFT JOIN (SELECT p.family, p.run_id, sum((s - 1) / 2.0) AS score FROM {PAIR_SQL} p JOIN {SUPPORT_SQL} USING (family, i, j, pos_i, pos_j) GROUP BY ALL) USING (family, run_id))"""
 
 
 @query("poar_run_score", f"SELECT * FROM {SCORES_SQL}")
@@ -291,7 +293,7 @@ def pp_string(spark, d):
     return pairs.pp_strings(run(spark, d, 2), _confidence(spark, d))
 
 
-@query("support_sweep", f"SELECT family, t AS min_support, count(*) FILTER (s >= t) AS pairs FROM {SUPPORT_SQL} CROSS JOIN (SELECT unnest([1, 2, 3]) AS t) GROUP BY ALL")
+@query("support_sweep", f"SELECT f.family, t AS min_support, count(*) FILTER (s >= t) AS pairs FROM (SELECT DISTINCT family FROM {RUNS_SQL}) f CROSS JOIN (SELECT unnest([1, 2, 3]) AS t) LEFT JOIN {SUPPORT_SQL} p ON p.family = f.family GROUP BY ALL")
 def support_sweep(spark, d):
     return pairs.support_sweep(runs(spark, d), 3)
 
@@ -312,7 +314,9 @@ m AS (SELECT rp.family, count(*) FILTER (rp.scored) AS ref_pairs, count(*) FILTE
 n AS (SELECT family, count(*) AS test_pairs FROM tp GROUP BY ALL),
 c AS (SELECT r.family, r.col, count(*) AS k, count(DISTINCT t.col) AS spread FROM r JOIN t USING (family, rank, pos) JOIN sc ON sc.family = r.family AND sc.rc = r.col GROUP BY ALL),
 w AS (SELECT family, avg((spread = 1)::INT) FILTER (k >= 2) AS tc FROM c GROUP BY ALL),
-x AS (SELECT m.family, coalesce(common / nullif(ref_pairs, 0), 0) AS recall, allc / test_pairs AS precision, coalesce(tc, 0) AS tc, ref_pairs, test_pairs, common FROM m JOIN n USING (family) LEFT JOIN w USING (family))
+b AS (SELECT DISTINCT family FROM r),
+x AS (SELECT b.family, coalesce(common / nullif(ref_pairs, 0), 0) AS recall, coalesce(allc / nullif(test_pairs, 0), 0) AS precision, coalesce(tc, 0) AS tc, coalesce(ref_pairs, 0) AS ref_pairs, coalesce(test_pairs, 0) AS test_pairs, coalesce(common, 0) AS common
+  FROM b LEFT JOIN m USING (family) LEFT JOIN n USING (family) LEFT JOIN w USING (family))
 SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END AS f1 FROM x"""
 
 
@@ -335,7 +339,7 @@ def compare_masked(spark, d):
 @query("compare_sp", f"""WITH a AS (SELECT * FROM {LONG_SQL} WHERE run_id = 0), b AS (SELECT * FROM {LONG_SQL} WHERE run_id = 1),
 r AS (SELECT x.family, x.rank AS i, x.pos, y.rank AS j, y.pos AS partner FROM a x JOIN a y ON x.family = y.family AND x.col = y.col AND x.rank <> y.rank WHERE x.pos IS NOT NULL),
 t AS (SELECT x.family, x.rank AS i, x.pos, y.rank AS j, y.pos AS partner FROM b x JOIN b y ON x.family = y.family AND x.col = y.col AND x.rank <> y.rank WHERE x.pos IS NOT NULL)
-SELECT r.family, 100 * count(*) FILTER (r.partner IS NOT DISTINCT FROM t.partner) / count(*) AS sp FROM r JOIN t USING (family, i, pos, j) GROUP BY ALL""")
+SELECT f.family, sp FROM (SELECT DISTINCT family FROM a) f LEFT JOIN (SELECT r.family, 100 * count(*) FILTER (r.partner IS NOT DISTINCT FROM t.partner) / count(*) AS sp FROM r JOIN t USING (family, i, pos, j) GROUP BY ALL) USING (family)""")
 def compare_sp(spark, d):
     return compare.sum_of_pairs(run(spark, d, 0), run(spark, d, 1))
 

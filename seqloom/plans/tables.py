@@ -30,15 +30,15 @@ def sequences_sql(kind: str = "dna") -> str:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """family, rank, name, seq: each whole document's letters in rows of SEGMENT, a family for each document of two rows or more."""
-    docs = sequences(spark, sf_dir).filter(F.length("seq") > SEGMENT)
+    """family, rank, name, seq: each whole document's letters in rows of SEGMENT, a family for each document that has letters."""
+    docs = sequences(spark, sf_dir).filter(F.length("seq") > 0)
     rank = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / SEGMENT).cast("int")))
     cut = docs.select(F.col("name").alias("family"), rank.alias("rank"), F.col("seq").alias("whole"))
     return cut.select("family", "rank", F.concat(F.lit("s"), F.col("rank").cast("string")).alias("name"), F.col("whole").substr(F.col("rank") * SEGMENT + 1, F.lit(SEGMENT)).alias("seq"))
 
 
 SEGMENTS_SQL = f"""(SELECT family, r::INT AS rank, 's' || r AS name, substr(seq, (r * {SEGMENT} + 1)::INT, {SEGMENT}) AS seq
-  FROM (SELECT name AS family, seq, unnest(range(0, (length(seq) - 1) // {SEGMENT} + 1)) AS r FROM {sequences_sql()} WHERE length(seq) > {SEGMENT}))"""
+  FROM (SELECT name AS family, seq, unnest(range(0, (length(seq) - 1) // {SEGMENT} + 1)) AS r FROM {sequences_sql()} WHERE length(seq) > 0))"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
