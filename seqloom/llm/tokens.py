@@ -7,7 +7,6 @@ gives an empty table; a very long text is encoded piece by piece.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
 from array import array
@@ -93,14 +92,17 @@ class Encoder(dict):
             self.clear()
         of = self.__getitem__
         # str.split() also cuts at four control characters that the vocabulary takes for signs
-        whole = self.special
-        return [
-            self._plain(t) if whole is not None and whole in t.lower() else b"".join(map(of, t.replace("\n", " ").split(" ") if _ODD.search(t) else t.split()))
-            for t in texts
-        ]
+        return [self._plain(t) if self._has_special(t) else b"".join(map(of, t.replace("\n", " ").split(" ") if any(map(t.__contains__, _ODD)) else t.split())) for t in texts]
 
+    def _has_special(self, text: str) -> bool:
+        """Whether a text may hold a special token, in any case."""
+        start = self.special
+        if start is None:
+            return False
+        return start in (text if start.lower() == start.upper() else text.lower())
 
-_ODD = re.compile("[\x1c-\x1f]")
+
+_ODD = "\x1c\x1d\x1e\x1f"
 _ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
