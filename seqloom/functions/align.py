@@ -191,58 +191,79 @@ class Meeting:
 
 
 def meeting(pair: Pair, row: int) -> Meeting:
-    """The best and the next best column at which a path may cross a row, from a sweep to it from either end.
+    return meetings(pair, [row])[0]
+
+
+def meetings(pair: Pair, at: list[int]) -> list[Meeting]:
+    """The best and the next best column at which a path may cross each of some rows, from one sweep from either end.
 
     A path reversed costs the same, so the way back is the sweep of the reversed sides.  What meets is two matches, a match
     and a gap (which is left or entered there), or two parts of a gap (whose columns count as one run).
     """
     back = Pair(pair.n, pair.m, lambda i, j: pair.rows(pair.n - j, pair.n - i)[::-1, ::-1], pair.s)
-    sides = []
-    for p, stop in ((pair, row), (back, pair.n - row)):
-        sweep = _Sweep([p])
-        now = sweep.first()
-        for i in range(1, stop + 1):
-            now, _ = sweep.step(i, now, p.rows(i - 1, i)[None, 0])
-        sides.append([v[0] for v in now])
-    (a, x, y), (ra, rx, ry) = sides[0], [v[::-1] for v in sides[1]]
+    seen: list[dict[int, list[np.ndarray]]] = []
+    for p, stops in ((pair, set(at)), (back, {pair.n - r for r in at})):
+        sweep, held = _Sweep([p]), {}
+        now, score = sweep.first(), p.rows(0, max(stops))
+        for i in range(1, max(stops) + 1):
+            now, _ = sweep.step(i, now, score[None, i - 1])
+            if i in stops:
+                held[i] = [v[0] for v in now]
+        seen.append(held)
     o, e = np.float32(pair.s.gap_open), np.float32(pair.s.gap_extend)
     inner = np.ones(pair.m + 1, np.float32)
     inner[[0, -1]] = 0  # at either end of the second side a gap is terminal: it costs by its columns alone
-    best = np.max([a + ra, a + rx - o, a + ry - o * inner, x + ra - o, y + ra - o * inner, y + ry - e * inner, x + rx - e], axis=0)
-    first = int(best.argmax())
-    rest = best.copy()
-    rest[first] = LOW
-    other = int(rest.argmax()) if len(rest) > 1 else first
-    return Meeting(row, first, other, float(best[first] - rest[other]) if len(rest) > 1 else float("inf"))
+    out = []
+    for row in at:
+        (a, x, y), (ra, rx, ry) = seen[0][row], [v[::-1] for v in seen[1][pair.n - row]]
+        best = np.max([a + ra, a + rx - o, a + ry - o * inner, x + ra - o, y + ra - o * inner, y + ry - e * inner, x + rx - e], axis=0)
+        first = int(best.argmax())
+        rest = best.copy()
+        rest[first] = LOW
+        other = int(rest.argmax()) if len(rest) > 1 else first
+        out.append(Meeting(row, first, other, float(best[first] - rest[other]) if len(rest) > 1 else float("inf")))
+    return out
 
 
 def through(pair: Pair, crossings: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The best path through given crossings (row, column), each part aligned by itself."""
-    ends = [(0, 0), *sorted(crossings), (pair.n, pair.m)]
-    left, right = [], []
-    for (r0, c0), (r1, c1) in zip(ends, ends[1:], strict=False):
-        if r1 > r0 and c1 > c0:
-            part = Pair(r1 - r0, c1 - c0, lambda i, j, r0=r0, c0=c0, c1=c1: pair.rows(r0 + i, r0 + j)[:, c0:c1], pair.s)
-            ((p, q, _),) = align_pairs([part])
-        else:
-            p = np.r_[np.arange(r1 - r0), np.full(c1 - c0, -1)]
-            q = np.r_[np.full(r1 - r0, -1), np.arange(c1 - c0)]
-        left.append(np.where(p >= 0, p + r0, -1))
-        right.append(np.where(q >= 0, q + c0, -1))
-    return np.concatenate(left), np.concatenate(right)
+    return through_many(pair, [crossings])[0]
+
+
+def through_many(pair: Pair, tried: list[list[tuple[int, int]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    parts: list[Pair] = []
+    spans = []
+    for crossings in tried:
+        ends = [(0, 0), *sorted(crossings), (pair.n, pair.m)]
+        for (r0, c0), (r1, c1) in zip(ends, ends[1:], strict=False):
+            spans.append((r0, c0, r1, c1))
+            if r1 > r0 and c1 > c0:
+                parts.append(Pair(r1 - r0, c1 - c0, lambda i, j, r0=r0, c0=c0, c1=c1: pair.rows(r0 + i, r0 + j)[:, c0:c1], pair.s))
+    made, out, at = iter(align_pairs(parts)), [], 0
+    for crossings in tried:
+        left, right = [], []
+        for r0, c0, r1, c1 in spans[at : at + len(crossings) + 1]:
+            if r1 > r0 and c1 > c0:
+                p, q, _ = next(made)
+            else:
+                p, q = np.r_[np.arange(r1 - r0), np.full(c1 - c0, -1)], np.r_[np.full(r1 - r0, -1), np.arange(c1 - c0)]
+            left.append(np.where(p >= 0, p + r0, -1))
+            right.append(np.where(q >= 0, q + c0, -1))
+        at += len(crossings) + 1
+        out.append((np.concatenate(left), np.concatenate(right)))
+    return out
 
 
 def trials(pair: Pair, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The best path, and paths that cross where the best one is least certain: at halves and quarters of the rows, those
-    crossings whose margin is under the mean are moved to their runner-up, in turn."""
+    """The best path, and paths that cross where the best one is least certain: of seven rows, those whose margin is under
+    the mean are crossed at their runner-up, in turn."""
     ((p, q, _),) = align_pairs([pair])
     out = [(p, q)]
     if most > 1 and pair.n >= 4 and pair.m >= 2:
-        met = [meeting(pair, pair.n * k // 8) for k in range(1, 8) if pair.n * k // 8 > 0]
+        met = meetings(pair, sorted({pair.n * k // 8 for k in range(1, 8)} - {0}))
         mean = float(np.mean([x.margin for x in met]))
         doubtful = [x for x in met if x.margin < mean and x.other != x.column]
-        for k in range(min(most - 1, len(doubtful))):
-            out.append(through(pair, [(doubtful[k].row, doubtful[k].other)]))
+        out += through_many(pair, [[(x.row, x.other)] for x in doubtful[: most - 1]])
     return out
 
 
