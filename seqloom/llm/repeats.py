@@ -330,6 +330,13 @@ def halve(window: int, step: int):
 
 # ---- levels -----------------------------------------------------------------------------------------------------
 
+
+def _spread(pieces: DataFrame) -> DataFrame:
+    """Pieces that a join by key has put together, dealt out evenly again: the copies of one piece then lie in all files, and
+    a later join by piece can be split."""
+    return pieces.repartition(parts(pieces.sparkSession), F.xxhash64("row", "start"))
+
+
 ASKED = ["kind", "key", "c", "single", "row", "start", "count", "lead"]
 
 
@@ -338,7 +345,7 @@ def _level(table: DataFrame, window: int, raw_of, step: int, keep) -> tuple[Data
     the pieces that were looked at."""
     # written before they are joined: a join of two plain tables can split a key with very many rows
     many = keep(table.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
-    shared = keep(table.drop("raw", "kind").join(many, "key", "left_semi"), "shared")
+    shared = keep(_spread(table.drop("raw", "kind").join(many, "key", "left_semi")), "shared")
     classes = keep(shared.groupBy("key", "f0", "f1").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "count", "lead")).alias("r")), "classes")
     # equal pieces: all their windows
     copies = shared.join(classes.filter("n > 1").select("key", "f0", "f1"), ["key", "f0", "f1"], "left_semi")
@@ -362,7 +369,7 @@ def _asked_passages(table: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     pieces whose windows are to be compared, as ASKED: those of one document, and one of each that several have."""
     several = F.min("row") != F.max("row")
     many = keep(table.groupBy("key").agg(several.alias("several")).filter("several").select("key"), "passage-keys")
-    shared = keep(table.join(many, "key", "left_semi"), "passage-shared")
+    shared = keep(_spread(table.join(many, "key", "left_semi")), "passage-shared")
     classes = keep(shared.groupBy("key", "f0", "f1").agg(several.alias("several"), F.min(F.struct("row", "start", "count")).alias("r")), "passage-classes")
     member = shared.join(classes.select("key", "f0", "f1", "several"), ["key", "f0", "f1"])
     found = member.filter("several").select("row", F.col("start").alias("first"), F.col("count").cast("long").alias("count"))
