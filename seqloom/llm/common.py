@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,13 @@ class Scratch:
         self.paths = []
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows, without a copy: Python objects of a part at a time are made of them."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def files_for(rows: int, each: int = 50_000, least: int = 24) -> int:
     """Files for a table of so many small rows: few small ones, yet as many as keep a large cluster busy."""
     return max(least, -(-rows // each))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.kernels import infix_distances
-from seqloom.llm.common import whole_text
+from seqloom.llm.common import slices, whole_text
 
 SHARE = 0.1  # edits allowed, of an item's length
 WALKS, REPEATS = 3, 4
@@ -272,7 +272,7 @@ def matches(docs: DataFrame, items: DataFrame, share: float = SHARE, repeats: in
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = index_of(shared.value, share, repeats)
-            for b in batches:
+            for b in slices(batches):
                 ids = b.column(0).to_pylist()
                 rows = [(ids[d], *rest) for d, *rest in index.search(b.column(1).to_pylist())]
                 if rows:
@@ -292,7 +292,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, r
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = index_of(shared.value, share, repeats)
-            for b in batches:
+            for b in slices(batches):
                 held = {d for d, *_ in index.search([t or "" for t in b.column(at).to_pylist()])}
                 yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_()))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import FIRST, LAST, Scratch, files_for, fresh, id_bounds, parts, ranges_for, text_bytes, whole_text, written
+from seqloom.llm.common import FIRST, LAST, Scratch, files_for, fresh, id_bounds, parts, ranges_for, slices, text_bytes, whole_text, written
 from seqloom.llm.hamming import Forest, _groups, components, deal, links, neighbour_counts
 
 # ---- shingle fingerprints and near duplicates -------------------------------------------------------------------
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([shingle_fingerprint(t, k, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "w0"])
 
@@ -273,7 +273,7 @@ def band_prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """id, h0, h1 (the text's name), keys of the bands of its shingles' least hashes, sketch: those keys and 16 bits of each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             least = [least_hashes(gram_hashes(t, k), bands * rows) for t in b.column(3).to_pylist()]
             made = [band_keys(x, rows) for x in least]
             keys = pa.array(made, pa.list_(pa.int64()))
@@ -288,7 +288,7 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     """id, grams: sorted distinct shingle hashes of texts (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             grams = [gram_hashes(t, k).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary())], ["id", "grams"])
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import FIRST, whole_text, written
+from seqloom.llm.common import FIRST, slices, whole_text, written
 
 FILE = "word_bpe_49k.json"
 
@@ -139,7 +139,7 @@ def token_rows(docs: DataFrame, end_id: int, path: str | None = None, bounds: li
             cols = [pa.array([part] * len(n), pa.int64()), pa.array(starts), pa.array(ids, pa.int64()), pa.array(bucket), pa.array(n), pa.array([width] * len(n), pa.int32()), pa.array(got, pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "local_start", "doc_id", "bucket", "n_tokens", "width", "ids"])
 
-        for b in batches:
+        for b in slices(batches):
             ids, texts, chars = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)

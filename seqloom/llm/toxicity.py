@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import whole_text
+from seqloom.llm.common import slices, whole_text
 
 POSITIVES, UNLABELLED, LEAST_DOCS, TELLING, CLASSIFIERS = 4000, 8000, 3, 3.0, 3
 FEATURES = 1 << 20
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
-        for b in batches:
+        for b in slices(batches):
             keep = [(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i in both]
             if keep:
                 ids = [feature_ids(t, known).astype("<u4").tobytes() for _, t in keep]
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scorer(shared)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([of(t) for t in b.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), whole_text().alias("text"))
@@ -214,7 +214,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scorer(shared)
-        for b in batches:
+        for b in slices(batches):
             keep = [of(t or "") < REJECT_AT for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
