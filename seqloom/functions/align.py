@@ -191,56 +191,81 @@ class Meeting:
 
 
 def meeting(pair: Pair, row: int) -> Meeting:
-    return meetings(pair, [row])[0]
+    return meetings([pair], [[row]])[0][0]
 
 
-def meetings(pair: Pair, at: list[int]) -> list[Meeting]:
-    """The best and the next best column at which a path may cross each of some rows, from one sweep from either end.
+def meetings(pairs: list[Pair], at: list[list[int]]) -> list[list[Meeting]]:
+    """For each pair the best and the next best column at which a path may cross each of some rows, from one sweep from either
+    end; the sweeps of all pairs go together.
 
     A path reversed costs the same, so the way back is the sweep of the reversed sides.  What meets is two matches, a match
     and a gap (which is left or entered there), or two parts of a gap (whose columns count as one run).
     """
-    back = Pair(pair.n, pair.m, lambda i, j: pair.rows(pair.n - j, pair.n - i)[::-1, ::-1], pair.s)
-    seen: list[dict[int, list[np.ndarray]]] = []
-    for p, stops in ((pair, set(at)), (back, {pair.n - r for r in at})):
-        sweep, held = _Sweep([p]), {}
-        now, score = sweep.first(), p.rows(0, max(stops))
-        for i in range(1, max(stops) + 1):
-            now, _ = sweep.step(i, now, score[None, i - 1])
-            if i in stops:
-                held[i] = [v[0] for v in now]
-        seen.append(held)
-    o, e = np.float32(pair.s.gap_open), np.float32(pair.s.gap_extend)
-    inner = np.ones(pair.m + 1, np.float32)
-    inner[[0, -1]] = 0  # at either end of the second side a gap is terminal: it costs by its columns alone
+    if not pairs:
+        return []
+    ahead = _rows_of_sweep(pairs, at)
+    back = [Pair(p.n, p.m, lambda i, j, p=p: p.rows(p.n - j, p.n - i)[::-1, ::-1], p.s) for p in pairs]
+    behind = _rows_of_sweep(back, [[p.n - r for r in rows] for p, rows in zip(pairs, at, strict=True)])
     out = []
-    for row in at:
-        (a, x, y), (ra, rx, ry) = seen[0][row], [v[::-1] for v in seen[1][pair.n - row]]
-        best = np.max([a + ra, a + rx - o, a + ry - o * inner, x + ra - o, y + ra - o * inner, y + ry - e * inner, x + rx - e], axis=0)
-        first = int(best.argmax())
-        rest = best.copy()
-        rest[first] = LOW
-        other = int(rest.argmax()) if len(rest) > 1 else first
-        out.append(Meeting(row, first, other, float(best[first] - rest[other]) if len(rest) > 1 else float("inf")))
+    for k, (pair, rows) in enumerate(zip(pairs, at, strict=True)):
+        o, e = np.float32(pair.s.gap_open), np.float32(pair.s.gap_extend)
+        inner = np.ones(pair.m + 1, np.float32)
+        inner[[0, -1]] = 0  # at either end of the second side a gap is terminal: it costs by its columns alone
+        out.append([])
+        for row in rows:
+            (a, x, y), (ra, rx, ry) = ahead[k][row], [v[::-1] for v in behind[k][pair.n - row]]
+            best = np.max([a + ra, a + rx - o, a + ry - o * inner, x + ra - o, y + ra - o * inner, y + ry - e * inner, x + rx - e], axis=0)
+            first = int(best.argmax())
+            rest = best.copy()
+            rest[first] = LOW
+            other = int(rest.argmax()) if len(rest) > 1 else first
+            out[k].append(Meeting(row, first, other, float(best[first] - rest[other]) if len(rest) > 1 else float("inf")))
+    return out
+
+
+def _rows_of_sweep(pairs: list[Pair], at: list[list[int]]) -> list[dict[int, list[np.ndarray]]]:
+    """The states of each pair at some of its rows; pairs of like size go together, CELLS scores at a time."""
+    out: list[dict[int, list[np.ndarray]]] = [{} for _ in pairs]
+    order, start = sorted(range(len(pairs)), key=lambda k: (pairs[k].n, pairs[k].m)), 0
+    while start < len(order):
+        end, n, m = start, 0, 0
+        while end < len(order):
+            p = pairs[order[end]]
+            if end > start and (max(n, p.n) * max(m, p.m) * (end - start + 1) > CELLS or p.n > 2 * pairs[order[start]].n + 8):
+                break
+            n, m, end = max(n, p.n), max(m, p.m), end + 1
+        some = order[start:end]
+        sweep = _Sweep([pairs[k] for k in some])
+        last = max(max(at[k]) for k in some)
+        now, score = sweep.first(), np.zeros((last, len(some), sweep.width), np.float32)
+        for x, k in enumerate(some):
+            z = min(last, pairs[k].n)
+            score[:z, x, : pairs[k].m] = pairs[k].rows(0, z)
+        for i in range(1, last + 1):
+            now, _ = sweep.step(i, now, score[i - 1])
+            for x, k in enumerate(some):
+                if i in at[k]:
+                    out[k][i] = [v[x, : pairs[k].m + 1].copy() for v in now]
+        start = end
     return out
 
 
 def through(pair: Pair, crossings: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The best path through given crossings (row, column), each part aligned by itself."""
-    return through_many(pair, [crossings])[0]
+    return through_many([(pair, crossings)])[0]
 
 
-def through_many(pair: Pair, tried: list[list[tuple[int, int]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+def through_many(tried: list[tuple[Pair, list[tuple[int, int]]]]) -> list[tuple[np.ndarray, np.ndarray]]:
     parts: list[Pair] = []
     spans = []
-    for crossings in tried:
+    for pair, crossings in tried:
         ends = [(0, 0), *sorted(crossings), (pair.n, pair.m)]
         for (r0, c0), (r1, c1) in zip(ends, ends[1:], strict=False):
             spans.append((r0, c0, r1, c1))
             if r1 > r0 and c1 > c0:
-                parts.append(Pair(r1 - r0, c1 - c0, lambda i, j, r0=r0, c0=c0, c1=c1: pair.rows(r0 + i, r0 + j)[:, c0:c1], pair.s))
+                parts.append(Pair(r1 - r0, c1 - c0, lambda i, j, pair=pair, r0=r0, c0=c0, c1=c1: pair.rows(r0 + i, r0 + j)[:, c0:c1], pair.s))
     made, out, at = iter(align_pairs(parts)), [], 0
-    for crossings in tried:
+    for _, crossings in tried:
         left, right = [], []
         for r0, c0, r1, c1 in spans[at : at + len(crossings) + 1]:
             if r1 > r0 and c1 > c0:
@@ -254,16 +279,19 @@ def through_many(pair: Pair, tried: list[list[tuple[int, int]]]) -> list[tuple[n
     return out
 
 
-def trials(pair: Pair, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The best path, and paths that cross where the best one is least certain: of seven rows, those whose margin is under
-    the mean are crossed at their runner-up, in turn."""
-    ((p, q, _),) = align_pairs([pair])
-    out = [(p, q)]
-    if most > 1 and pair.n >= 4 and pair.m >= 2:
-        met = meetings(pair, sorted({pair.n * k // 8 for k in range(1, 8)} - {0}))
-        mean = float(np.mean([x.margin for x in met]))
-        doubtful = [x for x in met if x.margin < mean and x.other != x.column]
-        out += through_many(pair, [[(x.row, x.other)] for x in doubtful[: most - 1]])
+def trials(pairs: list[Pair], most: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each pair the best path, and paths that cross where the best one is least certain: of seven rows, those whose margin
+    is under the mean are crossed at their runner-up, in turn."""
+    out = [[(p, q)] for p, q, _ in align_pairs(pairs)]
+    some = [k for k, p in enumerate(pairs) if most > 1 and p.n >= 4 and p.m >= 2]
+    met = meetings([pairs[k] for k in some], [sorted({pairs[k].n * x // 8 for x in range(1, 8)} - {0}) for k in some])
+    tried = []
+    for k, own in zip(some, met, strict=True):
+        mean = float(np.mean([x.margin for x in own]))
+        doubtful = [x for x in own if x.margin < mean and x.other != x.column]
+        tried += [(k, [(x.row, x.other)]) for x in doubtful[: most - 1]]
+    for (k, _), path in zip(tried, through_many([(pairs[k], c) for k, c in tried]), strict=True):
+        out[k].append(path)
     return out
 
 
@@ -453,11 +481,10 @@ def progressive_many(jobs: list[Job], o: Options) -> list[list[str]]:
         taken = set(ready)
         left = [[e for e in own if (k, e) not in taken] for k, own in enumerate(left)]
     out = []
-    for job, own, margin in zip(jobs, nodes, margins, strict=True):
+    for job, own in zip(jobs, nodes, strict=True):
         (root,) = own.values()
-        rows = rows_of(root, job.seqs)
-        out.append(refine(rows, job.seqs, job.s, job.offset, job.tree, margin, o.refine) if o.refine in ("confident", "all") else rows)
-    return out
+        out.append(rows_of(root, job.seqs))
+    return refine_many(out, jobs, margins, o.refine) if o.refine in ("confident", "all") else out
 
 
 def budget(margins: list[float], adaptive: bool, trials: int = 3) -> int:
@@ -536,33 +563,45 @@ def merge_score(x: Profile, y: Profile, left: np.ndarray, right: np.ndarray, s:
     return total - float((facing * np.where(at_end, s.gap_terminal, s.gap_extend)).sum()) - s.gap_open * nx * ny * int(opens.sum())
 
 
-def refine(rows: list[str], seqs: list[str], s: Scores, offset: float, tree: list[tuple[int, int, int]], margins: list[float], mode: str) -> list[str]:
-    """Takes the alignment apart at tree edges and aligns the halves again; keeps what scores higher.
+def refine_many(aligned: list[list[str]], jobs: list[Job], margins: list[list[float]], mode: str) -> list[list[str]]:
+    """Takes each alignment apart at tree edges and aligns the halves again; keeps what scores higher.
 
     'confident': edges whose merge scored no more than the median; 'all': every edge.  An edge has TRIALS trials: the best
-    path of its sides, and paths that cross at runners-up of uncertain places.
+    path of its sides, and paths that cross at runners-up of uncertain places.  A family's edges follow one another; those
+    of other families go with them.
     """
-    below: dict[int, list[int]] = {i: [i] for i in range(len(seqs))}
-    for a, b, c in tree:
+    rows = [list(r) for r in aligned]
+    best = [sum_of_pairs(r, j.s) for r, j in zip(rows, jobs, strict=True)]
+    turns = [_edges(j, m, mode) for j, m in zip(jobs, margins, strict=True)]
+    for turn in range(max(map(len, turns), default=0)):
+        some = [k for k, t in enumerate(turns) if turn < len(t)]
+        halves = [[_profile_of(rows[k], side, jobs[k].s) for side in turns[k][turn]] for k in some]
+        tried = trials([side_by_side(*h, jobs[k].s, jobs[k].offset) for k, h in zip(some, halves, strict=True)], TRIALS)
+        for k, h, paths in zip(some, halves, tried, strict=True):
+            for left, right in paths:
+                got = rows_of(joined(*h, left, right), jobs[k].seqs)
+                score = sum_of_pairs(got, jobs[k].s)
+                if score > best[k] + 1e-6:
+                    rows[k], best[k] = got, score
+    return rows
+
+
+def _edges(job: Job, margins: list[float], mode: str) -> list[tuple[list[int], list[int]]]:
+    """The two sides of each tree edge that is to be tried, in the order of the tree."""
+    n = len(job.seqs)
+    below: dict[int, list[int]] = {i: [i] for i in range(n)}
+    for a, b, c in job.tree:
         below[c] = below[a] + below[b]
     limit = float(np.median(margins)) if margins else 0.0
-    best = sum_of_pairs(rows, s)
-    for (a, b, _), margin in zip(tree[:-1], margins, strict=False):
+    out = []
+    for (a, b, _), margin in zip(job.tree[:-1], margins, strict=False):
         if mode == "confident" and margin > limit:
             continue
         for node in (a, b):
             inside = set(below[node])
-            if len(inside) == len(seqs):
-                continue
-            halves = []
-            for members in (sorted(inside), [i for i in range(len(seqs)) if i not in inside]):
-                halves.append(_profile_of(rows, members, s))
-            for left, right in trials(side_by_side(*halves, s, offset), TRIALS):
-                tried = rows_of(joined(*halves, left, right), seqs)
-                score = sum_of_pairs(tried, s)
-                if score > best + 1e-6:
-                    rows, best = tried, score
-    return rows
+            if len(inside) < n:
+                out.append((sorted(inside), [i for i in range(n) if i not in inside]))
+    return out
 
 
 def _profile_of(rows: list[str], members: list[int], s: Scores) -> Profile:
@@ -691,28 +730,34 @@ def _once(own: list[list[str]], scores: list[Scores], o: Options, noise: float =
     return rows
 
 
-def _ensemble(own: list[list[str]], scores: list[Scores], o: Options) -> list[list[str]]:
+def _ensemble(own: list[list[str]], types: list[Scores], o: Options) -> list[list[str]]:
+    """Of each family the consensus of its runs, or the best of them."""
     made = []
     for k in range(o.ensemble):
         a, b, c, noise = RUNS[k % len(RUNS)]
-        made.append(_once(own, [s.scaled(a, b, c) for s in scores], o, noise, o.seed + k))
-    return [_chosen(x, s, [run[f] for run in made], o) for f, (x, s) in enumerate(zip(own, scores, strict=True))]
-
-
-def _chosen(own: list[str], s: Scores, made: list[list[str]], o: Options) -> list[str]:
-    """The consensus of a family's runs, or the best of them."""
-    support = support_table(made)
+        made.append(_once(own, [s.scaled(a, b, c) for s in types], o, noise, o.seed + k))
+    support = [support_table([run[f] for run in made]) for f in range(len(own))]
     if o.min_support:
-        return consensus(own, support, o.min_support)
-    scores = [run_score(rows, support, o.ensemble) for rows in made]
-    best = 0
-    for k in range(1, o.ensemble):
-        if scores[k] > scores[best] and scores[k] > 1.05 * scores[0]:
-            best = k
+        return [consensus(x, held, o.min_support) for x, held in zip(own, support, strict=True)]
+    out, best, scored = [], [], []
+    for f, held in enumerate(support):
+        scores = [run_score(run[f], held, o.ensemble) for run in made]
+        top = 0
+        for k in range(1, o.ensemble):
+            if scores[k] > scores[top] and scores[k] > 1.05 * scores[0]:
+                top = k
+        best.append(top)
+        scored.append(scores[top])
+        out.append(made[top][f])
     # the winner once more with its doubtful edges re-aligned, if its pairs are then better supported
-    a, b, c, noise = RUNS[best % len(RUNS)]
-    (again,) = _once([own], [s.scaled(a, b, c)], replace(o, refine="confident"), noise, o.seed + best)
-    return again if run_score(again, support, o.ensemble) > scores[best] else made[best]
+    for k in sorted(set(best)):
+        some = [f for f, top in enumerate(best) if top == k]
+        a, b, c, noise = RUNS[k % len(RUNS)]
+        again = _once([own[f] for f in some], [types[f].scaled(a, b, c) for f in some], replace(o, refine="confident"), noise, o.seed + k)
+        for f, rows in zip(some, again, strict=True):
+            if run_score(rows, support[f], o.ensemble) > scored[f]:
+                out[f] = rows
+    return out
 
 
 def generate_family(n: int, length: int, seed: int, dna: bool = False, indel: float = 0.04) -> list[str]:
