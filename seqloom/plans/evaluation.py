@@ -140,10 +140,12 @@ LISTED_SQL = f"(SELECT DISTINCT family, method FROM {RESULTS_SQL})"
 KNOWN_SQL = f"(SELECT family, method, max(score) AS score FROM {RESULTS_SQL} WHERE score > 0.09 GROUP BY ALL)"
 
 
-@query("joined_scores", f"SELECT l.family, l.method, coalesce(k.score, 'NaN'::DOUBLE) AS score FROM {LISTED_SQL} l LEFT JOIN {KNOWN_SQL} k USING (family, method)")
+@query("joined_scores", f"SELECT l.family, l.method, coalesce(k.score, -1) AS score, k.score IS NULL AS missing FROM {LISTED_SQL} l LEFT JOIN {KNOWN_SQL} k USING (family, method)")
 def joined_scores(spark, d):
+    """A missing score is NaN, which engines compare in their own ways: shown as -1 here."""
     made = _results(spark, d)
-    return evaluation.joined_scores(made.select("family", "method").distinct(), made.filter("score > 0.09").groupBy("family", "method").agg(F.max("score").alias("score")))
+    out = evaluation.joined_scores(made.select("family", "method").distinct(), made.filter("score > 0.09").groupBy("family", "method").agg(F.max("score").alias("score")))
+    return out.select("family", "method", F.nanvl("score", F.lit(-1.0)).alias("score"), F.isnan("score").alias("missing"))
 
 
 @query("with_external", f"""WITH o AS (SELECT family, method, min(score) AS score FROM {RESULTS_SQL} WHERE seconds > 40 GROUP BY ALL), x AS (SELECT 'f' || p_partkey AS family, 'outside' AS method, p_size::DOUBLE AS score FROM part)
