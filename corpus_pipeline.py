@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from seqloom.llm import decontaminate, packing, secret_ledger, simhash, toxicity
 from seqloom.llm.common import table, written
 
-#: Near duplicates: texts that agree in a band of so many least hashes are candidates; a Jaccard similarity of 0.8 or
-#: more of their five-word shingles links them, and one document of each component of links stays.
+#: Near duplicates: texts whose SimHash fingerprints op10 puts in one component, or that agree in a band of so many least
+#: hashes, are candidates; a Jaccard similarity of 0.8 or more of their five-word shingles links them, and one document of
+#: each component of links stays.
 SHINGLE, ROWS, SIMILARITY = 5, 5, 0.8
 #: Pieces of text whose ids a worker remembers while it packs; less than alone, as other stages hold memory too.
 PIECES = 300_000

@@ -270,18 +270,21 @@ def text_names(text: str = "text") -> list[Column]:
 
 
 def band_prints(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """id, h0, h1 (the text's name), keys of the bands of its shingles' least hashes, sketch: those keys and 16 bits of each hash."""
+    """id, h0, h1 (the text's name), print (its SimHash fingerprint), keys of the bands of its shingles' least hashes, sketch:
+    those keys and 16 bits of each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            least = [least_hashes(gram_hashes(t, k), bands * rows) for t in b.column(3).to_pylist()]
+            texts = b.column(3).to_pylist()
+            prints = np.array([shingle_fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            least = [least_hashes(gram_hashes(t, k), bands * rows) for t in texts]
             made = [band_keys(x, rows) for x in least]
             keys = pa.array(made, pa.list_(pa.int64()))
             some = pa.array([x.tobytes() + y.astype("<u2").tobytes() for x, y in zip(made, least, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], keys, some], ["id", "h0", "h1", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(prints), keys, some], ["id", "h0", "h1", "print", "keys", "sketch"])
 
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), *text_names(), whole_text().alias("text"))
-    return src.mapInArrow(run, "id long, h0 long, h1 long, keys array<long>, sketch binary")
+    return src.mapInArrow(run, "id long, h0 long, h1 long, print long, keys array<long>, sketch binary")
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -315,14 +318,16 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def _apart(bands: int, similarity: float, exact: bool):
     """The rows of a cell that have others of another root whose least hashes agree about as often as those of similar sets
-    do and that meet in no earlier band; if exact, spanning links of the roots whose rows have similar sets."""
-    names = ["cell", "sub", "w0", "root", "band", "sketch"]
+    do and that meet in no earlier band (the first, 0, is that of near fingerprints); if exact, spanning links of the roots
+    whose rows have similar sets."""
+    names = ["cell", "sub", "w0", "root", "band", "near", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, starts in _groups(batches, [*names, "grams"] if exact else names):
             root, band, forest = cols["root"], cols["band"].tolist(), Forest()
             raw = np.frombuffer(b"".join(cols["sketch"].tolist()), np.uint8).reshape(len(root), -1)
             keys, least = np.ascontiguousarray(raw[:, : 8 * bands]).view("<i8"), np.ascontiguousarray(raw[:, 8 * bands :]).view("<u2")
+            keys = np.column_stack([cols["near"], keys])
             count = least.shape[1]
             enough = count * similarity - 5 * math.sqrt(count * similarity * (1 - similarity))  # five deviations under the mean
             some = np.zeros(len(root), bool)
@@ -347,22 +352,26 @@ def _apart(bands: int, similarity: float, exact: bool):
     return run
 
 
-def one_of_each(docs: DataFrame, k: int, rows: int, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int, rows: int, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """docs without near duplicates, with all their columns.
 
-    Of equal texts the smallest doc_id stays.  Texts that agree in a band of `rows` least hashes of their k-word shingles
-    are candidates; those whose sets of shingles have the similarity are linked, and the smallest id of each component of
-    links stays.  First the texts of a band's cell are compared with one of them, then all in a cell that no links join
-    yet with each other.  Everything goes by texts, not by ids: rows of one id and other texts are judged apart.  Rows of
-    one id and text count as one; a null id comes after all others.
+    Of equal texts the smallest doc_id stays.  Candidates are the texts of one component of SimHash fingerprints within the
+    radius, as near_duplicates makes them (multi-index hashing), and, as such fingerprints miss many texts that have the
+    similarity, those that agree in a band of `rows` least hashes of their k-word shingles.  Candidates whose sets of
+    shingles have the similarity are linked, and the smallest id of each component of links stays.  A component of
+    fingerprints and a band's key are cells alike: first the texts of a cell are compared with one of them, then all in a
+    cell that no links join yet with each other.  Everything goes by texts, not by ids: rows of one id and other texts are
+    judged apart.  Rows of one id and text count as one; a null id comes after all others.
     """
     count = docs.count()
     files, bands, scratch = files_for(count), bands_for(similarity, rows), Scratch(docs.sparkSession)
     keep = lambda df, name: scratch(df, name, files)
     prints = keep(band_prints(docs, k, bands, rows), "prints")
-    distinct = prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    texts = keep(distinct.withColumn("node", F.monotonically_increasing_id()), "texts")
-    filed = texts.select("node", F.posexplode("keys").alias("band", "cell"))
+    near = keep(components(links(prints.select(F.col("print").alias("w0")).distinct(), radius), count), "near").toDF("print", "near")
+    distinct = prints.groupBy("h0", "h1").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("print", "keys", "sketch")])
+    placed = distinct.join(near, "print", "left").select("h0", "h1", "id", F.coalesce("near", "print").alias("near"), "keys", "sketch")
+    texts = keep(placed.withColumn("node", F.monotonically_increasing_id()), "texts")
+    filed = texts.select("node", F.posexplode(F.concat(F.array(F.xxhash64(F.lit("near"), "near")), "keys")).alias("band", "cell"))
     cells = filed.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
     met = keep(filed.join(cells, "cell").select("cell", "band", "n", "a", "node"), "met")
     stars = keep(met.filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
@@ -375,10 +384,10 @@ def one_of_each(docs: DataFrame, k: int, rows: int, similarity: float = 0.8) ->
     roots = met.filter("n > 2").select("cell", "band", F.col("node").alias("w0")).join(components(linked, count), F.col("w0") == F.col("node"), "left")
     roots = keep(roots.select("cell", "band", "w0", F.coalesce("root", "w0").alias("root")), "roots")
     mixed = roots.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("cell")
-    some = keep(roots.join(mixed, "cell").join(texts.select(F.col("node").alias("w0"), "sketch"), "w0").select("cell", "band", "w0", "root", "sketch"), "mixed")
+    some = keep(roots.join(mixed, "cell").join(texts.select(F.col("node").alias("w0"), "near", "sketch"), "w0").select("cell", "band", "w0", "root", "near", "sketch"), "mixed")
     group = lambda df: df.repartition(parts(docs.sparkSession), "cell", "sub").sortWithinPartitions("cell", "sub", "w0")
-    names = ["cell", "sub", "w0", "root", "band", "sketch"]
-    apart = group(deal(some, 1)).select(*names).mapInArrow(_apart(bands, similarity, False), "cell long, sub long, w0 long, root long, band int, sketch binary")
+    names = ["cell", "sub", "w0", "root", "band", "near", "sketch"]
+    apart = group(deal(some, 1)).select(*names).mapInArrow(_apart(bands, similarity, False), "cell long, sub long, w0 long, root long, band int, near long, sketch binary")
     apart = keep(apart, "apart").join(sets, F.col("w0") == F.col("id")).select(*names, "grams")
     rest = keep(group(apart).mapInArrow(_apart(bands, similarity, True), "a long, b long"), "rest")
     tied = keep(components(linked.union(rest), count), "tied")

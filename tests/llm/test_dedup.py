@@ -350,3 +350,42 @@ def test_one_of_each_keeps_the_smallest_of_each_component(spark, monkeypatch):
                 forest.join(i, j)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(x.doc_id for x in simhash.one_of_each(docs, 5, 5).collect()) == [i for i in range(len(texts)) if forest.root(i) == i]
+
+
+@pytest.mark.parametrize("cell", [2048, 4])
+def test_one_of_each_links_by_simhash(spark, monkeypatch, cell):
+    """With bands of so many least hashes that they find next to nothing, fingerprints give the candidates: against brute force."""
+    monkeypatch.setattr("seqloom.llm.hamming.CELL_ROWS", cell)
+    monkeypatch.setattr(simhash, "MISS", 0.9999999)
+    rows = 60
+    assert simhash.bands_for(0.8, rows) == 1
+    r = random.Random(10)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    texts = ["", None, " \n"]
+    for g in range(25):
+        base = [r.choice(words) for _ in range(200)]
+        texts += [" ".join(base), *(" ".join(_edited(r, words, base, "replaced", 0.005 * (1 + c % 3))) for c in range(8))]
+        # fingerprints agree where one line is most of a text, and texts that share no more than it are no duplicates
+        texts += [" ".join([f"line{g}"] * 3000 + [r.choice(words) for _ in range(200)]) for _ in range(3)]
+    r.shuffle(texts)
+    whole = [t or "" for t in texts]
+    sets = [set(simhash.shingles(t, 5)) for t in whole]
+    prints = [simhash.shingle_fingerprint(t) for t in whole]
+    bands = [simhash.band_keys(simhash.least_hashes(simhash.gram_hashes(t, 5), rows), rows).tolist() for t in whole]
+    near, both, banded = hamming.Forest(), hamming.Forest(), hamming.Forest()
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    for i, j in pairs:
+        if (prints[i] ^ prints[j]).bit_count() <= 4:
+            near.join(i, j)
+    unlike = 0
+    for i, j in pairs:
+        alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        unlike += near.root(i) == near.root(j) and not alike
+        if alike and bands[i] == bands[j]:
+            banded.join(i, j)
+        if alike and (near.root(i) == near.root(j) or bands[i] == bands[j]):
+            both.join(i, j)
+    want = [i for i in range(len(texts)) if both.root(i) == i]
+    assert unlike > 50 and len(want) < 0.8 * sum(banded.root(i) == i for i in range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in simhash.one_of_each(docs, 5, rows).collect()) == want
