@@ -76,7 +76,7 @@ def euclid(a: Column, b: Column) -> Column:
 
 
 def infer_type(seq: Column) -> Column:
-    """'DNA', 'RNA' or 'protein' by the letters that occur."""
-    seen = F.array_distinct(F.split(F.regexp_replace(F.upper(seq), "[-.]", ""), ""))
+    """'DNA', 'RNA' or 'protein' by the letters that occur; without any, 'DNA'."""
+    seen = F.filter(F.array_distinct(F.split(F.regexp_replace(F.upper(seq), "[-.]", ""), "")), lambda c: c != "")
     within = lambda s: F.size(F.array_except(seen, F.array(*[F.lit(c) for c in s]))) == 0
     return F.when(within("ACGTN"), "DNA").when(within("ACGUN"), "RNA").otherwise("protein")
