@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from seqloom.operators.longform import explode_columns
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-PAIRS = "n * (n - 1) / 2"
+from seqloom.functions import cells
+from seqloom.operators.families import by_family
 
 
 def alignment_stats(wide: DataFrame) -> DataFrame:
@@ -15,20 +18,20 @@ def alignment_stats(wide: DataFrame) -> DataFrame:
 
     Identity is pooled over all pairs: in a column, n equal letters are n (n - 1) / 2 matches, so no pair is made.
     """
-    cells = explode_columns(wide).groupBy("family", "col", "ch").agg(F.count("*").alias("n"))
-    residue = F.col("ch") != "-"
-    cols = cells.groupBy("family", "col").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(~residue, F.col("n")).otherwise(0)).alias("gaps"),
-        F.sum(F.when(residue, 1).otherwise(0)).alias("letters"), F.sum(F.when(residue, F.col("n")).otherwise(0)).alias("present"),
-        F.sum(F.when(residue, F.expr(PAIRS)).otherwise(0)).alias("same"),
-    )
-    both = F.col("present") * (F.col("present") - 1) / 2
-    return cols.groupBy("family").agg(
-        F.count("*").alias("length"), F.max("rows").alias("n_sequences"),
-        (F.sum("gaps") / F.sum("rows")).alias("gap_fraction"),
-        F.avg(F.when(F.col("letters") == 1, 1.0).otherwise(0.0)).alias("conservation"),
-        F.coalesce(F.sum("same") / F.nullif(F.sum(both), F.lit(0.0)), F.lit(0.0)).alias("identity"),
-    )
+
+    def run(b: cells.Block) -> dict:
+        c = cells.letter_counts(b)
+        of = c.family()
+        residue = c.letter != ord("-")
+        rows, letters, present, same = (c.per_column(x) for x in (c.n, residue.astype(np.int64), np.where(residue, c.n, 0), np.where(residue, cells.pairs_of(c.n), 0)))
+        most = np.zeros(b.n, np.int64)
+        np.maximum.at(most, of, rows)
+        length, gaps, total, whole, met, both = (cells.per(of, b.n, x) for x in (np.ones(len(of), np.int64), rows - present, rows, (letters == 1).astype(np.int64), same, cells.pairs_of(present)))
+        known = length > 0
+        share = lambda x, y: x[known] / np.maximum(y[known], 1)
+        return {"family": b.named(np.flatnonzero(known)), "length": length[known], "n_sequences": most[known], "gap_fraction": share(gaps, total), "conservation": share(whole, length), "identity": share(met, both)}
+
+    return by_family(wide.select("family", "rank", "aligned"), run, "family string, length bigint, n_sequences bigint, gap_fraction double, conservation double, identity double")
 
 
 def column_consensus(wide: DataFrame, threshold: float = 0.5, unknown: str | None = None) -> DataFrame:
@@ -37,19 +40,35 @@ def column_consensus(wide: DataFrame, threshold: float = 0.5, unknown: str | Non
     Ties go to the letter met first in row order; a column of gaps gives '-'.  Below the threshold stands `unknown`, or
     else N in a family whose letters are all nucleotides' and X in others.
     """
-    cells = explode_columns(wide).groupBy("family", "col", "ch").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    seen = F.col("ch") != "-"
-    cols = cells.groupBy("family", "col").agg(
-        F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("present"),
-        F.max(F.when(seen, F.struct("n", (-F.col("first")).alias("turn"), "ch"))).alias("top"),
-    )
-    letter = F.when(F.col("present") == 0, "-").when(F.col("top.n") / F.col("present") >= threshold, F.col("top.ch"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce(letter, F.lit("?")).alias("ch")))), lambda c: c["ch"]), "")
-    out = cols.groupBy("family").agg(joined.alias("consensus"))
-    if unknown is None:
-        other = cells.groupBy("family").agg(F.count_if(~F.col("ch").isin(*"ATCGUN-")).alias("other"))
-        return out.join(other, "family").select("family", F.replace("consensus", F.lit("?"), F.when(F.col("other") == 0, "N").otherwise("X")).alias("consensus"))
-    return out.withColumn("consensus", F.replace("consensus", F.lit("?"), F.lit(unknown)))
+    nucleotides = [ord(c) for c in "ATCGUN-"]
+
+    def run(b: cells.Block) -> dict:
+        c = cells.letter_counts(b, ranks=True)
+        residue = c.letter != ord("-")
+        present = c.per_column(np.where(residue, c.n, 0))
+        order = np.lexsort((c.first, -np.where(residue, c.n, -1), c.at))  # gaps last in each column
+        top = order[c.begins]
+        letter = np.where(present == 0, ord("-"), np.where(c.n[top] / np.maximum(present, 1) >= threshold, c.letter[top], 0))
+        other = np.bincount(c.at[~np.isin(c.letter, nucleotides)] // c.width, minlength=b.n) > 0
+        ends = np.searchsorted(c.columns, np.arange(b.n + 1) * c.width)
+        text = letter.astype("<u4").tobytes().decode("utf-32-le")
+        known = [k for k in range(b.n) if ends[k] < ends[k + 1]]
+        stand = lambda k: unknown if unknown is not None else "X" if other[k] else "N"
+        return {"family": b.named(np.array(known, np.int64)), "consensus": [text[ends[k] : ends[k + 1]].replace("\0", stand(k)) for k in known]}
+
+    return by_family(wide.select("family", "rank", "aligned"), run, "family string, consensus string")
+
+
+def gap_shares(wide: DataFrame) -> DataFrame:
+    """family, shares: each column's share of gaps, a family in one row."""
+
+    def run(b: cells.Block) -> dict:
+        c = cells.letter_counts(b)
+        share = c.per_column(np.where(c.letter == ord("-"), c.n, 0)) / c.per_column(c.n)
+        ends = np.searchsorted(c.columns, np.arange(b.n + 1) * c.width).astype(np.int32)
+        return {"family": b.families, "shares": pa.ListArray.from_arrays(pa.array(ends), pa.array(share, pa.float64()))}
+
+    return by_family(wide.select("family", "rank", "aligned"), run, "family string, shares array<double>").filter("size(shares) > 0")
 
 
 def remove_gap_columns(wide: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -57,9 +76,8 @@ def remove_gap_columns(wide: DataFrame, threshold: float = 1.0) -> DataFrame:
 
     The kept columns of a family are one small row (an array), joined back to its rows of text.
     """
-    gap = F.avg(F.when(F.col("ch") == "-", 1.0).otherwise(0.0))
-    kept = explode_columns(wide).groupBy("family", "col").agg(gap.alias("g")).groupBy("family").agg(F.array_sort(F.collect_list(F.when(F.col("g") < threshold, F.col("col")))).alias("kept"))
-    return keep_columns(wide, kept)
+    kept = F.filter(F.transform("shares", lambda g, i: F.when(g < threshold, i)), lambda i: i.isNotNull())
+    return keep_columns(wide, gap_shares(wide).select("family", kept.alias("kept")))
 
 
 def keep_columns(wide: DataFrame, kept: DataFrame) -> DataFrame:
@@ -102,17 +120,34 @@ def row_pairs(wide: DataFrame) -> DataFrame:
 
 def pairwise_identity(wide: DataFrame) -> DataFrame:
     """family, i, j, identity for rows i < j: matches over columns where both have a letter, 0 without any."""
-    pairs = row_pairs(wide)
-    both = F.zip_with(F.split("x", ""), F.split("y", ""), lambda p, q: F.when((p == "-") | (q == "-"), 0).when(p == q, 2).otherwise(1))
-    same, met = F.size(F.filter(both, lambda v: v == 2)), F.size(F.filter(both, lambda v: v > 0))
-    return pairs.select("family", "i", "j", F.when(met > 0, same / met).otherwise(0.0).alias("identity"))
+
+    def run(b: cells.Block) -> Iterator[dict]:
+        some, size = [], 0
+        for got in cells.identities(b):
+            some.append(got)
+            size += len(got[1])
+            if size >= 1 << 16:
+                yield _pairs(b, some)
+                some, size = [], 0
+        if some:
+            yield _pairs(b, some)
+
+    rank = wide.schema["rank"].dataType.simpleString()
+    return by_family(wide.select("family", "rank", "aligned"), run, f"family string, i {rank}, j {rank}, identity double")
+
+
+def _pairs(b: cells.Block, some: list[tuple]) -> dict:
+    first = np.repeat([x[0] for x in some], [len(x[1]) for x in some])
+    i, j, identity = (np.concatenate([x[k] for x in some]) for k in (1, 2, 3))
+    return {"family": b.named(b.of[first]), "i": i, "j": j, "identity": identity}
 
 
 def identity_matrix(wide: DataFrame) -> DataFrame:
     """family, i, j, identity: the whole matrix, with ones on the diagonal."""
-    half = pairwise_identity(wide)
+    place = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"))
+    both = pairwise_identity(wide).select("family", F.explode(F.array(place("i", "j"), place("j", "i"))).alias("p"), "identity").select("family", "p.i", "p.j", "identity")
     own = wide.select("family", F.col("rank").alias("i"), F.col("rank").alias("j"), F.lit(1.0).alias("identity"))
-    return half.union(half.select("family", "j", "i", "identity")).union(own)
+    return both.union(own)
 
 
 def gap_runs(wide: DataFrame) -> DataFrame:
@@ -125,8 +160,16 @@ def gap_runs(wide: DataFrame) -> DataFrame:
 
 def identity_distance_mean(wide: DataFrame) -> DataFrame:
     """family, distance: mean of 1 - identity over pairs of rows, 1 for a pair without common columns."""
-    met = pairwise_identity(wide)
-    return met.groupBy("family").agg(F.avg(1 - F.col("identity")).alias("distance"))
+
+    def run(b: cells.Block) -> dict:
+        n, total = np.zeros(b.n, np.int64), np.zeros(b.n)
+        for first, i, _, identity in cells.identities(b):
+            n[b.of[first]] += len(i)
+            total[b.of[first]] += (1 - identity).sum()
+        known = n > 0
+        return {"family": b.named(np.flatnonzero(known)), "distance": total[known] / n[known]}
+
+    return by_family(wide.select("family", "rank", "aligned"), run, "family string, distance double")
 
 
 def gap_stats(wide: DataFrame) -> DataFrame:
@@ -140,8 +183,8 @@ def gap_stats(wide: DataFrame) -> DataFrame:
         F.sum("b").alias("gap_blocks"), F.coalesce(F.sum(F.col("w") - F.col("n")) / F.nullif(F.sum("b"), F.lit(0)), F.lit(0.0)).alias("mean_block"),
         F.sum("t").alias("terminal_gaps"), F.sum(F.col("w") - F.col("n") - F.col("t")).alias("internal_gaps"),
     )
-    share = explode_columns(wide).groupBy("family", "col").agg(F.avg(F.when(F.col("ch") == "-", 1.0).otherwise(0.0)).alias("g"))
-    return by_row.join(share.groupBy("family").agg(F.sum(F.when(F.col("g") > 0.5, 1).otherwise(0)).alias("gappy_columns")), "family")
+    gappy = gap_shares(wide).select("family", F.size(F.filter("shares", lambda g: g > 0.5)).cast("long").alias("gappy_columns"))
+    return by_row.join(gappy, "family")
 
 
 def letter_histogram(seqs: DataFrame) -> DataFrame:
@@ -166,9 +209,10 @@ def detect_aligned(wide: DataFrame) -> DataFrame:
     return rows.select("family", F.when(F.col("gaps") > 0, F.when(F.col("a") == F.col("b"), "aligned").otherwise("unknown")).otherwise(F.when(F.col("a") == F.col("b"), "unknown").otherwise("unaligned")).alias("status"))
 
 
-def gcg_checksum(text: str = "seq"):
+def gcg_checksum(text: str | Column = "seq"):
     """Sum of letter codes times their place modulo 57, modulo 10000."""
-    codes = F.transform(F.split(F.upper(F.col(text)), ""), lambda c, i: F.ascii(c) * (i % 57 + 1))
+    text = F.col(text) if isinstance(text, str) else text
+    codes = F.transform(F.split(F.upper(text), ""), lambda c, i: F.ascii(c) * (i % 57 + 1))
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.aggregate(codes, F.lit(0).cast("long"), lambda a, b: a + b) % 10000)
 
 
@@ -176,6 +220,13 @@ def edge_median(tree: DataFrame) -> DataFrame:
     return tree.groupBy("family").agg(F.median("confidence").alias("threshold"))
 
 
+def edge_medians(told: DataFrame) -> DataFrame:
+    """edge_median of pairs.column_confidences, where a family's confidences are one array."""
+    a, n = F.array_sort("confidences"), F.size("confidences")
+    middle = (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
+    return told.select("family", middle.alias("threshold"))
+
+
 def residue_index_window(long: DataFrame) -> DataFrame:
     """The residue index by a running count, for long input that has no row of text to count in."""
     w = Window.partitionBy("family", "run_id", "rank").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
