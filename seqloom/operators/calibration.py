@@ -11,19 +11,19 @@ def brier(cases: DataFrame) -> DataFrame:
     return cases.groupBy("method").agg(F.coalesce(F.avg(F.pow(F.col("predicted") - F.col("actual"), F.lit(2))), F.lit(0.0)).alias("brier"))
 
 
-def _bin(bins: int):
+def bin_of(bins: int):
     return F.least(F.floor(F.col("predicted") * bins), F.lit(bins - 1)).cast("int")
 
 
 def expected_calibration_error(cases: DataFrame, bins: int = 10) -> DataFrame:
-    by_bin = cases.groupBy("method", _bin(bins).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("predicted") - F.avg("actual")).alias("off"))
+    by_bin = cases.groupBy("method", bin_of(bins).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("predicted") - F.avg("actual")).alias("off"))
     return by_bin.groupBy("method").agg((F.sum(F.col("n") * F.col("off")) / F.sum("n")).alias("ece"))
 
 
 def calibration_curve(cases: DataFrame, bins: int = 10) -> DataFrame:
     """method, bin, centre, fraction (null for an empty bin), n: every bin has a row."""
     spine = cases.select("method").distinct().select("method", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    got = cases.groupBy("method", _bin(bins).alias("bin")).agg(F.avg("actual").alias("fraction"), F.count("*").alias("n"))
+    got = cases.groupBy("method", bin_of(bins).alias("bin")).agg(F.avg("actual").alias("fraction"), F.count("*").alias("n"))
     return spine.join(got, ["method", "bin"], "left").select("method", "bin", ((F.col("bin") + 0.5) / bins).alias("centre"), "fraction", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

@@ -93,7 +93,7 @@ def accuracy(test: DataFrame, true: DataFrame) -> DataFrame:
 
 def masked(wide: DataFrame, runs: DataFrame, n_runs: int, threshold: float) -> DataFrame:
     """Rows of run 0 of an ensemble without the columns whose confidence is under the threshold."""
-    return pairs.confidence_mask(wide, pairs.column_confidence(pairs.residue_confidence(runs, 0, n_runs)), threshold)
+    return pairs.confidence_mask(wide, pairs.column_confidences(runs, 0, n_runs), threshold)
 
 
 def with_external(scores: DataFrame, outside: DataFrame) -> DataFrame:
@@ -110,15 +110,15 @@ def joined_scores(alignments: DataFrame, scores: DataFrame, column: str = "score
 def calibration_cases(seqs: DataFrame, true: DataFrame, runs: int = 3) -> DataFrame:
     """method, family, col, predicted, actual: confidence of each column of the first run against its correctness."""
     made = align_runs(seqs, runs)
-    first = made.filter("run_id = 0")
-    told = pairs.column_confidence(pairs.residue_confidence(made, 0, runs))
-    right = compare.column_correctness(first, true)
-    return told.join(right, ["family", "col"]).select(F.lit(f"runs{runs}").alias("method"), "family", "col", F.col("confidence").alias("predicted"), F.col("correct").alias("actual"))
+    both = made.unionByName(true.withColumn("run_id", F.lit(runs)).select(*made.columns))
+    return pairs.column_cases(both, 0, runs, runs).select(F.lit(f"runs{runs}").alias("method"), "family", "col", "predicted", "actual")
 
 
 def calibration_report(cases: DataFrame, bins: int = 10) -> DataFrame:
-    """method, brier, ece."""
-    return calibration.brier(cases).join(calibration.expected_calibration_error(cases, bins), "method")
+    """method, brier, ece, from one pass over the cases."""
+    by_bin = cases.groupBy("method", calibration.bin_of(bins).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum(F.pow(F.col("predicted") - F.col("actual"), F.lit(2))).alias("squares"), F.abs(F.avg("predicted") - F.avg("actual")).alias("off"))
+    return by_bin.groupBy("method").agg((F.sum("squares") / F.sum("n")).alias("brier"), (F.sum(F.col("n") * F.col("off")) / F.sum("n")).alias("ece"))
 
 
 def search_set(families: DataFrame) -> DataFrame:

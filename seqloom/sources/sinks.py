@@ -68,8 +68,8 @@ def msf_text(wide: DataFrame, kind: str = "P", width: int = 50) -> DataFrame:
 
 
 def stockholm_text(wide: DataFrame, pp: DataFrame | None = None, pp_cons: DataFrame | None = None) -> DataFrame:
-    """pp: family, rank, pp; pp_cons: family, pp_cons."""
-    rows = wide.join(pp, ["family", "rank"], "left") if pp is not None else wide.withColumn("pp", F.lit(None).cast("string"))
+    """pp: family, rank, pp, unless the rows have a column pp; pp_cons: family, pp_cons."""
+    rows = wide.join(pp, ["family", "rank"], "left") if pp is not None else wide if "pp" in wide.columns else wide.withColumn("pp", F.lit(None).cast("string"))
     line = F.concat("name", F.lit(" "), "aligned", F.coalesce(F.concat(F.lit("\n#=GR "), "name", F.lit(" PP "), "pp"), F.lit("")))
     body = _text(rows.withColumn("line", line), ["rank"], "line", F.lit("# STOCKHOLM 1.0\n\n"), "")
     if pp_cons is not None:
