@@ -211,3 +211,64 @@ def test_type_of_no_letters(spark):
     """A text without letters has no letter of a protein; SQL's patterns agree."""
     rows = spark.createDataFrame([("",), ("--",), ("ACGN",), ("ACGU",), ("ACDE",), (None,)], "seq string")
     assert [r.kind for r in rows.select(E.infer_type(F.col("seq")).alias("kind")).collect()] == ["DNA", "DNA", "DNA", "RNA", "protein", "protein"]
+
+
+def families_of(spark, many=24, n=7):
+    from seqloom.operators import align
+
+    return align.generate(spark, many, n, 20, 7, True)
+
+
+def test_few_bytes_go_to_many_tasks(spark, wide):
+    """Texts of few bytes were brought together in one task, however long they take to align."""
+    from seqloom.operators import align
+
+    n = 2 * spark.sparkContext.defaultParallelism
+    seqs = families_of(spark).drop("run_id")
+    for df in (align.align(seqs, "fast"), align.guide_trees(seqs), pairs.residue_confidence(wide, 2, 3)):
+        assert df.rdd.getNumPartitions() >= n
+
+
+def test_best_rows(spark):
+    from seqloom.operators import align
+
+    made = align.align_runs(families_of(spark), 3)
+    best = pairs.best_run(pairs.run_scores(made, 3))
+    rows = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    assert rows(pairs.best_rows(made, 3)) == rows(made.join(best, ["family", "run_id"])) and len({r.run_id for r in best.collect()}) > 1
+
+
+def test_consensus_of_runs(spark):
+    """The same as from a table of pairs, at each threshold; an empty sequence is a row of gaps."""
+    from seqloom.operators import align
+
+    seqs = families_of(spark, 6)
+    made = align.align_runs(seqs, 2)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for least in (1, 2):
+        assert rows(align.consensus_of_runs(seqs, made, 2, least)) == rows(align.consensus_from_support(seqs, pairs.support(made), least))
+    with_empty = seqs.unionByName(spark.createDataFrame([("g0", 99, "e", "")], "family string, rank long, name string, seq string"))
+    got = [r for r in align.consensus_of_runs(with_empty, align.align_runs(with_empty, 2), 2, 2).filter("family = 'g0'").collect()]
+    assert len({len(r.aligned) for r in got}) == 1 and next(r for r in got if r["rank"] == 99).aligned.strip("-") == ""
+
+
+def test_tree_weights(spark):
+    from seqloom.operators import align, trees
+
+    seqs = families_of(spark, 5, 60).unionByName(families_of(spark, 1, 1).withColumn("family", F.lit("one")))
+    tree = align.guide_trees(seqs)
+    n = seqs.groupBy("family").agg(F.count("*").alias("n"))
+    leaves = n.select("family", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("leaf"))
+    want = {(r.family, r.leaf): r.weight for r in trees.leaf_weights(tree, trees.members(tree, leaves)).collect()}
+    assert {(r.family, r.leaf): r.weight for r in align.tree_weights(seqs).collect()} == pytest.approx(want) and len(want) == 300
+
+
+def test_inline_trials_in_lockstep():
+    """Families aligned together give what each gives alone."""
+    from seqloom.functions import align as kernel
+
+    families = [kernel.generate_family(n, 20, n, True) for n in (3, 5, 9, 14)]
+    for adaptive in (False, True):
+        o = kernel.Options(refine="inline", adaptive_budget=adaptive)
+        of = [([f"s{i}" for i in range(len(f))], f) for f in families]
+        assert kernel.align_families(of, o) == [kernel.align_family(*x, o) for x in of]
