@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ TOGETHER = 1 << 18
 def _checked(group: pd.DataFrame, each: int = 1) -> pd.DataFrame:
     if len(group) > LARGEST * each:
         raise ValueError(f"family {group['family'].iloc[0]!r} has {len(group) // each} sequences; at most {LARGEST}")
-    return group.sort_values("rank", kind="stable")
+    return group if group["rank"].is_monotonic_increasing else group.sort_values("rank", kind="stable")
 
 
 def by_family(rows: DataFrame, run: Callable[[list[pd.DataFrame]], list[pd.DataFrame]], schema: str, *also: str, each: int = 1) -> DataFrame:
@@ -46,6 +47,7 @@ def by_family(rows: DataFrame, run: Callable[[list[pd.DataFrame]], list[pd.DataF
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[pd.DataFrame] = []  # parts of one family
+        last: tuple = ()
         ready: list[pd.DataFrame] = []
         size = 0
 
@@ -54,19 +56,30 @@ def by_family(rows: DataFrame, run: Callable[[list[pd.DataFrame]], list[pd.DataF
             waiting.clear()
             return _checked(got, each)
 
+        def aligned() -> Iterator[pd.DataFrame]:
+            made = run(ready)
+            if made:
+                yield pd.concat(made, ignore_index=True) if len(made) > 1 else made[0]
+
         for b in batches:
-            for key, part in b.groupby(keys, sort=False, dropna=False):
-                if waiting and tuple(waiting[0][keys].iloc[0].fillna("")) != tuple(part[keys].iloc[0].fillna("")):
+            if b.empty:
+                continue
+            named = b[keys].fillna("").to_numpy()
+            starts = np.r_[0, np.flatnonzero((named[1:] != named[:-1]).any(1)) + 1, len(b)]
+            letters = np.r_[0, np.cumsum(b["seq"].str.len().fillna(0).to_numpy())]
+            for at, end in zip(starts[:-1], starts[1:], strict=True):
+                if waiting and last != tuple(named[at]):
                     ready.append(whole())
-                    size += int(ready[-1]["seq"].str.len().sum())
                     if size >= TOGETHER:
-                        yield from run(ready)
+                        yield from aligned()
                         ready, size = [], 0
-                waiting.append(part)
+                last = tuple(named[at])
+                size += int(letters[end] - letters[at])
+                waiting.append(b.iloc[at:end])
         if waiting:
             ready.append(whole())
         if ready:
-            yield from run(ready)
+            yield from aligned()
 
     return dealt(rows, *keys).sortWithinPartitions(*keys, "rank").mapInPandas(stream, schema)
 
